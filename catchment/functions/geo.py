@@ -80,44 +80,28 @@ def destination(lon: Column, lat: Column, bearing_deg: Column, dist_m) -> tuple[
     return F.degrees(l2), F.degrees(p2)
 
 
-def lon_gap(lon: Column, x0: Column, x1: Column) -> Column:
-    """Smallest longitude difference in degrees from lon to [x0, x1], around the globe."""
-    direct = F.greatest(F.lit(0.0), x0 - lon, lon - x1)
-    around = F.least(F.abs(x0 - lon + 360.0), F.abs(lon - x1 + 360.0))
-    return F.least(direct, around)
-
-
-def lon_reach(lon: Column, x0: Column, x1: Column) -> Column:
-    """A longitude difference in degrees no point of [x0, x1] exceeds."""
-    return F.least(F.lit(180.0), F.greatest(F.abs(x0 - lon), F.abs(x1 - lon)))
-
-
 class Haversine:
-    """Great-circle metric; bounds compare half chords."""
+    """Great-circle metric, searched as straight chords between points on the sphere.
+
+    A chord grows with the great-circle distance, and boxes around points in
+    space have no trouble with poles or the date line.
+    """
 
     name = "haversine"
-    # one millimetre in half-chord units, so that ties after rounding survive
-    slack = 1.0e-10
 
     @staticmethod
-    def key(m: float) -> float:
-        return math.sin(min(math.pi / 2, m / (2 * EARTH_RADIUS_M)))
+    def embed(x: Column, y: Column) -> list[Column]:
+        c = F.cos(F.radians(y)) * EARTH_RADIUS_M
+        return [c * F.cos(F.radians(x)), c * F.sin(F.radians(x)), F.sin(F.radians(y)) * EARTH_RADIUS_M]
 
     @staticmethod
-    def lower(x, y, b) -> Column:
-        dlat = F.sin(F.radians(F.greatest(F.lit(0.0), b["y0"] - y, y - b["y1"])) / 2.0)
-        dlon = F.sin(F.radians(lon_gap(x, b["x0"], b["x1"])) / 2.0)
-        cmin = F.cos(F.radians(F.greatest(F.abs(b["y0"]), F.abs(b["y1"]))))
-        return F.sqrt(_sq(dlat) + F.cos(F.radians(y)) * cmin * _sq(dlon))
+    def reach(m: float) -> float:
+        return 2 * EARTH_RADIUS_M * math.sin(min(math.pi / 2, m / (2 * EARTH_RADIUS_M)))
 
     @staticmethod
-    def upper(x, y, b) -> Column:
-        dlat = F.sin(F.radians(F.greatest(F.abs(b["y0"] - y), F.abs(b["y1"] - y))) / 2.0)
-        dlon = F.sin(F.radians(lon_reach(x, b["x0"], b["x1"])) / 2.0)
-        ymin = F.when((b["y0"] <= 0) & (b["y1"] >= 0), F.lit(0.0)).otherwise(
-            F.least(F.abs(b["y0"]), F.abs(b["y1"]))
-        )
-        return F.sqrt(_sq(dlat) + F.cos(F.radians(y)) * F.cos(F.radians(ymin)) * _sq(dlon))
+    def between(p: list[Column], q: list[Column]) -> Column:
+        half = F.sqrt(sum((_sq(a - b) for a, b in zip(p, q)), F.lit(0.0))) / (2.0 * EARTH_RADIUS_M)
+        return mm(F.asin(F.least(F.lit(1.0), half)) * (2.0 * EARTH_RADIUS_M))
 
     @staticmethod
     def dist(x1, y1, x2, y2) -> Column:
@@ -128,53 +112,48 @@ class Planar:
     """Straight-line metric on projected metres."""
 
     name = "euclidean"
-    slack = 0.002
 
     @staticmethod
-    def key(m: float) -> float:
-        return m
+    def embed(x: Column, y: Column) -> list[Column]:
+        return [x, y]
 
     @staticmethod
-    def _near(x, y, b):
-        return (
-            F.greatest(F.lit(0.0), b["x0"] - x, x - b["x1"]),
-            F.greatest(F.lit(0.0), b["y0"] - y, y - b["y1"]),
-        )
-
-    @staticmethod
-    def _far(x, y, b):
-        return (
-            F.greatest(F.abs(b["x0"] - x), F.abs(b["x1"] - x)),
-            F.greatest(F.abs(b["y0"] - y), F.abs(b["y1"] - y)),
-        )
+    def reach(m: float) -> float:
+        return m
 
     @staticmethod
-    def combine(dx, dy) -> Column:
-        return F.sqrt(_sq(dx) + _sq(dy))
-
-    @classmethod
-    def lower(cls, x, y, b) -> Column:
-        return cls.combine(*cls._near(x, y, b))
-
-    @classmethod
-    def upper(cls, x, y, b) -> Column:
-        return cls.combine(*cls._far(x, y, b))
+    def between(p: list[Column], q: list[Column]) -> Column:
+        return mm(F.sqrt(sum((_sq(a - b) for a, b in zip(p, q)), F.lit(0.0))))
 
     @classmethod
     def dist(cls, x1, y1, x2, y2) -> Column:
-        return mm(cls.combine(x2 - x1, y2 - y1))
+        return cls.between([x1, y1], [x2, y2])
 
 
 class Manhattan(Planar):
-    """City-block metric on projected metres."""
+    """City-block metric on projected metres; searched on axes turned by 45 degrees.
+
+    |dx| + |dy| is the larger of |du| and |dv| for u = x + y, v = x - y, so the
+    straight distance in (u, v) is between one and sqrt(2) times the metric.
+    """
 
     name = "manhattan"
+    stretch = math.sqrt(2.0)
+
+    @staticmethod
+    def embed(x: Column, y: Column) -> list[Column]:
+        return [x + y, x - y]
+
+    @staticmethod
+    def reach(m: float) -> float:
+        return m * math.sqrt(2.0)
 
     @staticmethod
-    def combine(dx, dy) -> Column:
-        return F.abs(dx) + F.abs(dy)
+    def between(p: list[Column], q: list[Column]) -> Column:
+        return mm(F.greatest(F.abs(p[0] - q[0]), F.abs(p[1] - q[1])))
 
 
+Haversine.stretch = Planar.stretch = 1.0
 METRICS = {m.name: m for m in (Haversine, Planar, Manhattan)}
 
 

@@ -22,7 +22,9 @@ from ..session import materialize
 
 _BITS = 2
 _MAX_DEPTH = 12
-_LEAF = 16
+_LEAF = 32
+# bounds may be off by rounding; a tie after rounding to millimetres must survive
+_SLACK_M = 0.002
 
 
 class SiteTree:
@@ -36,8 +38,10 @@ class SiteTree:
         x: str = "lon",
         y: str = "lat",
         leaf: int = _LEAF,
+        metric=geo.Haversine,
     ):
         self.keys = list(keys)
+        self.metric = metric
         k = self.keys
         # copies at one coordinate count once; the lowest id stands for them
         pts = sites.groupBy(*k, F.col(x).alias("x"), F.col(y).alias("y")).agg(
@@ -57,6 +61,9 @@ class SiteTree:
             *k, "site_id", "x", "y",
             index("x", "bx0", "bx1").alias("ix"), index("y", "by0", "by1").alias("iy"),
         )
+        flat = metric.embed(F.col("x"), F.col("y"))
+        self.axes = [f"a{i}" for i in range(len(flat))]
+        pts = pts.select(*k, "site_id", "ix", "iy", *[c.alias(a) for a, c in zip(self.axes, flat)])
         pts = materialize(pts, "sites")
         self.depth = self._needed_depth(pts, leaf)
         sh = _BITS * (_MAX_DEPTH - self.depth)
@@ -77,20 +84,20 @@ class SiteTree:
     def leaves(self) -> DataFrame:
         """One row per deepest cell with its (few) sites."""
         return self._pts.groupBy(*self.keys, "cx", "cy").agg(
-            F.collect_list(F.struct("site_id", "x", "y")).alias("sites")
+            F.collect_list(F.struct("site_id", *self.axes)).alias("sites")
         )
 
     def children(self, level: int) -> DataFrame:
         """Nodes of ``level`` with the tight boxes of their children."""
         down = _BITS * (self.depth - level - 1)
+        ends = [c for a in self.axes for c in (F.min(a).alias(f"{a}0"), F.max(a).alias(f"{a}1"))]
         kid = self._pts.groupBy(
             *self.keys, F.shiftright("cx", down).alias("kx"), F.shiftright("cy", down).alias("ky")
-        ).agg(
-            F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
-        )
+        ).agg(*ends)
+        boxes = [f"{a}{e}" for a in self.axes for e in (0, 1)]
         return kid.groupBy(
             *self.keys, F.shiftright("kx", _BITS).alias("cx"), F.shiftright("ky", _BITS).alias("cy")
-        ).agg(F.collect_list(F.struct("kx", "ky", "x0", "x1", "y0", "y1")).alias("kids"))
+        ).agg(F.collect_list(F.struct("kx", "ky", *boxes)).alias("kids"))
 
 
 def nearest_site(
@@ -112,54 +119,72 @@ def nearest_site(
     ``max_m``) get nulls.  Distances are rounded to millimetres.
     """
     k = list(keys)
-    tree = sites if isinstance(sites, SiteTree) else SiteTree(sites, k, site_id, x, y)
+    tree = sites if isinstance(sites, SiteTree) else SiteTree(sites, k, site_id, x, y, metric=metric)
+    metric = tree.metric
     carry = [c for c in points.columns if c not in (*k, point_id)]
-    lim = None if max_m is None else metric.key(max_m) + metric.slack
+    axes = [f"_p{a}" for a in tree.axes]
+    lim = None if max_m is None else metric.reach(max_m + _SLACK_M)
 
-    cur = points.withColumn("cx", F.lit(0).cast("bigint")).withColumn("cy", F.lit(0).cast("bigint"))
-    px, py = F.col(x), F.col(y)
+    cur = points
+    if tree.depth > 0:
+        # one exchange on the point key serves every later round
+        cur = cur.repartition(*k, point_id)
+    for name, col in zip(axes, metric.embed(F.col(x), F.col(y))):
+        cur = cur.withColumn(name, col)
+    zero = F.lit(0).cast("bigint")
+    cur = cur.withColumn("cx", zero).withColumn("cy", zero)
+    here = [F.col(a) for a in axes]
+
+    def low(b):
+        gaps = [F.greatest(F.lit(0.0), b[f"{a}0"] - p, p - b[f"{a}1"]) for a, p in zip(tree.axes, here)]
+        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+
+    def high(b):
+        gaps = [F.greatest(F.abs(b[f"{a}0"] - p), F.abs(b[f"{a}1"] - p)) for a, p in zip(tree.axes, here)]
+        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+
+    keep = [*k, point_id, *carry, *axes]
     for level in range(tree.depth):
         cur = cur.join(tree.children(level), [*k, "cx", "cy"], "left")
         bounds = F.transform(
             "kids",
             lambda b: F.struct(
-                b["kx"].alias("kx"), b["ky"].alias("ky"),
-                metric.lower(px, py, b).alias("lb"), metric.upper(px, py, b).alias("ub"),
+                b["kx"].alias("kx"), b["ky"].alias("ky"), low(b).alias("lb"), high(b).alias("ub")
             ),
         )
-        cur = cur.withColumn("kids", bounds).withColumn(
-            "ub", F.array_min(F.transform("kids", lambda b: b["ub"]))
-        )
-        top = F.col("ub") + metric.slack
+        cur = cur.withColumn("kids", bounds)
+        top = F.array_min(F.transform("kids", lambda b: b["ub"])) * metric.stretch + _SLACK_M
         if lim is not None:
             top = F.least(top, F.lit(lim))
-        cur = cur.withColumn("top", top).withColumn(
-            "kids", F.filter("kids", lambda b: b["lb"] <= F.col("top"))
-        )
-        cur = cur.select(
-            *k, point_id, *carry, "top", F.explode_outer("kids").alias("kid")
-        )
+        cur = cur.select(*keep, top.alias("top"), F.explode_outer("kids").alias("kid"))
+        alive = F.col("kid").isNull() | (F.col("kid.lb") <= F.col("top"))
+        if max_m is not None:
+            # a point with nothing in reach keeps its row
+            best = F.min("kid.lb").over(Window.partitionBy(*k, point_id))
+            cur = cur.withColumn("_near", best)
+            alive = alive | ((F.col("_near") > F.col("top")) & (F.col("kid.lb") == F.col("_near")))
+        cur = cur.where(alive)
         if level > 0:
             # several parents may be alive: keep what the best of them allows
             best = F.min("top").over(Window.partitionBy(*k, point_id))
-            cur = cur.withColumn("top", best).where(
-                F.col("kid").isNull() | (F.col("kid.lb") <= F.col("top"))
+            near = F.min("kid.lb").over(Window.partitionBy(*k, point_id))
+            cur = cur.withColumn("top", best).withColumn("_near", near).where(
+                F.col("kid").isNull()
+                | (F.col("kid.lb") <= F.col("top"))
+                | (F.col("kid.lb") == F.col("_near"))
             )
-        cur = cur.select(
-            *k, point_id, *carry, F.col("kid.kx").alias("cx"), F.col("kid.ky").alias("cy")
-        )
+        cur = cur.select(*keep, F.col("kid.kx").alias("cx"), F.col("kid.ky").alias("cy"))
     cur = cur.join(tree.leaves(), [*k, "cx", "cy"], "left")
     pairs = F.transform(
         "sites",
         lambda s: F.struct(
-            metric.dist(px, py, s["x"], s["y"]).alias("d"), s["site_id"].alias("s")
+            metric.between(here, [s[a] for a in tree.axes]).alias("d"), s["site_id"].alias("s")
         ),
     )
     cur = cur.withColumn("hit", F.array_min(pairs))
-    best = F.min("hit")
     if tree.depth > 0:
         cur = cur.groupBy(*k, point_id).agg(
-            *[F.first(c).alias(c) for c in carry], best.alias("hit")
+            *[F.first(c).alias(c) for c in carry], F.min("hit").alias("hit")
         )
     hit = F.col("hit")
     if max_m is not None:

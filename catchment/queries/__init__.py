@@ -1,6 +1,6 @@
 """All registered queries; importing this package fills the tables."""
 
 from .registry import ORACLES, QUERIES
-from . import audit  # noqa: F401
+from . import audit, scalars, joins  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]
