@@ -27,6 +27,11 @@ def _sq(x: Column) -> Column:
     return x * x
 
 
+def _at_most_one(x: Column) -> Column:
+    # not least(): that would turn a null into one
+    return F.when(x > 1.0, F.lit(1.0)).otherwise(x)
+
+
 def half_chord(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """sin(d / 2R): grows with great-circle distance and needs no asin."""
     dphi = F.sin((F.radians(lat2) - F.radians(lat1)) / 2.0)
@@ -36,7 +41,7 @@ def half_chord(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     h = half_chord(lon1, lat1, lon2, lat2)
-    return F.asin(F.least(F.lit(1.0), h)) * (2.0 * EARTH_RADIUS_M)
+    return F.asin(_at_most_one(h)) * (2.0 * EARTH_RADIUS_M)
 
 
 def euclidean(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -61,8 +66,7 @@ def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
 def azimuthal(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
     """Azimuthal equidistant around (lon0, lat0) on the sphere."""
     p, p0, dl = F.radians(lat), F.radians(lat0), F.radians(lon) - F.radians(lon0)
-    cosc = F.sin(p0) * F.sin(p) + F.cos(p0) * F.cos(p) * F.cos(dl)
-    c = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosc)))
+    c = F.asin(_at_most_one(half_chord(lon0, lat0, lon, lat))) * 2.0
     k = F.when(F.abs(c) < 1e-12, F.lit(1.0)).otherwise(c / F.sin(c))
     x = k * F.cos(p) * F.sin(dl) * EARTH_RADIUS_M
     y = k * (F.cos(p0) * F.sin(p) - F.sin(p0) * F.cos(p) * F.cos(dl)) * EARTH_RADIUS_M
@@ -101,7 +105,7 @@ class Haversine:
     @staticmethod
     def between(p: list[Column], q: list[Column]) -> Column:
         half = F.sqrt(sum((_sq(a - b) for a, b in zip(p, q)), F.lit(0.0))) / (2.0 * EARTH_RADIUS_M)
-        return mm(F.asin(F.least(F.lit(1.0), half)) * (2.0 * EARTH_RADIUS_M))
+        return mm(F.asin(_at_most_one(half)) * (2.0 * EARTH_RADIUS_M))
 
     @staticmethod
     def dist(x1, y1, x2, y2) -> Column:

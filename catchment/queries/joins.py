@@ -41,16 +41,16 @@ def od_manhattan(v):
     return _city_block(_mercator(v.demand()), _mercator(v.candidates()))
 
 
-def _city_block(d, s, radius=20000.0):
+def _city_block(d, s, radius=20000.0, digits=None):
     p = coverage.pairs_within(d.select("aoi_id", "demand_id", "lon", "lat"), s.select("aoi_id", "site_id", "lon", "lat"), radius, metric=geo.Planar, exact=False)
-    dist = geo.mm(geo.manhattan(F.col("lon"), F.col("lat"), F.col("site_x"), F.col("site_y")))
+    dist = geo.manhattan(F.col("lon"), F.col("lat"), F.col("site_x"), F.col("site_y"))
+    dist = geo.mm(dist) if digits is None else F.round(dist, digits)
     return p.withColumn("dist_m", dist).where(F.col("dist_m") <= radius).select("aoi_id", "demand_id", "site_id", "dist_m")
 
 
 _AZ = """select t.*, k*cos(radians(lat))*sin(radians(lon)-radians(clon))*6371008.8e0 as x,
  k*(cos(radians(clat))*sin(radians(lat))-sin(radians(clat))*cos(radians(lat))*cos(radians(lon)-radians(clon)))*6371008.8e0 as y
- from (select *, case when abs(c)<1e-12 then 1e0 else c/sin(c) end as k from (select *, acos(greatest(-1e0, least(1e0,
-  sin(radians(clat))*sin(radians(lat))+cos(radians(clat))*cos(radians(lat))*cos(radians(lon)-radians(clon))))) as c from {t} join ctr using (aoi_id))) t"""
+ from (select *, case when abs(c)<1e-12 then 1e0 else c/sin(c) end as k from (select *, 2e0*asin(least(1e0, sqrt(sin((radians(lat)-radians(clat))/2e0)*sin((radians(lat)-radians(clat))/2e0)+cos(radians(clat))*cos(radians(lat))*(sin((radians(lon)-radians(clon))/2e0)*sin((radians(lon)-radians(clon))/2e0))))) as c from {t} join ctr using (aoi_id))) t"""
 
 
 @query("od_manhattan_geo", "with ctr as (select aoi_id, round(avg(lon), 9) as clon, round(avg(lat), 9) as clat from (select aoi_id, lon, lat from demand union all select aoi_id, lon, lat from candidates) group by 1), dd as ("
@@ -65,9 +65,7 @@ def od_manhattan_geo(v):
         x, y = geo.azimuthal(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"))
         return j.withColumn("_x", x).withColumn("_y", y).drop("lon", "lat").withColumnsRenamed({"_x": "lon", "_y": "lat"})
 
-    return _city_block(flat(d), flat(c), 20000.01).select(
-        "aoi_id", "demand_id", "site_id", F.round("dist_m", 2).alias("dist_m")
-    ).where("dist_m <= 20000")
+    return _city_block(flat(d), flat(c), digits=2)
 
 
 _ROAD = """path(aoi_id, source, node, dist) using key (aoi_id, source, node) as (
@@ -81,7 +79,7 @@ _SNAP = "select p.aoi_id, p.{id}, p.lon, p.lat, arg_min(n.node_id, ({h}, n.node_
 
 @query("od_network", "with sn as (" + _SNAP.format(id="site_id", t="candidates", o="s_node", h=hav("p", "n")) + "), dn as ("
        + _SNAP.format(id="demand_id", t="demand", o="d_node", h=hav("p", "n")) + "), " + _ROAD
-       + f""" select aoi_id, demand_id, site_id, coalesce(dist, g) as dist_m, dist is not null as on_road from
+       + f""" select q.aoi_id, demand_id, site_id, coalesce(dist, g) as dist_m, dist is not null as on_road from
  (select d.aoi_id, demand_id, site_id, d_node, s_node, {hav('d', 's')} as g from dn d join sn s on d.aoi_id=s.aoi_id) q
  left join path p on p.aoi_id=q.aoi_id and p.source=q.s_node and p.node=q.d_node where g <= 10000""",
        ("demand", "candidates", "road_nodes", "road_edges"), recursive=True)

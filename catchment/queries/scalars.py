@@ -92,8 +92,7 @@ select demand_id, round(radians(lon)*6378137e0, 3) as merc_x, round(ln(tan(pi()/
  round(radians(lon)*6371008.8e0, 3) as ea_x, round(sin(radians(lat))*6371008.8e0, 3) as ea_y,
  round(k*cos(radians(lat))*sin(radians(lon)-radians(clon))*6371008.8e0, 3) as az_x,
  round(k*(cos(radians(clat))*sin(radians(lat))-sin(radians(clat))*cos(radians(lat))*cos(radians(lon)-radians(clon)))*6371008.8e0, 3) as az_y
-from (select *, case when abs(c)<1e-12 then 1e0 else c/sin(c) end as k from (select *, acos(greatest(-1e0, least(1e0,
-  sin(radians(clat))*sin(radians(lat))+cos(radians(clat))*cos(radians(lat))*cos(radians(lon)-radians(clon))))) as c
+from (select *, case when abs(c)<1e-12 then 1e0 else c/sin(c) end as k from (select *, 2e0*asin(least(1e0, sqrt(sin((radians(lat)-radians(clat))/2e0)*sin((radians(lat)-radians(clat))/2e0)+cos(radians(clat))*cos(radians(lat))*(sin((radians(lon)-radians(clon))/2e0)*sin((radians(lon)-radians(clon))/2e0))))) as c
   from demand join (select aoi_id, ox+0.4e0 as clon, oy+0.3e0 as clat from boundaries) using (aoi_id)))""", CENTRE)
 def project(v):
     lon, lat = F.col("lon"), F.col("lat")
