@@ -357,3 +357,35 @@ def p_median_budget(
         if step < p:
             st.add(pick)
     return steps
+
+
+def p_median_max_distance(
+    demand: DataFrame, candidates: DataFrame, p: int, limit_m: float, keys: Sequence[str] = ("aoi_id",), metric=geo.Haversine
+) -> DataFrame:
+    """p-median where nobody may travel further than ``limit_m``.
+
+    A greedy cover within the limit is opened first, the places left go to the
+    p-median greedy.  Keys whose coverable demand needs more than p sites by
+    greedy, or with demand out of any site's reach, say so in ``status``.
+    (keys, step, site_id, cost, status)
+    """
+    from . import cover
+
+    k = list(keys)
+    pairs = cover.cover_pairs(demand, candidates, limit_m, k, value=F.lit(1.0))
+    must = cover.drop_redundant(pairs, cover.greedy_cover(pairs, k), k)
+    reach = pairs.select(*k, "demand_id").distinct().groupBy(*k).agg(F.count(F.lit(1)).alias("_in"))
+    spots = demand_spots(demand, k).groupBy(*k).agg(F.count(F.lit(1)).alias("_all"))
+    need = must.groupBy(*k).agg(F.count(F.lit(1)).alias("_need"))
+    judged = spots.join(reach, k, "left").join(need, k, "left").select(
+        *k,
+        F.when(F.coalesce("_in", F.lit(0)) < F.col("_all"), "infeasible")
+        .when(F.col("_need") > p, "not found")
+        .otherwise("feasible").alias("status"),
+    )
+    judged = table(judged, "status")
+    ok = judged.where("status = 'feasible'").select(*k)
+    steps = p_median_greedy(
+        demand.join(ok, k, "left_semi"), candidates.join(ok, k, "left_semi"), p, k, must_open=must.join(ok, k, "left_semi"), metric=metric
+    )
+    return judged.join(steps, k, "left").select(*k, "step", "site_id", "cost", "status")

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..location import cover, pcenter, pmedian
+from ..location import cover, genetic, pcenter, pmedian, sweep
+from ..operators.nearest import nearest_site
 from .registry import hav, query
 
 DC = ("demand", "candidates")
@@ -76,10 +77,201 @@ def lscp_greedy(v):
 
 @query("p_center")
 def p_center(v):
-    return pcenter.p_center(v.demand(), v.candidates(), 3)
+    return pcenter.p_center(v.demand(), v.candidates(), 3, probes=2)
 
 
 @query("p_median_swap")
 def p_median_swap(v):
     g = pmedian.p_median_greedy(v.demand(), v.candidates(), 3)
     return pmedian.p_median_swap(v.demand(), v.candidates(), g)
+
+
+@query("p_median_bound")
+def p_median_bound(v):
+    g = pmedian.p_median_greedy(v.demand(), v.candidates(), 3)
+    up = g.groupBy("aoi_id").agg(F.max_by("cost", "step").alias("cost"))
+    lb = pmedian.p_median_bound(v.demand(), v.candidates(), 3, up, rounds=4)
+    gap = (F.col("cost") - F.col("lower_bound")) / F.col("cost")
+    return up.join(lb, "aoi_id").select("aoi_id", "cost", F.round("lower_bound", 0).alias("lower_bound"), F.round(gap, 6).alias("gap"))
+
+
+def _roomy(v, p):
+    """The sites of a greedy solution with 1.1 times the average load as capacity."""
+    g = pmedian.p_median_greedy(v.demand(), v.candidates(), p)
+    cap = v.demand().groupBy("aoi_id").agg((F.sum("weight") / p * 1.1).alias("capacity"))
+    return g.select("aoi_id", "site_id").join(v.candidates().drop("capacity"), ["aoi_id", "site_id"]).join(cap, "aoi_id")
+
+
+@query("p_median_capacitated")
+def p_median_capacitated(v):
+    a = pmedian.assign_with_capacity(v.demand(), _roomy(v, 3))
+    return a.groupBy("aoi_id", "site_id").agg(F.count(F.lit(1)).alias("n_demand"), F.round(F.sum("weight"), 2).alias("weight"), F.max("dist_m").alias("max_m"))
+
+
+@query("p_median_budget")
+def p_median_budget(v):
+    return pmedian.p_median_budget(v.demand(), v.candidates(), 3, 600.0)
+
+
+@query("p_median_max_distance")
+def p_median_max_distance(v):
+    return pmedian.p_median_max_distance(v.demand(), v.candidates(), 12, 35000.0)
+
+
+@query("p_center_weighted")
+def p_center_weighted(v):
+    return pcenter.p_center_greedy(v.demand(), v.candidates(), 3, weighted=True)[1]
+
+
+_FIRST = "with f as (select aoi_id, min(site_id) as site_id from candidates group by 1) "
+
+
+def _first_site(v):
+    c = v.candidates()
+    first = c.groupBy("aoi_id").agg(F.min("site_id").alias("site_id"))
+    return first.join(c, ["aoi_id", "site_id"])
+
+
+@query("p_center_conditional")
+def p_center_conditional(v):
+    return pcenter.p_center_greedy(v.demand(), v.candidates(), 2, existing=_first_site(v))[1]
+
+
+@query("mclp_budget")
+def mclp_budget(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
+    return cover.greedy_budget(pairs, v.candidates(), 500.0)
+
+
+@query("mclp_capacitated")
+def mclp_capacitated(v):
+    a = cover.greedy_capacity(v.demand(), v.candidates(), R, 3, capacity=False)
+    return a.groupBy("aoi_id", "step", "site_id").agg(F.count(F.lit(1)).alias("n_demand"), F.round(F.sum("weight"), 2).alias("served"))
+
+
+@query("mclp_multi")
+def mclp_multi(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), 15000.0, ["aoi_id"], need=2.0)
+    return cover.greedy_p(pairs, 4, score=cover._multi_score(2.0))
+
+
+@query("mclp_bound")
+def mclp_bound(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
+    return cover.mclp_bound(pairs, cover.greedy_p(pairs, 3), 3)
+
+
+@query("lscp_backup")
+def lscp_backup(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), 15000.0, ["aoi_id"], need=2.0, value=F.lit(1.0))
+    return cover.drop_redundant(pairs, cover.greedy_cover(pairs))
+
+
+@query("lscp_conditional")
+def lscp_conditional(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"], value=F.lit(1.0))
+    have = _first_site(v)
+    got = cover.drop_redundant(pairs, cover.greedy_cover(pairs, seed=have), keep=have)
+    mark = have.select("aoi_id", "site_id", F.lit(True).alias("existing"))
+    return got.join(mark, ["aoi_id", "site_id"], "left").withColumn("existing", F.coalesce("existing", F.lit(False)))
+
+
+@query("lscp_probabilistic")
+def lscp_probabilistic(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), 15000.0, ["aoi_id"], need=cover.log_need(0.95), coef=cover.log_coef(), value=F.lit(1.0))
+    return cover.drop_redundant(pairs, cover.greedy_cover(pairs))
+
+
+@query("lscp_partial")
+def lscp_partial(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
+    tot = v.demand().groupBy("aoi_id").agg(F.sum("weight").alias("total"))
+    return cover.partial_cover(pairs, tot, 0.5)
+
+
+@query("lscp_bound")
+def lscp_bound(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"], value=F.lit(1.0))
+    return cover.packing_bound(pairs)
+
+
+@query("max_facilities")
+def max_facilities(v):
+    """Cover with a limit on the number of sites: which areas stay within it."""
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"], value=F.lit(1.0))
+    got = cover.drop_redundant(pairs, cover.greedy_cover(pairs))
+    return got.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n_sites")).withColumn("within_limit", F.col("n_sites") <= 18)
+
+
+def _forced_sql() -> str:
+    s = _cover_sql(2)
+    s = s.replace("n0 as materialized (select aoi_id, demand_id, 1e0 as need from demand)",
+                  "f as (select aoi_id, min(site_id) as site_id from candidates group by 1), x as (select aoi_id, max(site_id) as site_id from candidates group by 1), "
+                  "n0 as materialized (select d.aoi_id, d.demand_id, case when c.site_id is null then 1e0 else 0e0 end as need from demand d left join f using (aoi_id) left join cov c on c.aoi_id=d.aoi_id and c.demand_id=d.demand_id and c.site_id=f.site_id)")
+    s = s.replace("select '' as aoi_id, -1 as site_id", "select * from f union all select * from x")
+    s = s.replace("(select aoi_id, site_id from p1)", "(select aoi_id, site_id from p1 union all select * from f union all select * from x)")
+    return s + " union all select aoi_id, 0, site_id, round(coalesce((select sum(weight) from cov where cov.aoi_id=f.aoi_id and cov.site_id=f.site_id), 0e0), 4) from f"
+
+
+@query("forced_sites", _forced_sql(), DC)
+def forced_sites(v):
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
+    closed = v.candidates().groupBy("aoi_id").agg(F.max("site_id").alias("site_id"))
+    return cover.greedy_p(pairs, 3, must_open=_first_site(v), must_close=closed)
+
+
+@query("drop_one_sensitivity")
+def drop_one_sensitivity(v):
+    g = pmedian.p_median_greedy(v.demand(), v.candidates(), 2)
+    return sweep.drop_one_p_median(v.demand(), v.candidates(), g, 2)
+
+
+def _scenarios(v):
+    """One scenario per market segment of the customers; one of them is broken."""
+    s = v.table("customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    r = F.when(F.col("c_mktsegment") == "BUILDING", F.lit(0.0)).otherwise(F.length("c_mktsegment") * 1000.0)
+    return s.select(F.col("c_mktsegment").alias("scenario_id"), r.alias("radius_m"))
+
+
+def _sweep_sql() -> str:
+    s = _cover_sql(2).replace(COV, "sc as (select distinct c_mktsegment as scenario_id, case when c_mktsegment='BUILDING' then 0e0 else length(c_mktsegment)*1000e0 end as radius_m from customer), "
+                              "cov as materialized (select concat(scenario_id, '|', aoi_id) as aoi_id, demand_id, site_id, weight from od, sc where dist <= radius_m and radius_m > 0)")
+    s = s.replace("select aoi_id, demand_id, 1e0 as need from demand", "select concat(scenario_id, '|', aoi_id) as aoi_id, demand_id, 1e0 as need from demand, sc where radius_m > 0")
+    return ("select split_part(aoi_id,'|',1) as scenario_id, split_part(aoi_id,'|',2) as aoi_id, round(sum(gain), 2) as covered, count(*) as n_sites, null::varchar as error from ("
+            + s + ") group by 1, 2 union all select distinct c_mktsegment, null, null, null, 'radius_m must be > 0' from customer where c_mktsegment='BUILDING'")
+
+
+@query("parameter_sweep", _sweep_sql(), DC)
+def parameter_sweep(v):
+    return sweep.radius_sweep_mclp(v.demand(), v.candidates(), _scenarios(v), 2).select("scenario_id", "aoi_id", "covered", "n_sites", "error")
+
+
+@query("ga_population_eval", f"""with {OD}, pop as (select aoi_id, site_id, unnest(range(4)) as ind from candidates), sel as (select * from pop where (site_id + ind) % 4 = 0 or site_id % 10 = ind),
+ nn as (select s.aoi_id, s.ind, od.demand_id, any_value(weight) as weight, min(dist) as d from sel s join od using (aoi_id, site_id) group by all)
+ select aoi_id, ind, n_sites, round(sum(weight*d), 0) as p_median, max(d) as p_center, round(sum(case when d <= 10000 then weight else 0e0 end), 2) as mclp, n_sites + 10*count(*) filter (d > 10000) as lscp
+ from nn join (select aoi_id, ind, count(*) as n_sites from sel group by all) using (aoi_id, ind) group by aoi_id, ind, n_sites""", DC)
+def ga_population_eval(v):
+    c = v.candidates()
+    pop = c.select("aoi_id", "site_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("ind"))
+    pop = pop.where("(site_id + ind) % 4 = 0 or site_id % 10 = ind")
+    return sweep.population_fitness(v.demand(), pop, c, R)
+
+
+@query("ga_evolve")
+def ga_evolve(v):
+    return genetic.evolve_p_median(v.demand(), v.candidates(), 3, R, population=8, generations=2)
+
+
+@query("evaluate_solution", f"""with {OD}, s as (select *, row_number() over (partition by aoi_id order by cost, site_id) as r from candidates), nn as (select o.aoi_id, o.demand_id, o.weight, min(o.dist) as d from od o join s on s.aoi_id=o.aoi_id and s.site_id=o.site_id and s.r<=3 group by all)
+ select aoi_id, round(sum(weight*d)/sum(weight), 3) as mean_m, max(d) as max_m, min(d) as min_m, round(stddev_pop(d), 2) as std_m, round(max(weight*d), 2) as max_weighted,
+ round(sum(case when d<=10000 then weight else 0e0 end)/sum(weight)*100e0, 6) as pct_weight from nn group by 1""", DC)
+def evaluate_solution(v):
+    from ..operators.measures import top_n
+
+    s = top_n(v.candidates(), ["aoi_id"], [F.asc("cost"), F.asc("site_id")], 3)
+    n = nearest_site(v.demand(), s)
+    w, d = F.col("weight"), F.col("dist_m")
+    return n.groupBy("aoi_id").agg(
+        F.round(F.sum(w * d) / F.sum(w), 3).alias("mean_m"), F.max(d).alias("max_m"), F.min(d).alias("min_m"), F.round(F.stddev_pop(d), 2).alias("std_m"),
+        F.round(F.max(w * d), 2).alias("max_weighted"), F.round(F.coalesce(F.sum(F.when(d <= R, w)), F.lit(0.0)) / F.sum(w) * 100.0, 6).alias("pct_weight"),
+    )
