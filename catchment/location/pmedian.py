@@ -225,7 +225,7 @@ def p_median_bound(
     p: int,
     upper: DataFrame,
     keys: Sequence[str] = ("aoi_id",),
-    side: int = 24,
+    side: int = 16,
     rounds: int = 6,
     metric=geo.Haversine,
 ) -> DataFrame:
