@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.coverage import pairs_within
 from ..operators.measures import top_n
 from ..operators.polygon import clip_to_own_polygon
+from ..operators.running import running_totals
 from ..session import materialize
 
 # People per km2 where nothing is known, and the last resort.
@@ -47,8 +48,9 @@ def points_in_areas(
         lat = F.col("by0") + w * (F.col("by1") - F.col("by0"))
     drawn = c.select(*k, "n", "t", lon.alias("lon"), lat.alias("lat"))
     inside = clip_to_own_polygon(drawn, edges, "t", k)
-    # a point count is capped per area (2000 by default), so a rank per area stays small
-    return inside.transform(lambda d: top_n(d, k, [F.asc("t")], 1 << 30, rank="point_no")).where("point_no <= n").select(*k, "point_no", "lon", "lat")
+    one = inside.withColumn("one", F.lit(1))
+    ranked = running_totals(one, k, "t", ["one"], width=100000.0).withColumnRenamed("cum_one", "point_no")
+    return ranked.where("point_no <= n").select(*k, "point_no", "lon", "lat")
 
 
 def synthetic_demand(counts: DataFrame, edges: DataFrame, population: DataFrame, keys: Sequence[str] = ("aoi_id",), seed: int = 42) -> DataFrame:
