@@ -49,7 +49,7 @@ POI_B = [
 ACTIVITY = [
     "cast(user_id as string) as session_id",
     "event_id",
-    "ts",
+    "cast(ts as timestamp) as ts",
     "event_type as stage",
     "case when event_type='error' then 'fail' when value < 10e0 then 'try' else 'ok' end as status",
     "value as duration_ms",

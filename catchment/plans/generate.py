@@ -108,3 +108,20 @@ def _independent(work: DataFrame, step: float, k: list[str], point_id: str) -> D
         gone = near.join(win, [*k, "i"], "left_semi").select(*k, F.col("j").alias("i")).distinct()
         undecided = materialize(undecided.join(win, [*k, "i"], "left_anti").join(gone, [*k, "i"], "left_anti"), "undecided")
     return work.join(kept.withColumnRenamed("i", point_id), [*k, point_id], "left_semi")
+
+
+def padded_outline(hull: DataFrame, keys: Sequence[str] = ("aoi_id",), share: float = 0.05, least_m: float = 500.0) -> DataFrame:
+    """Hull corners moved away from the middle of their box, so every point keeps a margin."""
+    from ..functions.geo import M_PER_DEG
+
+    k = list(keys)
+    b = hull.groupBy(*k).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    h = hull.join(b, k).withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+    per_x = F.cos(F.radians("cy")) * M_PER_DEG
+    dx, dy = (F.col("x") - F.col("cx")) * per_x, (F.col("y") - F.col("cy")) * M_PER_DEG
+    extent = F.greatest((F.col("x1") - F.col("x0")) * per_x, (F.col("y1") - F.col("y0")) * M_PER_DEG)
+    pad = F.greatest(extent * share, F.lit(least_m))
+    # a corner at distance r moves to r + pad; scaling by at least (1 + pad / half diagonal) keeps all points inside
+    r = F.sqrt(dx * dx + dy * dy)
+    f = F.when(r > 0, 1 + pad / r).otherwise(F.lit(1.0))
+    return h.select(*k, "seq", (F.col("cx") + (F.col("x") - F.col("cx")) * f).alias("x"), (F.col("cy") + (F.col("y") - F.col("cy")) * f).alias("y"))

@@ -1,6 +1,6 @@
 """All registered queries; importing this package fills the tables."""
 
 from .registry import ORACLES, QUERIES
-from . import audit, scalars, joins, location, measures, quality, sources, places, messages  # noqa: F401
+from . import audit, scalars, joins, location, measures, quality, sources, places, messages, streaming, generate  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]
