@@ -68,7 +68,23 @@ def mclp_probabilistic(v):
     return cover.greedy_p(pairs, 3)
 
 
-@query("lscp_greedy")
+def _cover_cte(radius: str, need: str = "1e0", coef: str = "1e0", value: str = "1e0", seed: str = "null") -> str:
+    """Recursive greedy cover and recursive closing of redundant sites, one site per step."""
+    return f"""{OD}, cov as materialized (select aoi_id, demand_id, site_id, {value} as value, {coef} as coef from od where dist <= {radius}),
+ greedy(aoi_id, n, chosen) as (select aoi_id, 0, coalesce(list(site_id) filter (site_id is not null), cast([] as bigint[])) from (select aoi_id, cast({seed} as bigint) as site_id from candidates group by 1) group by 1
+  union all select aoi_id, n+1, list_append(chosen, best) from (select aoi_id, any_value(n) as n, any_value(chosen) as chosen, arg_min(site_id, (-gain, site_id)) as best from (
+   select u.aoi_id, any_value(u.n) as n, any_value(u.chosen) as chosen, c.site_id, round(sum(c.value*least(u.need, c.coef)), 4) as gain from (
+    select g.aoi_id, any_value(g.n) as n, any_value(g.chosen) as chosen, c.demand_id, {need} - coalesce(sum(case when list_contains(g.chosen, c.site_id) then c.coef end), 0e0) as need from greedy g join cov c using (aoi_id) group by g.aoi_id, c.demand_id) u
+   join cov c on c.aoi_id=u.aoi_id and c.demand_id=u.demand_id where u.need > 1e-9 and not coalesce(list_contains(u.chosen, c.site_id), false) group by u.aoi_id, c.site_id) group by aoi_id)),
+ lean(aoi_id, n, chosen) as (select aoi_id, 0, arg_max(chosen, n) from greedy group by 1
+  union all select aoi_id, n+1, list_filter(chosen, lambda x: x <> gone) from (select aoi_id, any_value(n) as n, any_value(chosen) as chosen, arg_max(site_id, (-k, site_id)) as gone from (
+   select aoi_id, site_id, any_value(n) as n, any_value(chosen) as chosen, count(*) as k from (
+    select l.aoi_id, l.n, l.chosen, c.site_id, c.coef, sum(c.coef) over (partition by l.aoi_id, c.demand_id) as tot from lean l join cov c on c.aoi_id=l.aoi_id and list_contains(l.chosen, c.site_id))
+   group by aoi_id, site_id having bool_and(tot - coef >= {need} - 1e-9) and (aoi_id, site_id) not in (select aoi_id, cast({'min(site_id)' if seed != 'null' else '-1'} as bigint) from candidates group by 1)) group by aoi_id)),
+ final as (select aoi_id, unnest(arg_max(chosen, n)) as site_id from lean group by 1)"""
+
+
+@query("lscp_greedy", "with " + _cover_cte("10000") + " select aoi_id, site_id from final", DC, recursive=True)
 def lscp_greedy(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"], value=F.lit(1.0))
     got = cover.greedy_cover(pairs)
@@ -155,19 +171,21 @@ def mclp_multi(v):
     return cover.greedy_p(pairs, 4, score=cover._multi_score(2.0))
 
 
-@query("mclp_bound")
+@query("mclp_bound", _cover_sql(3).rsplit(" select aoi_id, 1 as step", 1)[0] + """, g4 as (select aoi_id, site_id, sum(weight*least(need, 1e0)) as gain from cov join n3 using (aoi_id, demand_id) where need > 1e-9 and (aoi_id, site_id) not in (select aoi_id, site_id from p1 union all select aoi_id, site_id from p2 union all select aoi_id, site_id from p3) group by 1,2),
+ t as (select aoi_id, sum(gain) as more from (select *, row_number() over (partition by aoi_id order by gain desc, site_id) as r from g4) where r<=3 group by 1), h as (select aoi_id, sum(gain) as v from (select * from p1 union all select * from p2 union all select * from p3) group by 1)
+ select aoi_id, round(v, 2) as value, round(v+coalesce(more,0e0), 2) as upper_bound from h left join t using (aoi_id)""", DC)
 def mclp_bound(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
     return cover.mclp_bound(pairs, cover.greedy_p(pairs, 3), 3)
 
 
-@query("lscp_backup")
+@query("lscp_backup", "with " + _cover_cte("15000", need="2e0") + " select aoi_id, site_id from final", DC, recursive=True)
 def lscp_backup(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), 15000.0, ["aoi_id"], need=2.0, value=F.lit(1.0))
     return cover.drop_redundant(pairs, cover.greedy_cover(pairs))
 
 
-@query("lscp_conditional")
+@query("lscp_conditional", "with " + _cover_cte("10000", seed="min(site_id)") + " select aoi_id, site_id, (aoi_id, site_id) in (select aoi_id, min(site_id) from candidates group by 1) as existing from final", DC, recursive=True)
 def lscp_conditional(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"], value=F.lit(1.0))
     have = _first_site(v)
@@ -176,7 +194,7 @@ def lscp_conditional(v):
     return got.join(mark, ["aoi_id", "site_id"], "left").withColumn("existing", F.coalesce("existing", F.lit(False)))
 
 
-@query("lscp_probabilistic")
+@query("lscp_probabilistic", "with " + _cover_cte("15000", need="(-ln(1e0-0.95e0))", coef="(-ln(1e0-reliability))") + " select aoi_id, site_id from final", DC, recursive=True)
 def lscp_probabilistic(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), 15000.0, ["aoi_id"], need=cover.log_need(0.95), coef=cover.log_coef(), value=F.lit(1.0))
     return cover.drop_redundant(pairs, cover.greedy_cover(pairs))
@@ -195,7 +213,7 @@ def lscp_bound(v):
     return cover.packing_bound(pairs)
 
 
-@query("max_facilities")
+@query("max_facilities", "with " + _cover_cte("10000") + " select aoi_id, count(*) as n_sites, count(*) <= 18 as within_limit from final group by 1", DC, recursive=True)
 def max_facilities(v):
     """Cover with a limit on the number of sites: which areas stay within it."""
     pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"], value=F.lit(1.0))
@@ -275,3 +293,25 @@ def evaluate_solution(v):
         F.round(F.sum(w * d) / F.sum(w), 3).alias("mean_m"), F.max(d).alias("max_m"), F.min(d).alias("min_m"), F.round(F.stddev_pop(d), 2).alias("std_m"),
         F.round(F.max(w * d), 2).alias("max_weighted"), F.round(F.coalesce(F.sum(F.when(d <= R, w)), F.lit(0.0)) / F.sum(w) * 100.0, 6).alias("pct_weight"),
     )
+
+
+@query("mclp_backup")
+def mclp_backup(v):
+    """Backup cover is the k-cover model with k = 2 by default."""
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), 20000.0, ["aoi_id"], need=2.0)
+    return cover.greedy_p(pairs, 3, score=cover._multi_score(2.0))
+
+
+def _batch_sql() -> str:
+    s = _cover_sql(2).replace(COV, "cov as materialized (select concat(aoi_id, '|', b) as aoi_id, demand_id, site_id, weight from od, (values (0),(1)) t(b) where dist <= 10000 and demand_id%2=b)")
+    s = s.replace("select aoi_id, demand_id, 1e0 as need from demand", "select concat(aoi_id, '|', demand_id%2) as aoi_id, demand_id, 1e0 as need from demand")
+    return "select split_part(aoi_id,'|',1) as aoi_id, cast(split_part(aoi_id,'|',2) as bigint) as half, step, site_id, gain from (" + s + ")"
+
+
+@query("batch_aoi", _batch_sql(), DC)
+def batch_aoi(v):
+    """Ten areas (each area's demand in two halves) solved in one keyed job."""
+    d = v.demand().withColumn("half", F.col("demand_id") % 2)
+    halves = d.select("aoi_id", "half").distinct()
+    pairs = cover.cover_pairs(d, v.candidates().join(halves, "aoi_id"), R, ["aoi_id", "half"])
+    return cover.greedy_p(pairs, 2, ["aoi_id", "half"])

@@ -65,13 +65,16 @@ def bottom_decile_access(n):
     return running.worst_served(n, ["aoi_id"]).select("aoi_id", F.round("bottom_decile_m", 3).alias("bottom_decile_m"))
 
 
-@_near_q("equity_block", "select aoi_id, round(max(weight*dist_m),2) as max_weighted_m, round(sum(case when dist_m<=10000 then weight else 0e0 end)/sum(weight)*100e0,6) as pct_within from nr group by 1")
-def equity_block(n):
-    w, d = F.col("weight"), F.col("dist_m")
-    return n.groupBy("aoi_id").agg(
-        F.round(F.max(w * d), 2).alias("max_weighted_m"),
-        F.round(measures.pct(F.coalesce(F.sum(F.when(d <= R, w)), F.lit(0.0)), F.sum(w)), 6).alias("pct_within"),
-    )
+@_near_q("max_weighted_distance", "select aoi_id, round(max(weight*dist_m),2) as max_weighted_m from nr group by 1")
+def max_weighted_distance(n):
+    return n.groupBy("aoi_id").agg(F.round(F.max(F.col("weight") * F.col("dist_m")), 2).alias("max_weighted_m"))
+
+
+@_near_q("pct_within_threshold", "select aoi_id, round(sum(case when dist_m<=10000 then weight else 0e0 end)/sum(weight)*100e0,6) as pct_within from nr group by 1")
+def pct_within_threshold(n):
+    w = F.col("weight")
+    hit = F.coalesce(F.sum(F.when(F.col("dist_m") <= R, w)), F.lit(0.0))
+    return n.groupBy("aoi_id").agg(F.round(measures.pct(hit, F.sum(w)), 6).alias("pct_within"))
 
 
 @_near_q("cum_weight", ", h as (select aoi_id, dist_m as d, sum(weight) w, sum(weight*dist_m) wd from nr group by 1,2) select aoi_id, d, round(sum(w) over (partition by aoi_id order by d),4) as cum_w, round(sum(wd) over (partition by aoi_id order by d),0) as cum_wd from h")

@@ -21,6 +21,14 @@ def best_division_with_polygon(v):
     return places.best_division(m, areas, ["q"])
 
 
+@query("rank_best_first", f"""with m as (select c_custkey//20 as q, c_custkey as id, {_SUB} as subtype from customer), r as (select *, row_number() over (partition by q order by abs(case subtype when 'country' then 2 when 'region' then 4 when 'county' then 6 when 'localadmin' then 7 when 'locality' then 8 else 10 end - 6), id) as r from m)
+ select q, id, subtype from (select *, row_number() over (partition by q order by r) as u from r where r<=5 and id%3<>0) where u=1""")
+def rank_best_first(v):
+    """Candidates by admin-level gap; the first of five that can be used."""
+    m = v.table("customer").selectExpr("c_custkey div 20 as q", "c_custkey as id", "'x' as name", f"{_SUB} as subtype", "'x' as wanted")
+    return places.best_division(m, m.select("id").where("id % 3 <> 0"), ["q"], admin_level=6)
+
+
 @query("tier_fallback", """with t as (select aoi_id, site_id, 1 as tier from candidates where aoi_id in ('R0','R1') and site_id%2=0 union all select aoi_id, site_id, 2 from candidates where aoi_id in ('R1','R2','R3') union all select aoi_id, site_id, 3 from candidates)
  select aoi_id, site_id, tier from t where tier = (select min(tier) from t q where q.aoi_id=t.aoi_id)""", ("candidates",))
 def tier_fallback(v):

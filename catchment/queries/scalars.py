@@ -43,6 +43,12 @@ def to_metres(v):
     )
 
 
+@query("from_metres", f"select l_orderkey, l_linenumber, coalesce(l_extendedprice/f, l_extendedprice) as in_unit from (select *, {_FACTOR.replace('unit', 'u')} as f from (select *, {_UNIT.replace('p_partkey', 'l_partkey')} as u from lineitem))")
+def from_metres(v):
+    li = v.table("lineitem").withColumn("u", F.expr(_UNIT.replace("p_partkey", "l_partkey")))
+    return li.select("l_orderkey", "l_linenumber", units.from_metres(F.col("l_extendedprice"), F.col("u")).alias("in_unit"))
+
+
 @query("looks_like_lonlat", """
 select src, aoi_id, min(x)>=-180 and max(x)<=180 and min(y)>=-90 and max(y)<=90 and max(x)-min(x)<360 and max(y)-min(y)<180
   and not (min(x)>0 and max(x)<1000 and min(y)>0 and max(y)<1000) as is_lonlat
@@ -172,13 +178,17 @@ _ATTRS = ["c_custkey", "case c_custkey%3 when 0 then 'n/a' when 1 then cast(c_cu
           "case c_custkey%3 when 0 then '  ' when 1 then ' Site ' end as name", "c_mktsegment as label"]
 
 
-@query("first_filled", f"""select c_custkey, coalesce(case when not isnan(try_cast(population as double)) then try_cast(population as double) end,
- case when not isnan(try_cast(pop as double)) then try_cast(pop as double) end, try_cast(demand as double)) as num,
- coalesce(nullif(trim(name),''), nullif(trim(label),'')) as txt from (select {', '.join(_ATTRS)} from customer)""")
-def first_filled(v):
+@query("first_numeric", f"""select c_custkey, coalesce(case when not isnan(try_cast(population as double)) then try_cast(population as double) end,
+ case when not isnan(try_cast(pop as double)) then try_cast(pop as double) end, try_cast(demand as double)) as num from (select {', '.join(_ATTRS)} from customer)""")
+def first_numeric(v):
+    a = v.table("customer").selectExpr(*_ATTRS)
+    return a.select("c_custkey", text.first_numeric([F.col("population"), F.col("pop"), F.col("demand")]).alias("num"))
+
+
+@query("first_text", f"select c_custkey, coalesce(nullif(trim(name),''), nullif(trim(label),'')) as txt from (select {', '.join(_ATTRS)} from customer)")
+def first_text(v):
     a = v.table("customer").selectExpr(*_ATTRS)
-    return a.select("c_custkey", text.first_numeric([F.col("population"), F.col("pop"), F.col("demand")]).alias("num"),
-                    text.first_text([F.col("name"), F.col("label")]).alias("txt"))
+    return a.select("c_custkey", text.first_text([F.col("name"), F.col("label")]).alias("txt"))
 
 
 @query("format_metric", "select o_orderkey, case when abs(x) >= 1000 then format('{:,.1f}', x) else rtrim(rtrim(printf('%.3f', x), '0'), '.') end as shown "
