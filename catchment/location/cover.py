@@ -37,6 +37,11 @@ def cover_pairs(
     )
 
 
+def _none(pairs: DataFrame, k: Sequence[str], **cols: str) -> DataFrame:
+    """No rows, with the keys and the given typed columns."""
+    return pairs.select(*k, *[F.lit(None).cast(t).alias(c) for c, t in cols.items()]).limit(0)
+
+
 def _gain():
     return F.col("value") * F.least("need", "coef")
 
@@ -94,6 +99,8 @@ def greedy_p(
         steps = row if steps is None else steps.unionByName(row)
         if step < p:
             pairs = open_sites(pairs, pick, k)
+    if steps is None:
+        return _none(pairs, k, step="int", site_id="bigint", gain="double")
     return steps
 
 
@@ -119,6 +126,8 @@ def greedy_budget(pairs: DataFrame, costs: DataFrame, budget: float, keys: Seque
             spent.unionByName(pick.select(*k, "spent")).groupBy(*k).agg(F.max("spent").alias("spent")), "spent"
         )
         pairs = open_sites(pairs, pick, k)
+    if steps is None:
+        return _none(pairs, k, step="int", site_id="bigint", gain="double", spent="double")
     tot = steps.groupBy(*k).agg(F.sum("gain").alias("_sum"))
     use_single = single.join(tot, k).where(F.col("gain") > F.col("_sum"))
     solo = use_single.select(*k, F.lit(1).alias("step"), "site_id", "gain", F.col("price").alias("spent"))
@@ -162,6 +171,8 @@ def greedy_capacity(
                 pairs.join(got.select(*k, "demand_id"), [*k, "demand_id"], "left_anti").join(pick.select(*k, "site_id"), [*k, "site_id"], "left_anti"),
                 "pairs",
             )
+    if out is None:
+        return _none(pairs, k, step="int", site_id="bigint", demand_id="bigint", weight="double")
     return out
 
 
@@ -218,6 +229,8 @@ def greedy_cover(
         row = win.select(*k, F.lit(r).alias("round"), "site_id")
         out = row if out is None else out.unionByName(row)
         pairs = open_sites(pairs, win, k)
+    if out is None:
+        return _none(pairs, k, round="int", site_id="bigint")
     return table(out, "cover")
 
 
@@ -271,6 +284,8 @@ def packing_bound(pairs: DataFrame, keys: Sequence[str] = ("aoi_id",), k_cover:
         taken = cur.join(win, [*k, "demand_id"], "left_semi").select(*k, "site_id").distinct()
         hit = cur.join(taken, [*k, "site_id"]).select(*k, "demand_id").distinct()
         cur = table(cur.join(hit, [*k, "demand_id"], "left_anti"), "packing")
+    if found is None:
+        return _none(pairs, k, lower_bound="bigint")
     return found.groupBy(*k).agg((F.count(F.lit(1)) * k_cover).alias("lower_bound"))
 
 
@@ -301,4 +316,6 @@ def partial_cover(pairs: DataFrame, totals: DataFrame, fraction: float, keys: Se
         steps = row if steps is None else steps.unionByName(row)
         have = table(have.join(pick.select(*k, "gain"), k, "left").select(*k, (F.col("have") + F.coalesce("gain", F.lit(0.0))).alias("have")), "have")
         pairs = open_sites(pairs, pick, k)
+    if steps is None:
+        return _none(pairs, k, step="int", site_id="bigint", gain="double")
     return steps

@@ -22,6 +22,8 @@ FIRST_SIDE = 16
 LAST_SIDE = 4096
 # candidates per key that may be costed exactly without another screening pass
 FEW = 64
+# cells (all keys together) that may be sent to every executor: about 60 MB
+BROADCAST_CELLS = 1_000_000
 def rounded(c):
     return F.round(c, COST_DIGITS)
 
@@ -89,15 +91,17 @@ class GreedyState:
         k = self.keys
         side = FIRST_SIDE
         while side <= LAST_SIDE:
-            n = cand.groupBy(*k).count().agg(F.max("count")).first()[0] or 0
-            if n <= FEW:
+            per_key = cand.groupBy(*k).count()
+            n, n_keys = per_key.agg(F.max("count"), F.count(F.lit(1))).first()
+            if (n or 0) <= FEW:
                 return cand
             cells = self._d1_at(_screen_cells(self.spots, self.box, k, side, self.metric))
+            if n_keys * side * side <= BROADCAST_CELLS:
+                cells = F.broadcast(cells)
             d = self.metric.dist(F.col("lon"), F.col("lat"), F.col("cx"), F.col("cy"))
             est = cand.join(cells, k).groupBy(*k, "site_id", "lon", "lat").agg(
                 F.sum(F.col("cw") * F.least("cd", d)).alias("est"), F.sum("ce").alias("err")
             )
-            est = table(est, "screen")
             top = est.groupBy(*k).agg(F.min(F.col("est") + F.col("err")).alias("_ub"))
             left = est.join(top, k).where(F.col("est") - F.col("err") <= F.col("_ub") + 1.0)
             cand = table(left.select(*k, "site_id", "lon", "lat"), "screen")
@@ -109,17 +113,22 @@ class GreedyState:
         k = self.keys
         c = cand.select(*k, "site_id", F.col("lon").alias("_sx"), F.col("lat").alias("_sy"))
         d = self.metric.dist(F.col("lon"), F.col("lat"), F.col("_sx"), F.col("_sy"))
-        return self.spots.join(c, k).groupBy(*k, "site_id").agg(
+        return self.spots.join(c, k).groupBy(*k, "site_id", "_sx", "_sy").agg(
             rounded(F.sum(F.col("weight") * F.least("d1", d))).alias("cost")
-        )
+        ).withColumnsRenamed({"_sx": "lon", "_sy": "lat"})
+
+    def best(self, cand: DataFrame) -> DataFrame:
+        """(keys, site_id, cost, lon, lat) of the cheapest candidate per key."""
+        costs = self.costs(self.survivors(cand)).withColumn("neg", -F.col("cost"))
+        pick = best_site(costs, self.keys, "neg", extra=["lon", "lat"])
+        return table(pick.withColumn("cost", -F.col("neg")).drop("neg"), "pick")
 
     def add(self, picked: DataFrame) -> None:
-        """Open the picked sites (at most a handful per key) and update d1."""
+        """Open the picked sites (keys, site_id, lon, lat), a handful per key, and update d1."""
         k = self.keys
-        got = picked.select(*k, "site_id").join(self.sites, [*k, "site_id"])
-        got = table(got, "picked")
+        got = picked.select(*k, "site_id", "lon", "lat")
         self.spots = table(self._served(self.spots, got), "spots")
-        self.open = got if self.open is None else table(self.open.unionByName(got), "open")
+        self.open = got if self.open is None else self.open.unionByName(got)
 
     def remaining(self, exclude: DataFrame | None = None) -> DataFrame:
         left = self.sites
@@ -149,7 +158,8 @@ def p_median_greedy(
     steps: list[DataFrame] = []
     quota = None
     if must_open is not None:
-        st.add(must_open)
+        given = must_open.select(*k, "site_id").join(st.sites, [*k, "site_id"])
+        st.add(table(given, "given"))
         base = st.spots.groupBy(*k).agg(rounded(F.sum(F.col("weight") * F.col("d1"))).alias("cost"))
         steps.append(st.open.join(base, k).select(*k, F.lit(0).alias("step"), "site_id", "cost"))
         quota = st.open.groupBy(*k).agg((F.lit(p) - F.count(F.lit(1))).alias("_quota"))
@@ -158,13 +168,15 @@ def p_median_greedy(
         cand = st.remaining(must_close)
         if quota is not None:
             cand = cand.join(quota, k, "left").where(F.coalesce("_quota", F.lit(p)) >= step).drop("_quota")
-        costs = st.costs(st.survivors(cand)).withColumn("neg", -F.col("cost"))
-        pick = table(best_site(costs, k, "neg"), "pick")
+        pick = st.best(cand)
         if pick.isEmpty():
             break
-        steps.append(pick.select(*k, F.lit(step).alias("step"), "site_id", (-F.col("neg")).alias("cost")))
+        steps.append(pick.select(*k, F.lit(step).alias("step"), "site_id", "cost"))
         if step < p:
             st.add(pick)
+    if not steps:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("step", "int"), ("site_id", "bigint"), ("cost", "double"))]
+        return demand.select(*k, *none).limit(0)
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)
@@ -204,10 +216,8 @@ def p_median_swap(
         d = demand.select(*k, "demand_id", "lon", "lat", "weight").join(gone, k)
         pool = gone.join(xy, k).join(cur.select(*k, "site_id"), [*k, "site_id"], "left_anti")
         st = GreedyState(d, pool, kk, metric, opened=rest)
-        costs = st.costs(st.survivors(pool)).withColumn("neg", -F.col("cost"))
-        best = best_site(costs, kk, "neg").withColumn("both", F.struct("neg", -F.col("gone"), -F.col("site_id")))
-        best = best.groupBy(*k).agg(F.max(F.struct("neg", (-F.col("gone")).alias("g"), (-F.col("site_id")).alias("i"))).alias("m"))
-        better = best.select(*k, (-F.col("m.neg")).alias("new_cost"), (-F.col("m.g")).alias("gone"), (-F.col("m.i")).alias("site_id"))
+        best = st.best(pool).groupBy(*k).agg(F.min(F.struct("cost", "gone", "site_id")).alias("m"))
+        better = best.select(*k, F.col("m.cost").alias("new_cost"), "m.gone", "m.site_id")
         better = table(better.join(cost, k).where(F.col("new_cost") < F.col("cost")), "swap")
         if better.isEmpty():
             break
@@ -346,12 +356,12 @@ def p_median_budget(
         rest = F.coalesce("_all", F.lit(0.0)) - F.when(F.col("_in").isNull(), F.coalesce("_last", F.lit(0.0))).otherwise(F.lit(0.0))
         ok = need.withColumn("_rest", rest).join(spent, k).where(F.col("spent") + F.col("price") + F.col("_rest") <= budget)
         ok = table(ok.select(*k, "site_id", "lon", "lat"), "affordable")
-        costs = st.costs(st.survivors(ok)).withColumn("neg", -F.col("cost"))
-        pick = best_site(costs, k, "neg").join(price, [*k, "site_id"]).join(spent, k)
-        pick = table(pick.select(*k, F.lit(step).alias("step"), "site_id", (-F.col("neg")).alias("cost"), (F.col("spent") + F.col("price")).alias("spent")), "pick")
+        pick = st.best(ok).join(price, [*k, "site_id"]).join(spent, k)
+        pick = table(pick.select(*k, F.lit(step).alias("step"), "site_id", "cost", (F.col("spent") + F.col("price")).alias("spent"), "lon", "lat"), "pick")
         if pick.isEmpty():
             break
-        steps = pick if steps is None else steps.unionByName(pick)
+        row = pick.drop("lon", "lat")
+        steps = row if steps is None else steps.unionByName(row)
         upd = pick.select(*k, F.col("spent").alias("_s"))
         spent = table(spent.join(upd, k, "left").select(*k, F.coalesce("_s", "spent").alias("spent"), "_n"), "spent")
         if step < p:

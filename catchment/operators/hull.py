@@ -30,7 +30,7 @@ def _chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(low[:-1] + up[:-1])
 
 
-def convex_hull(points: DataFrame, keys: Sequence[str] = ("aoi_id",), x: str = "lon", y: str = "lat", directions: int = 16) -> DataFrame:
+def convex_hull(points: DataFrame, keys: Sequence[str] = ("aoi_id",), x: str = "lon", y: str = "lat", directions: int = 16, groups: int = 512) -> DataFrame:
     """(keys, seq, x, y) of the hull.
 
     Points inside the polygon of the extreme points in a few directions cannot
@@ -58,6 +58,11 @@ def convex_hull(points: DataFrame, keys: Sequence[str] = ("aoi_id",), x: str = "
         i = _chain(g["x"].to_numpy(), g["y"].to_numpy())
         return g.iloc[i].assign(seq=np.arange(len(i), dtype="int32"))
 
-    part = rest.mapInPandas(thin, schema)
+    def shrink(g: pd.DataFrame) -> pd.DataFrame:
+        return g.iloc[_chain(g["x"].to_numpy(), g["y"].to_numpy())]
+
+    # batches thin themselves, hashed groups thin again, so the last merge is small
+    part = rest.mapInPandas(thin, schema).withColumn("_g", F.pmod(F.xxhash64("x", "y"), F.lit(groups)))
+    part = part.groupBy(*k, "_g").applyInPandas(shrink, part.schema).drop("_g")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", seq int"
     return part.groupBy(*k).applyInPandas(merge, out)

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 BUCKET_M = 100.0
+# ids or buckets per bucket of the next level
+_FAN = 100_000.0
 
 
 def running_totals(
@@ -23,22 +25,41 @@ def running_totals(
     sums: Sequence[str],
     width: float = BUCKET_M,
     tie: Sequence[str] = (),
+    levels: int = 1,
 ) -> DataFrame:
-    """Add inclusive running totals ``cum_<s>`` ordered by ``value``."""
+    """Add inclusive running totals ``cum_<s>`` ordered by ``value``.
+
+    With ``levels`` above one the bucket totals are themselves summed in buckets
+    of ``_FAN``, so values of any spread (64-bit ids) stay bounded per task.
+    """
     k = list(keys)
-    b = df.withColumn("_b", F.floor(F.col(value) / F.lit(width)))
-    totals = b.groupBy(*k, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    before = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *k, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums]
-    )
-    inside = Window.partitionBy(*k, "_b").orderBy(value, *tie).rowsBetween(
+    bucket = f"_b{levels}"
+    b = df.withColumn(bucket, F.floor(F.col(value) / F.lit(float(width))))
+    totals = b.groupBy(*k, bucket).agg(*[F.sum(s).alias(f"_t{levels}_{s}") for s in sums])
+    names = [f"_t{levels}_{s}" for s in sums]
+    if levels > 1:
+        run = running_totals(totals, k, bucket, names, width=_FAN, levels=levels - 1)
+        before = [(F.col(f"cum_{t}") - F.col(t)).alias(f"_o_{s}") for s, t in zip(sums, names)]
+        offsets = run.select(*k, bucket, *before)
+    else:
+        w = Window.partitionBy(*k).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *k, bucket, *[F.coalesce(F.sum(t).over(w), F.lit(0)).alias(f"_o_{s}") for s, t in zip(sums, names)]
+        )
+    inside = Window.partitionBy(*k, bucket).orderBy(value, *tie).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    out = b.join(offsets, [*k, "_b"])
+    out = b.join(offsets, [*k, bucket])
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.sum(s).over(inside) + F.col(f"_o_{s}"))
-    return out.drop("_b", *[f"_o_{s}" for s in sums])
+    return out.drop(bucket, *[f"_o_{s}" for s in sums])
+
+
+def id_ranks(df: DataFrame, keys: Sequence[str], ident: str, name: str) -> DataFrame:
+    """Rank from 1 by a unique integer id per key, for ids of any spread."""
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    r = running_totals(one, keys, ident, ["_one"], width=_FAN, levels=4)
+    return r.withColumnRenamed("cum__one", name).drop("_one")
 
 
 def distance_histogram(
@@ -119,7 +140,7 @@ def worst_served(
         .join(summary.select(*k, F.col("edge_d").alias("d"), "w0", "lim"), [*k, "d"])
     )
     part = (
-        running_totals(edge, [*k, "d"], "pid", ["w"], width=100000.0)
+        running_totals(edge, [*k, "d"], "pid", ["w"], width=_FAN, levels=4)
         .where(F.round(F.col("cum_w") + F.col("w0"), 6) <= F.col("lim"))
         .groupBy(*k)
         .agg(F.sum("w").alias("w1"), F.sum(F.col("w") * F.col("d")).alias("wd1"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.coverage import pairs_within
 from ..operators.measures import top_n
 from ..operators.polygon import clip_to_own_polygon
-from ..operators.running import running_totals
+from ..operators.running import id_ranks
 from ..session import materialize
 
 # People per km2 where nothing is known, and the last resort.
@@ -48,8 +48,7 @@ def points_in_areas(
         lat = F.col("by0") + w * (F.col("by1") - F.col("by0"))
     drawn = c.select(*k, "n", "t", lon.alias("lon"), lat.alias("lat"))
     inside = clip_to_own_polygon(drawn, edges, "t", k)
-    one = inside.withColumn("one", F.lit(1))
-    ranked = running_totals(one, k, "t", ["one"], width=100000.0).withColumnRenamed("cum_one", "point_no")
+    ranked = id_ranks(inside, k, "t", "point_no")
     return ranked.where("point_no <= n").select(*k, "point_no", "lon", "lat")
 
 
