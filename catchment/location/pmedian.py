@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo
+from ..operators.nearest import nearest_site
 from .common import COST_DIGITS, best_site, demand_spots, table
 
 FIRST_SIDE = 16
@@ -47,7 +48,7 @@ def _screen_cells(spots: DataFrame, box: DataFrame, keys, side: int, metric) ->
     return d.groupBy(*keys, "_ix", "_iy").agg(
         F.sum("weight").alias("cw"), F.sum(F.col("weight") * off).alias("ce"),
         F.first("_cx").alias("cx"), F.first("_cy").alias("cy"),
-    ).drop("_ix", "_iy")
+    ).withColumn("cid", (F.col("_ix") * side + F.col("_iy")).cast("bigint")).drop("_ix", "_iy")
 
 
 class GreedyState:
@@ -66,6 +67,8 @@ class GreedyState:
             F.min("lon").alias("bx0"), F.max("lon").alias("bx1"), F.min("lat").alias("by0"), F.max("lat").alias("by1")
         )
         self.open: DataFrame | None = opened
+        # a large open set is searched by tree, a handful is simply looked up
+        self.many_open = False
 
     def _served(self, spots: DataFrame, opened: DataFrame) -> DataFrame:
         k = self.keys
@@ -78,6 +81,8 @@ class GreedyState:
         """Exact distance from every cell centre to the open set."""
         if self.open is None:
             return cells.withColumn("cd", F.lit(FAR_M))
+        if self.many_open:
+            return nearest_site(cells, self.open, self.keys, point_id="cid", x="cx", y="cy", metric=self.metric, dist_name="cd", id_name="_o").drop("_o").withColumn("cd", F.coalesce("cd", F.lit(FAR_M)))
         o = self.open.select(*self.keys, F.col("lon").alias("_ox"), F.col("lat").alias("_oy"))
         d = self.metric.dist(F.col("cx"), F.col("cy"), F.col("_ox"), F.col("_oy"))
         return cells.join(o, self.keys).groupBy(*self.keys, "cx", "cy", "cw", "ce").agg(F.min(d).alias("cd"))
@@ -123,6 +128,14 @@ class GreedyState:
         pick = best_site(costs, self.keys, "neg", extra=["lon", "lat"])
         return table(pick.withColumn("cost", -F.col("neg")).drop("neg"), "pick")
 
+    def add_many(self, given: DataFrame) -> None:
+        """Open a set of any size."""
+        k = self.keys
+        near = nearest_site(self.spots, given, k, metric=self.metric, dist_name="_d", id_name="_o")
+        self.spots = table(near.select(*k, "demand_id", "lon", "lat", "weight", F.least("d1", F.coalesce("_d", F.col("d1"))).alias("d1")), "spots")
+        self.open = given if self.open is None else self.open.unionByName(given)
+        self.many_open = True
+
     def add(self, picked: DataFrame) -> None:
         """Open the picked sites (keys, site_id, lon, lat), a handful per key, and update d1."""
         k = self.keys
@@ -159,7 +172,7 @@ def p_median_greedy(
     quota = None
     if must_open is not None:
         given = must_open.select(*k, "site_id").join(st.sites, [*k, "site_id"])
-        st.add(table(given, "given"))
+        st.add_many(table(given, "given"))
         base = st.spots.groupBy(*k).agg(rounded(F.sum(F.col("weight") * F.col("d1"))).alias("cost"))
         steps.append(st.open.join(base, k).select(*k, F.lit(0).alias("step"), "site_id", "cost"))
         quota = st.open.groupBy(*k).agg((F.lit(p) - F.count(F.lit(1))).alias("_quota"))
@@ -185,8 +198,6 @@ def p_median_greedy(
 
 def objective(demand: DataFrame, selected: DataFrame, keys: Sequence[str] = ("aoi_id",), metric=geo.Haversine) -> DataFrame:
     """Total weighted distance to the nearest of the selected sites."""
-    from ..operators.nearest import nearest_site
-
     n = nearest_site(demand, selected, keys, metric=metric)
     return n.groupBy(*keys).agg(rounded(F.sum(F.col("weight") * F.col("dist_m"))).alias("cost"))
 

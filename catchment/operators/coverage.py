@@ -95,9 +95,9 @@ def pairs_within(
         .select(*cell, F.ceil(F.col("count") / hot_cell).alias("_parts"))
     )
     one = F.lit(1).cast("bigint")
-    left = left.join(F.broadcast(hot), cell, "left").withColumn(
-        "_salt", F.floor(F.rand(7) * F.coalesce("_parts", one)).cast("bigint")
-    ).drop("_parts")
+    # a hash, not a random number: a task that runs again must send rows the same way
+    spread = F.pmod(F.xxhash64(*demand.columns), F.coalesce("_parts", one))
+    left = left.join(F.broadcast(hot), cell, "left").withColumn("_salt", spread).drop("_parts")
     right = right.join(F.broadcast(hot), cell, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", one) - 1))
     ).drop("_parts")

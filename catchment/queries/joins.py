@@ -179,7 +179,7 @@ _EXIST = "site_id % 5 = 0"
 
 @query("residual_demand", f"""select aoi_id, count(*) filter (dist_m <= 10000) as n_served, coalesce(round(sum(weight) filter (dist_m <= 10000), 4), 0e0) as served_weight,
   count(*) filter (dist_m is null or dist_m > 10000) as n_left, round(avg(dist_m), 3) as mean_nearest_m from
- (select d.aoi_id, d.demand_id, d.weight, min({hav('d', 'c')}) as dist_m from demand d left join (select * from candidates where {_EXIST}) c using (aoi_id) group by all) group by 1""", DC)
+ (select d.aoi_id, d.demand_id, d.weight, min(case when c.site_id is not null then {hav('d', 'c')} end) as dist_m from demand d left join (select * from candidates where {_EXIST}) c using (aoi_id) group by all) group by 1""", DC)
 def residual_demand(v):
     n = nearest_site(v.demand(), v.candidates().where(_EXIST))
     served = F.coalesce(F.col("dist_m") <= R, F.lit(False))

@@ -224,7 +224,7 @@ def max_facilities(v):
 def _forced_sql() -> str:
     s = _cover_sql(2)
     s = s.replace("n0 as materialized (select aoi_id, demand_id, 1e0 as need from demand)",
-                  "f as (select aoi_id, min(site_id) as site_id from candidates group by 1), x as (select aoi_id, max(site_id) as site_id from candidates group by 1), "
+                  "f as (select aoi_id, min(site_id) as site_id from candidates group by 1), x as (select aoi_id, max(site_id) as site_id from candidates group by 1 having max(site_id) <> min(site_id)), "
                   "n0 as materialized (select d.aoi_id, d.demand_id, case when c.site_id is null then 1e0 else 0e0 end as need from demand d left join f using (aoi_id) left join cov c on c.aoi_id=d.aoi_id and c.demand_id=d.demand_id and c.site_id=f.site_id)")
     s = s.replace("select '' as aoi_id, -1 as site_id", "select * from f union all select * from x")
     s = s.replace("(select aoi_id, site_id from p1)", "(select aoi_id, site_id from p1 union all select * from f union all select * from x)")
@@ -234,7 +234,7 @@ def _forced_sql() -> str:
 @query("forced_sites", _forced_sql(), DC)
 def forced_sites(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
-    closed = v.candidates().groupBy("aoi_id").agg(F.max("site_id").alias("site_id"))
+    closed = v.candidates().groupBy("aoi_id").agg(F.max("site_id").alias("site_id"), F.min("site_id").alias("lo")).where("site_id <> lo")
     return cover.greedy_p(pairs, 3, must_open=_first_site(v), must_close=closed)
 
 
