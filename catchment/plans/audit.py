@@ -29,7 +29,8 @@ def analyze_facilities(
         nearest = nearest_site(demand, sites, keys).where(F.col("dist_m").isNotNull())
         nearest = materialize(nearest.select(*keys, "demand_id", "lon", "lat", "weight", "site_id", "dist_m"), "nearest")
     k = list(keys)
-    rows = running.distribution(nearest, k)
+    # read three times below
+    rows = materialize(running.distribution(nearest, k), "distances")
     covered = F.col("d") <= radius_m
     cov_w = F.coalesce(F.sum(F.when(covered, F.col("w"))), F.lit(0.0))
     tw = F.max("tot_w")

@@ -10,22 +10,57 @@ DC = ("demand", "candidates")
 OD = f"od as materialized (select d.aoi_id, d.demand_id, c.site_id, d.weight, c.cost, c.capacity, c.reliability, {hav('d', 'c')} as dist from demand d join candidates c using (aoi_id))"
 
 
-def _greedy_sql(p: int) -> str:
-    """Unrolled greedy rounds: state bN (distance after N picks), pick pN."""
-    parts = [OD, "b0 as materialized (select aoi_id, demand_id, weight, 3e7 as d1 from demand)"]
+def _greedy_parts(p: int, t: str = "", od: str = "od", demand: str = "demand") -> list[str]:
+    """Unrolled greedy rounds: state bN (distance after N picks), costs cN, pick pN."""
+    parts = [f"{t}b0 as materialized (select aoi_id, demand_id, weight, 3e7 as d1 from {demand})"]
     for i in range(1, p + 1):
-        done = " union all ".join(f"select aoi_id, site_id from p{j}" for j in range(1, i)) or "select '' as aoi_id, -1 as site_id"
+        done = " union all ".join(f"select aoi_id, site_id from {t}p{j}" for j in range(1, i)) or "select '' as aoi_id, -1 as site_id"
         parts.append(
-            f"c{i} as materialized (select aoi_id, site_id, round(sum(od.weight*least(b.d1, od.dist)), 0) as cost from od join b{i-1} b using (aoi_id, demand_id)"
+            f"{t}c{i} as materialized (select aoi_id, site_id, round(sum({od}.weight*least(b.d1, {od}.dist)), 0) as cost from {od} join {t}b{i-1} b using (aoi_id, demand_id)"
             f" where (aoi_id, site_id) not in ({done}) group by 1, 2)"
         )
-        parts.append(f"p{i} as materialized (select aoi_id, arg_min(site_id, (cost, site_id)) as site_id, min(cost) as cost from c{i} group by 1)")
+        parts.append(f"{t}p{i} as materialized (select aoi_id, arg_min(site_id, (cost, site_id)) as site_id, min(cost) as cost from {t}c{i} group by 1)")
         parts.append(
-            f"b{i} as materialized (select b.aoi_id, b.demand_id, b.weight, least(b.d1, coalesce(od.dist, b.d1)) as d1 from b{i-1} b left join p{i} using (aoi_id)"
-            f" left join od on od.aoi_id=b.aoi_id and od.demand_id=b.demand_id and od.site_id=p{i}.site_id)"
+            f"{t}b{i} as materialized (select b.aoi_id, b.demand_id, b.weight, least(b.d1, coalesce({od}.dist, b.d1)) as d1 from {t}b{i-1} b left join {t}p{i} q using (aoi_id)"
+            f" left join {od} on {od}.aoi_id=b.aoi_id and {od}.demand_id=b.demand_id and {od}.site_id=q.site_id)"
         )
+    return parts
+
+
+def _greedy_sql(p: int) -> str:
     out = " union all ".join(f"select aoi_id, {i} as step, site_id, cost from p{i}" for i in range(1, p + 1))
-    return "with " + ", ".join(parts) + " " + out
+    return "with " + ", ".join([OD] + _greedy_parts(p)) + " " + out
+
+
+def _drop_one_sql() -> str:
+    """The re-solves run over keys 'area|dropped site'."""
+    parts = [OD] + _greedy_parts(2) + [
+        "gone as (select aoi_id, site_id as dropped from p1 union all select aoi_id, site_id from p2)",
+        "od2 as materialized (select concat(od.aoi_id, '|', dropped) as aoi_id, demand_id, site_id, weight, dist from od join gone on gone.aoi_id=od.aoi_id where site_id <> dropped)",
+        "dem2 as materialized (select concat(d.aoi_id, '|', dropped) as aoi_id, demand_id, weight from demand d join gone using (aoi_id))",
+    ] + _greedy_parts(2, "x", "od2", "dem2") + [
+        "last as (select aoi_id, arg_max(cost, step) as cost from (select aoi_id, 1 as step, cost from xp1 union all select aoi_id, 2, cost from xp2) group by 1)",
+        "base as (select aoi_id, round(sum(weight*d1), 0) as base_cost from b2 group by 1)",
+        "o as (select g.aoi_id, dropped, l.cost, base_cost, round((l.cost-base_cost)/abs(base_cost)*100e0, 6) as degradation_pct from gone g join base using (aoi_id) left join last l on l.aoi_id=concat(g.aoi_id, '|', dropped))",
+    ]
+    return "with " + ", ".join(parts) + " select *, row_number() over (partition by aoi_id order by degradation_pct desc nulls last, dropped) as rank from o"
+
+
+def _center_sql(p: int, weighted: bool, existing: bool) -> str:
+    """Unrolled farthest-first rounds and the nearest-candidate bound."""
+    w = "b.weight*b.d1" if weighted else "b.d1"
+    start = "(select dist from od where od.aoi_id=d.aoi_id and od.demand_id=d.demand_id and od.site_id=f.site_id)" if existing else "3e7"
+    parts = [OD, "f as (select aoi_id, min(site_id) as site_id from candidates group by 1)",
+             f"b0 as materialized (select d.aoi_id, d.demand_id, d.weight, d.lon, d.lat, {start} as d1 from demand d join f using (aoi_id))"]
+    done = "select aoi_id, site_id from f" if existing else "select '' as aoi_id, -1 as site_id"
+    for i in range(1, p + 1):
+        parts.append(f"w{i} as materialized (select aoi_id, arg_max(demand_id, (round({w}, 3), -demand_id)) as demand_id from b{i-1} b group by 1)")
+        parts.append(f"p{i} as materialized (select od.aoi_id, arg_min(od.site_id, (dist, od.site_id)) as site_id from od join w{i} using (aoi_id, demand_id) where (od.aoi_id, od.site_id) not in ({done}) group by 1)")
+        parts.append(f"b{i} as materialized (select b.aoi_id, b.demand_id, b.weight, least(b.d1, coalesce(od.dist, b.d1)) as d1 from b{i-1} b left join p{i} q using (aoi_id) left join od on od.aoi_id=b.aoi_id and od.demand_id=b.demand_id and od.site_id=q.site_id)")
+        done += f" union all select aoi_id, site_id from p{i}"
+    best = "weight*m" if weighted else "m"
+    return ("with " + ", ".join(parts) + f" select aoi_id, objective, lower_bound from (select aoi_id, max(round({w}, 3)) as objective from b{p} b group by 1) join (select aoi_id, round(max({best}), 3) as lower_bound from"
+            " (select aoi_id, demand_id, any_value(weight) as weight, min(dist) as m from od group by 1, 2) group by 1) using (aoi_id)")
 
 
 @query("p_median_greedy", _greedy_sql(3), DC)
@@ -37,13 +72,14 @@ R = 10000.0
 COV = "cov as materialized (select * from od where dist <= 10000)"
 
 
-def _cover_sql(p: int, coef: str = "1e0", need: str = "1e0", head: str = "") -> str:
+def _cover_sql(p: int, coef: str = "1e0", need: str = "1e0", gain: str = "", radius: str = "10000") -> str:
     """Unrolled rounds of gain = weight * min(need, coef)."""
-    parts = [OD, COV, f"n0 as materialized (select aoi_id, demand_id, {need} as need from demand)"]
+    gain = gain or f"weight*least(need, {coef})"
+    parts = [OD, COV.replace("10000", radius), f"n0 as materialized (select aoi_id, demand_id, {need} as need from demand)"]
     for i in range(1, p + 1):
         done = " union all ".join(f"select aoi_id, site_id from p{j}" for j in range(1, i)) or "select '' as aoi_id, -1 as site_id"
         parts.append(
-            f"g{i} as materialized (select aoi_id, site_id, round(sum(weight*least(need, {coef})), 4) as gain from cov join n{i-1} using (aoi_id, demand_id)"
+            f"g{i} as materialized (select aoi_id, site_id, round(sum({gain}), 4) as gain from cov join n{i-1} using (aoi_id, demand_id)"
             f" where need > 1e-9 and (aoi_id, site_id) not in ({done}) group by 1, 2)"
         )
         parts.append(f"p{i} as materialized (select aoi_id, arg_min(site_id, (-gain, site_id)) as site_id, max(gain) as gain from g{i} group by 1)")
@@ -134,7 +170,7 @@ def p_median_max_distance(v):
     return pmedian.p_median_max_distance(v.demand(), v.candidates(), 12, 35000.0)
 
 
-@query("p_center_weighted")
+@query("p_center_weighted", _center_sql(3, True, False), DC)
 def p_center_weighted(v):
     return pcenter.p_center_greedy(v.demand(), v.candidates(), 3, weighted=True)[1]
 
@@ -148,12 +184,30 @@ def _first_site(v):
     return first.join(c, ["aoi_id", "site_id"])
 
 
-@query("p_center_conditional")
+@query("p_center_conditional", _center_sql(2, False, True), DC)
 def p_center_conditional(v):
     return pcenter.p_center_greedy(v.demand(), v.candidates(), 2, existing=_first_site(v))[1]
 
 
-@query("mclp_budget")
+def _step_cte(name: str, carry: str, start: str, gate: str, order: str, grow: str, filt: str = "true") -> str:
+    """Recursive rounds over uncovered demand, one site per area and step."""
+    return f"""{name}(aoi_id, step, chosen, {carry}, site_id, gain) as (select aoi_id, 0, cast([] as bigint[]), {start}, cast(-1 as bigint), 0e0 from candidates group by 1
+  union all select aoi_id, step+1, list_append(chosen, best.site_id), {grow}, best.site_id, best.gain from (select aoi_id, any_value(step) as step, any_value(chosen) as chosen, any_value({carry}) as {carry}, arg_max(struct_pack(site_id := site_id, gain := gain, price := price), {order}) as best from (
+   select u.aoi_id, any_value(u.step) as step, any_value(u.chosen) as chosen, any_value(u.{carry}) as {carry}, c.site_id, any_value(c.cost) as price, round(sum(c.weight), 4) as gain from (
+    select g.aoi_id, any_value(g.step) as step, any_value(g.chosen) as chosen, any_value(g.{carry}) as {carry}, c.demand_id from {name} g join cov c using (aoi_id) {gate} group by g.aoi_id, c.demand_id having not bool_or(coalesce(list_contains(g.chosen, c.site_id), false))) u
+   join cov c on c.aoi_id=u.aoi_id and c.demand_id=u.demand_id group by u.aoi_id, c.site_id) where {filt} group by aoi_id))"""
+
+
+_PARTIAL = ("with " + OD + ", " + COV + ", goal as (select aoi_id as a, 0.5e0*sum(weight) as goal from demand group by 1), "
+            + _step_cte("g", "have", "0e0", "join goal on goal.a=g.aoi_id and round(g.have, 4) < round(goal.goal, 4)", "(gain, -site_id)", "have+best.gain")
+            + " select aoi_id, step, site_id, gain from g where step > 0")
+_BUDGET = ("with " + OD + ", " + COV + ", " + _step_cte("g", "spent", "0e0", "", "(round(gain/price, 6), -site_id)", "spent+best.price", "spent+price <= 500e0 and gain > 0")
+           + """, s as (select aoi_id, site_id, any_value(cost) as price, round(sum(weight), 4) as gain from cov where cost <= 500e0 group by 1, 2), one as (select aoi_id, arg_max(site_id, (gain, -site_id)) as site_id, max(gain) as gain, arg_max(price, (gain, -site_id)) as price from s group by 1),
+ tot as (select aoi_id, sum(gain) as t from g where step > 0 group by 1), solo as (select one.* from one join tot using (aoi_id) where one.gain > t)
+ select aoi_id, step, site_id, gain, spent from g where step > 0 and aoi_id not in (select aoi_id from solo) union all select aoi_id, 1, site_id, gain, price from solo""")
+
+
+@query("mclp_budget", _BUDGET, DC, recursive=True)
 def mclp_budget(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
     return cover.greedy_budget(pairs, v.candidates(), 500.0)
@@ -165,7 +219,7 @@ def mclp_capacitated(v):
     return a.groupBy("aoi_id", "step", "site_id").agg(F.count(F.lit(1)).alias("n_demand"), F.round(F.sum("weight"), 2).alias("served"))
 
 
-@query("mclp_multi")
+@query("mclp_multi", _cover_sql(4, need="2e0", gain="case when need <= 1e0+1e-9 then weight else weight/2e0 end", radius="15000"), DC)
 def mclp_multi(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), 15000.0, ["aoi_id"], need=2.0)
     return cover.greedy_p(pairs, 4, score=cover._multi_score(2.0))
@@ -200,7 +254,7 @@ def lscp_probabilistic(v):
     return cover.drop_redundant(pairs, cover.greedy_cover(pairs))
 
 
-@query("lscp_partial")
+@query("lscp_partial", _PARTIAL, DC, recursive=True)
 def lscp_partial(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"])
     tot = v.demand().groupBy("aoi_id").agg(F.sum("weight").alias("total"))
@@ -238,7 +292,7 @@ def forced_sites(v):
     return cover.greedy_p(pairs, 3, must_open=_first_site(v), must_close=closed)
 
 
-@query("drop_one_sensitivity")
+@query("drop_one_sensitivity", _drop_one_sql(), DC)
 def drop_one_sensitivity(v):
     g = pmedian.p_median_greedy(v.demand(), v.candidates(), 2)
     return sweep.drop_one_p_median(v.demand(), v.candidates(), g, 2)
@@ -295,7 +349,7 @@ def evaluate_solution(v):
     )
 
 
-@query("mclp_backup")
+@query("mclp_backup", _cover_sql(3, need="2e0", gain="case when need <= 1e0+1e-9 then weight else weight/2e0 end", radius="20000"), DC)
 def mclp_backup(v):
     """Backup cover is the k-cover model with k = 2 by default."""
     pairs = cover.cover_pairs(v.demand(), v.candidates(), 20000.0, ["aoi_id"], need=2.0)
