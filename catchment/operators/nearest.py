@@ -82,22 +82,17 @@ class SiteTree:
         return min(ok) if ok else _MAX_DEPTH
 
     def leaves(self) -> DataFrame:
-        """One row per deepest cell with its (few) sites."""
-        return self._pts.groupBy(*self.keys, "cx", "cy").agg(
-            F.collect_list(F.struct("site_id", *self.axes)).alias("sites")
-        )
+        """The sites with their deepest cell."""
+        return self._pts.select(*self.keys, "cx", "cy", F.col("site_id").alias("_sid"), *self.axes)
 
     def children(self, level: int) -> DataFrame:
-        """Nodes of ``level`` with the tight boxes of their children."""
+        """Child cells (kx, ky) of the nodes of ``level`` with their tight boxes."""
         down = _BITS * (self.depth - level - 1)
         ends = [c for a in self.axes for c in (F.min(a).alias(f"{a}0"), F.max(a).alias(f"{a}1"))]
         kid = self._pts.groupBy(
             *self.keys, F.shiftright("cx", down).alias("kx"), F.shiftright("cy", down).alias("ky")
         ).agg(*ends)
-        boxes = [f"{a}{e}" for a in self.axes for e in (0, 1)]
-        return kid.groupBy(
-            *self.keys, F.shiftright("kx", _BITS).alias("cx"), F.shiftright("ky", _BITS).alias("cy")
-        ).agg(F.collect_list(F.struct("kx", "ky", *boxes)).alias("kids"))
+        return kid.withColumn("cx", F.shiftright("kx", _BITS)).withColumn("cy", F.shiftright("ky", _BITS))
 
 
 def nearest_site(
@@ -125,67 +120,38 @@ def nearest_site(
     axes = [f"_p{a}" for a in tree.axes]
     lim = None if max_m is None else metric.reach(max_m + _SLACK_M)
 
-    cur = points
-    if tree.depth > 0:
-        # one exchange on the point key serves every later round
-        cur = cur.repartition(*k, point_id)
+    # one exchange on the point key serves every later round
+    cur = points.repartition(*k, point_id)
     for name, col in zip(axes, metric.embed(F.col(x), F.col(y))):
         cur = cur.withColumn(name, col)
     zero = F.lit(0).cast("bigint")
     cur = cur.withColumn("cx", zero).withColumn("cy", zero)
     here = [F.col(a) for a in axes]
+    ends = [(F.col(f"{a}0"), F.col(f"{a}1")) for a in tree.axes]
 
-    def low(b):
-        gaps = [F.greatest(F.lit(0.0), b[f"{a}0"] - p, p - b[f"{a}1"]) for a, p in zip(tree.axes, here)]
-        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
-
-    def high(b):
-        gaps = [F.greatest(F.abs(b[f"{a}0"] - p), F.abs(b[f"{a}1"] - p)) for a, p in zip(tree.axes, here)]
+    def norm(gaps):
         return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
 
+    low = norm([F.greatest(F.lit(0.0), lo - p, p - hi) for p, (lo, hi) in zip(here, ends)])
+    high = norm([F.greatest(F.abs(lo - p), F.abs(hi - p)) for p, (lo, hi) in zip(here, ends)])
     keep = [*k, point_id, *carry, *axes]
+    own = Window.partitionBy(*k, point_id)
     for level in range(tree.depth):
         cur = cur.join(tree.children(level), [*k, "cx", "cy"], "left")
-        bounds = F.transform(
-            "kids",
-            lambda b: F.struct(
-                b["kx"].alias("kx"), b["ky"].alias("ky"), low(b).alias("lb"), high(b).alias("ub")
-            ),
-        )
-        cur = cur.withColumn("kids", bounds)
-        top = F.array_min(F.transform("kids", lambda b: b["ub"])) * metric.stretch + _SLACK_M
+        cur = cur.select(*keep, "kx", "ky", low.alias("_lb"), high.alias("_ub"))
+        top = F.min("_ub").over(own) * metric.stretch + _SLACK_M
         if lim is not None:
             top = F.least(top, F.lit(lim))
-        cur = cur.select(*keep, top.alias("top"), F.explode_outer("kids").alias("kid"))
-        alive = F.col("kid").isNull() | (F.col("kid.lb") <= F.col("top"))
-        if max_m is not None:
-            # a point with nothing in reach keeps its row
-            best = F.min("kid.lb").over(Window.partitionBy(*k, point_id))
-            cur = cur.withColumn("_near", best)
-            alive = alive | ((F.col("_near") > F.col("top")) & (F.col("kid.lb") == F.col("_near")))
-        cur = cur.where(alive)
-        if level > 0:
-            # several parents may be alive: keep what the best of them allows
-            best = F.min("top").over(Window.partitionBy(*k, point_id))
-            near = F.min("kid.lb").over(Window.partitionBy(*k, point_id))
-            cur = cur.withColumn("top", best).withColumn("_near", near).where(
-                F.col("kid").isNull()
-                | (F.col("kid.lb") <= F.col("top"))
-                | (F.col("kid.lb") == F.col("_near"))
-            )
-        cur = cur.select(*keep, F.col("kid.kx").alias("cx"), F.col("kid.ky").alias("cy"))
+        cur = cur.withColumn("_top", top).withColumn("_near", F.min("_lb").over(own))
+        # the closest cell stays in any case, so a point with nothing in reach keeps a row
+        cur = cur.where(F.col("kx").isNull() | (F.col("_lb") <= F.col("_top")) | (F.col("_lb") == F.col("_near")))
+        cur = cur.select(*keep, F.col("kx").alias("cx"), F.col("ky").alias("cy"))
     cur = cur.join(tree.leaves(), [*k, "cx", "cy"], "left")
-    pairs = F.transform(
-        "sites",
-        lambda s: F.struct(
-            metric.between(here, [s[a] for a in tree.axes]).alias("d"), s["site_id"].alias("s")
-        ),
+    dist = metric.between(here, [F.col(a) for a in tree.axes])
+    pair = F.when(F.col("_sid").isNotNull(), F.struct(dist.alias("d"), F.col("_sid").alias("s")))
+    cur = cur.withColumn("hit", pair).groupBy(*k, point_id).agg(
+        *[F.first(c).alias(c) for c in carry], F.min("hit").alias("hit")
     )
-    cur = cur.withColumn("hit", F.array_min(pairs))
-    if tree.depth > 0:
-        cur = cur.groupBy(*k, point_id).agg(
-            *[F.first(c).alias(c) for c in carry], F.min("hit").alias("hit")
-        )
     hit = F.col("hit")
     if max_m is not None:
         hit = F.when(F.col("hit.d") <= max_m, F.col("hit"))
