@@ -63,7 +63,21 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*dfs: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and no later plan reads.
+
+    Anything else (None, a plain DataFrame) is left alone.
+    """
+    for df in dfs:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def testdata_dir() -> str:
