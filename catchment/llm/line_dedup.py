@@ -65,7 +65,7 @@ def keep_bitmaps(docs: DataFrame, min_length: int = 20, min_docs: int = 3, id_co
 
     often = p.join(F.broadcast(hot), "h1", "left_semi")
     stats = often.groupBy(*keys, "doc").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
-    often = often.join(stats, keys)
+    often = often.join(F.broadcast(stats), keys)
 
     cols = ["doc", "tag", "pos", "n", "keeper"]
     gone = cold.select(*cols).unionByName(often.select(*cols))

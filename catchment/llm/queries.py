@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import new_path
+from .bpe import digests, encode_documents
 from .line_dedup import LOWER, UPPER, drop_repeated_lines
 from .near_dup import near_duplicates
+from .token_files import stored, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +67,26 @@ reach(doc_id, c) as (select doc_id, doc_id from sets union select p.b, r.c from
 select s.doc_id, len(s.s) as n_shingles, min(r.c) as component_id, min(r.c) = s.doc_id as kept
 from sets s join reach r using (doc_id) group by s.doc_id, len(s.s)
 """
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as Arrow stream files and read back."""
+    index = write_token_files(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), _vocabulary("byte_bpe_50k.json"))
+    return stored(index)
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by the transducer, and the bytes that they decode to."""
+    import public_tokenizers
+
+    ranks = _vocabulary("byte_bpe_50k.tiktoken")
+    rows = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return digests(rows, ranks)
