@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import new_path
 from .bpe import digests, encode_documents
+from .language_id import identify_languages, learn_languages
 from .line_dedup import LOWER, UPPER, drop_repeated_lines
 from .near_dup import near_duplicates
+from .quality import learn_quality, score_quality
+from .sampling import bounded, id_remainder, labelled_texts
 from .token_files import stored, write_token_files
+from .toxicity import Lexicon, learn_lexicon, score_toxicity
+from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +95,49 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _vocabulary("byte_bpe_50k.tiktoken")
     rows = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     return digests(rows, ranks)
+
+#: Fixed by the contract: (verdict, rule).
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: Bounds of the labelled samples that models are fitted on.
+QUALITY_SAMPLE, LANGUAGE_SAMPLE, TOXIC_SAMPLE = 12_000, 4_000, 12_000
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _scored(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the held-out quarter."""
+    docs, part = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4)
+    told = labelled_texts(docs, table(spark, sf_dir, "labels"), "quality", part != 2, QUALITY_SAMPLE)
+    return _scored(score_quality(docs, learn_quality(told)), part == 2)
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every document, learned outside the held-out fifth."""
+    docs, part = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 5)
+    told = docs.where((part != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    ids = bounded(told.select("doc_id"), LANGUAGE_SAMPLE, "doc_id")
+    model = learn_languages(told.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id"))
+    return identify_languages(docs, model).select("doc_id", (part == 0).alias("held_out"), "lang_pred", "score")
+
+
+def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """Learned from labels outside the held-out third."""
+    return learn_lexicon(labelled_texts(docs, labels, "toxic", id_remainder(F.col("doc_id"), 3) != 1, TOXIC_SAMPLE))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    scores = score_toxicity(docs, toxic_lexicon(docs, table(spark, sf_dir, "labels")))
+    return _scored(scores, id_remainder(F.col("doc_id"), 3) == 1)
