@@ -3,10 +3,12 @@
 Merging by rank forms every token of a word at its own rank, whatever stands around
 it, unless a merge across the border to a neighbour comes first.  So a sequence of
 tokens is the encoding of its bytes exactly if each adjacent pair is (``fits``), and
-a non-deterministic transducer that remembers the last token and a place in the
-vocabulary's trie accepts one segmentation only.  ``Transducer`` determinises it on
-demand: a state is the set of open readings with what each would still emit, and a
-token leaves as soon as all readings agree on it, at most one token length later.
+every prefix of a word has one last token.  ``Transducer`` reads bytes from left to
+right.  Its open readings, the tokens begun at some place and not yet whole, are a set of
+places in the vocabulary's trie; sets become states of a deterministic machine when they
+first occur.  Of the tokens that end at a byte, the one that fits the last token before
+it is the last token there.  A token leaves once all open readings agree on it, so it
+waits for less than the longest token's bytes.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .pieces import PieceCache, values
+from .pieces import PieceCache, chunks, pieces
 
 _FOREVER = 1 << 60
+#: Bytes of a word kept before what is settled leaves.
+_PENDING = 1024
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -35,8 +39,8 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes one pre-tokenised word; all single bytes must be tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
-        self.ranks, self.most = ranks, most_states
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 400_000):
+        self.ranks, self.most = ranks, most_pairs
         self.token = [b""] * (max(ranks.values()) + 1)
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
@@ -51,8 +55,12 @@ class Transducer:
                 node = nxt
             self.ends[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._spines: dict[tuple[int, bool], list[int]] = {}
-        self._reset()
+        self._spines: dict[int, tuple] = {}
+        self._fits: dict[int, bool] = {}
+        self._number: dict[tuple, int] = {(): 0}
+        self._open: list[tuple[tuple[int, int], ...]] = [()]
+        self._whole: list[tuple[tuple[int, int], ...]] = [()]
+        self._hops: dict[int, int] = {}
 
     # which tokens can stand side by side
 
@@ -69,94 +77,103 @@ class Transducer:
             self._halves[t] = None if len(word) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
         return self._halves[t]
 
-    def spine(self, t: int, right: bool) -> list[int]:
-        """Tokens at the right (left) edge of ``t`` while it forms, from its last (first) byte to itself."""
-        key = (t, right)
-        if key not in self._spines:
-            out, h = [t], self.halves(t)
-            while h is not None:
-                out.append(h[right])
-                h = self.halves(h[right])
-            self._spines[key] = out[::-1]
-        return self._spines[key]
+    def _spine(self, t: int, right: int) -> tuple:
+        """Tokens at the right (left) edge of ``t`` while it forms: (bytes, rank at which the next one takes over)."""
+        key = t << 1 | right
+        found = self._spines.get(key)
+        if found is None:
+            out, grows, h = [], _FOREVER, t
+            while True:
+                out.append((self.token[h], grows))
+                grows, parts = h, self.halves(h)
+                if parts is None:
+                    break
+                h = parts[right]
+            found = self._spines[key] = tuple(out[::-1])
+        return found
 
     def fits(self, a: int, b: int) -> bool:
         """No merge across the border of ``a`` and ``b`` comes before both are whole."""
-        sa, sb = self.spine(a, True), self.spine(b, False)
+        left, right, rank = self._spine(a, 1), self._spine(b, 0), self.ranks.get
         i = j = 0
+        x, grow_a = left[0]
+        y, grow_b = right[0]
         while True:
-            grow_a = sa[i + 1] if i + 1 < len(sa) else _FOREVER
-            grow_b = sb[j + 1] if j + 1 < len(sb) else _FOREVER
-            across = self.ranks.get(self.token[sa[i]] + self.token[sb[j]], _FOREVER)
+            across = rank(x + y, _FOREVER)
             if across < grow_a and across <= grow_b and across != _FOREVER:
                 return False  # of equal ranks the one further left is merged first
-            if grow_a == grow_b == _FOREVER:
-                return True
             if grow_a <= grow_b:
+                if grow_a == _FOREVER:
+                    return True
                 i += 1
+                x, grow_a = left[i]
             else:
                 j += 1
+                y, grow_b = right[j]
 
     # the deterministic machine, built as words need it
 
-    def _reset(self) -> None:
-        """Places are (trie node, last token); a state is a tuple of (place, tokens not yet emitted)."""
-        self._place: dict[tuple[int, int], int] = {(0, -1): 0}
-        self._at: list[tuple[int, int]] = [(0, -1)]
-        self._moves: dict[int, tuple[tuple[int, int], ...]] = {}
-        self._number: dict[tuple, int] = {}
-        self._readings: list[tuple] = []
-        self._last: list[tuple[int, ...]] = []
-        self._hops: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state(((0, ()),))
-
-    def _state(self, readings: tuple) -> int:
-        n = self._number.get(readings)
-        if n is None:
-            n = self._number[readings] = len(self._readings)
-            self._readings.append(readings)
-            self._last.append(next((rest for p, rest in readings if self._at[p][0] == 0), ()))
-        return n
-
-    def _move(self, place: int, byte: int) -> tuple[tuple[int, int], ...]:
-        """Places after one more byte, each with the token it completes or -1."""
-        node, last = self._at[place]
-        node, out = self.child.get(node << 8 | byte), []
-        if node is not None:
-            t = self.ends[node]
-            whole = t >= 0 and self.halves(t) != (-1, -1) and (last < 0 or self.fits(last, t))
-            for spot, token in (((node, last), -1), ((0, t), t)) if whole else (((node, last), -1),):
-                p = self._place.setdefault(spot, len(self._at))
-                if p == len(self._at):
-                    self._at.append(spot)
-                out.append((p, token))
-        self._moves[place << 8 | byte] = out = tuple(out)
-        return out
-
-    def _grow(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        out = []
-        for place, rest in self._readings[state]:
-            to = self._moves.get(place << 8 | byte)
-            for p, t in self._move(place, byte) if to is None else to:
-                out.append((p, rest if t < 0 else (*rest, t)))
-        first, agreed = out[0][1], 0
-        while agreed < len(first) and all(len(r) > agreed and r[agreed] == first[agreed] for _, r in out):
-            agreed += 1
-        hop = self._state(tuple(sorted((p, r[agreed:]) for p, r in out) if agreed else sorted(out))), first[:agreed]
-        self._hops[state << 8 | byte] = hop
-        return hop
+    def _grow(self, state: int, byte: int) -> int:
+        """The state after one more byte: open readings as (trie place, bytes read), and tokens whole here."""
+        reads = [(self.child.get(node << 8 | byte), n + 1) for node, n in (*self._open[state], (0, 0))]
+        reads = tuple((node, n) for node, n in reads if node is not None)
+        to = self._number.get(reads)
+        if to is None:
+            to = self._number[reads] = len(self._open)
+            self._open.append(reads)
+            self._whole.append(tuple((self.ends[node], n) for node, n in reads if self.ends[node] >= 0 and self.halves(self.ends[node]) != (-1, -1)))
+        self._hops[state << 8 | byte] = to
+        return to
 
     def encode(self, word: bytes) -> list[int]:
-        if len(self._readings) > self.most:
-            self._reset()
-        state, out, hops = 0, [], self._hops
-        for byte in word:
-            state, sure = hops.get(state << 8 | byte) or self._grow(state, byte)
-            if sure:
-                out += sure
-        out += self._last[state]
+        if len(self._fits) > self.most:
+            self._fits.clear()
+        hops, whole, known = self._hops, self._whole, self._fits
+        last, state, out, base = [-1], 0, [], 0  # last[k]: the last token of the word up to byte base + k
+        for at, byte in enumerate(word, 1):
+            hop = hops.get(state << 8 | byte)
+            state = self._grow(state, byte) if hop is None else hop
+            for token, n in whole[state]:
+                before = last[at - n - base]
+                if before >= 0:
+                    pair = before << 20 | token
+                    ok = known.get(pair)
+                    if ok is None:
+                        ok = known[pair] = self.fits(before, token)
+                    if not ok:
+                        continue
+                last.append(token)
+                break
+            if len(last) > _PENDING:
+                base += self._settle(last, out, max((n for _, n in self._open[state]), default=0))
+        self._back(last, len(last) - 1, out, len(out))
         return out
 
+    def _back(self, last: list[int], k: int, out: list[int], at: int) -> None:
+        """Insert at ``at`` of ``out`` the tokens that lead up to place ``k``."""
+        chain_ = []
+        while k > 0:
+            chain_.append(last[k])
+            k -= len(self.token[last[k]])
+        out[at:at] = chain_[::-1]
+
+    def _settle(self, last: list[int], out: list[int], longest: int) -> int:
+        """Emit what all open readings agree on; returns how many bytes are done with."""
+        starts = range(len(last) - 1 - longest, len(last))  # any token still to come begins at one of these
+        paths = []
+        for k in starts:
+            path = {k}
+            while k > 0:
+                k -= len(self.token[last[k]])
+                path.add(k)
+            paths.append(path)
+        k = max(set.intersection(*paths))
+        self._back(last, k, out, len(out))
+        settled = last[k]
+        del last[:k]
+        last[0] = settled if k else last[0]
+        return k
+
 
 class Codec:
     """Whole texts to ids and back."""
@@ -165,14 +182,24 @@ class Codec:
         self.words = regex.compile(pattern)
         self.machine = Transducer(ranks)
         self.token = self.machine.token
-        self.cache = PieceCache(self._piece)
+        self.known = PieceCache(self._words, 400_000)
+        self.cache = PieceCache(self._pieces, 300_000)
+
+    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(self.machine.encode(w.encode("utf-8", "surrogatepass"))) for w in words]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        encode = self.machine.encode
-        return tuple(chain.from_iterable(encode(w.encode("utf-8", "surrogatepass")) for w in self.words.findall(piece)))
+    def _pieces(self, parts: list[str]) -> list[tuple[int, ...]]:
+        words = [self.words.findall(p) for p in parts]
+        get = self.known.getter(chain.from_iterable(words))
+        return [get(w[0]) if len(w) == 1 else tuple(chain.from_iterable(map(get, w))) for w in words]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(values(self.cache, text)), np.int32)
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for some in chunks(texts):
+            parts = [pieces(t or "") for t in some]
+            get = self.cache.getter(chain.from_iterable(parts))
+            for p in parts:
+                yield np.fromiter(chain.from_iterable(map(get, p)), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -216,7 +243,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped.value, pattern)
         for b in batches:
-            ids = _lists([codec.encode(t) for t in b.column(at).to_pylist()], pa.int32())
+            ids = _lists(list(codec.encode(b.column(at).to_pylist())), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import regex
 
@@ -14,19 +14,49 @@ _CUT = regex.compile(r"(?<=.)(?= \S)", regex.DOTALL | regex.V1)
 _LONGEST = 64
 
 
-class PieceCache(dict):
-    """piece -> value of ``make``; emptied when full, so memory stays bounded."""
+class PieceCache:
+    """piece -> value; values of all new pieces of many texts are made in one call.
 
-    def __init__(self, make: Callable[[str], object], most: int = 400_000):
-        self.make, self.most = make, most
+    Two generations of ``most`` / 2 pieces: what is used moves to the young one, and when
+    that is full it becomes the old one.  So memory stays bounded and frequent pieces
+    stay.  Long pieces are forgotten with the next call.
+    """
 
-    def __missing__(self, piece: str):
-        value = self.make(piece)
-        if len(piece) <= _LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = value
-        return value
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 400_000):
+        self.make, self.most = make, most // 2
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.long: list[str] = []
+
+    def getter(self, parts: Iterable[str]) -> Callable[[str], object]:
+        """A function that gives the value of any of ``parts``, good until the next call."""
+        for p in self.long:
+            self.young.pop(p, None)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, seen, missing = self.young, self.old, []
+        for p in set(parts):
+            if p not in young:
+                if p in seen:
+                    young[p] = seen[p]
+                else:
+                    missing.append(p)
+        young.update(zip(missing, self.make(missing)))
+        self.long = [p for p in missing if len(p) > _LONGEST]
+        return young.__getitem__
+
+
+def chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str | None]]:
+    """``texts`` in order, in lists that hold about ``chars`` characters."""
+    out, held = [], 0
+    for t in texts:
+        out.append(t)
+        held += len(t or "")
+        if held > chars:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
 
 
 def pieces(text: str) -> list[str]:
@@ -38,7 +68,3 @@ def pieces(text: str) -> list[str]:
         out = [" " + p for p in rest]
         return [head, *out] if head else out
     return _CUT.split(text)
-
-
-def values(cache: PieceCache, text: str | None) -> Iterator:
-    return map(cache.__getitem__, pieces(text or ""))

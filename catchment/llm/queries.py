@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import new_path
 from .bpe import digests, encode_documents
+from .decontaminate import find_leaks
+from .embedding_dup import near_embeddings
 from .language_id import identify_languages, learn_languages
 from .line_dedup import LOWER, UPPER, drop_repeated_lines
 from .near_dup import near_duplicates
@@ -141,3 +143,30 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = score_toxicity(docs, toxic_lexicon(docs, table(spark, sf_dir, "labels")))
     return _scored(scores, id_remainder(F.col("doc_id"), 3) == 1)
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, also with other numbers, names or units."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of embeddings of one label at cosine 0.93 or more."""
+    return near_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+ORACLES["op9_embedding_near_dedup"] = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0),
+good as (select *, sqrt(list_dot_product(e, e)) as norm from v
+  where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs as (select a.vec_id as a, b.vec_id as b from good a join good b
+  on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach(vec_id, c) as (select vec_id, vec_id from embeddings union select p.b, r.c from reach r join pairs p on p.a = r.vec_id where p.b > r.c),
+links as (select a as vec_id, count(*) as n from pairs group by a)
+select r.vec_id, coalesce(any_value(l.n), 0) as n_links, min(r.c) as component_id, min(r.c) = r.vec_id as kept
+from reach r left join links l using (vec_id) group by r.vec_id
+"""
