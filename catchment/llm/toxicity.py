@@ -191,3 +191,14 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, score double")
+
+
+def reject_toxic(docs: DataFrame, lexicon: Lexicon, score_from: float, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``score_from`` or more; all columns stay as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(score_texts(b.column(at).to_pylist(), lexicon) < score_from))
+
+    return docs.mapInArrow(run, docs.schema)

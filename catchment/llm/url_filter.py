@@ -81,7 +81,7 @@ class UrlModel:
         for u in urls:
             x, suffix = lexical(u)
             rows.append([*x, *(self.rates[k].get(suffix[k], self.prior) for k in SUFFIXES)])
-        return np.array(rows, float).reshape(len(urls), -1)
+        return np.array(rows, float) if rows else np.zeros((0, 1))
 
     def score(self, urls: list[str | None]) -> np.ndarray:
         return self.forest.predict(self.features(urls)) if urls else np.empty(0)

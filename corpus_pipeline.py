@@ -1,23 +1,33 @@
-"""Training-corpus pipeline: each stage works on what the one before it kept."""
+"""Training-corpus pipeline: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from catchment.llm.bpe import encode_documents
+from catchment.llm.decontaminate import find_leaks
 from catchment.llm.line_dedup import drop_repeated_lines
 from catchment.llm.near_dup import near_duplicates
-from catchment.session import materialize
+from catchment.llm.queries import table, toxic_lexicon
+from catchment.llm.toxicity import reject_toxic
+from catchment.session import materialize, release
 
+#: Documents that score so much or more are rejected as toxic.
+TOXIC_FROM = 0.7
 
-def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Documents again from (doc, kept): the new text and its length in place of the old."""
-    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
-    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go.  The lexicon is learned from ``labels`` and the documents given."""
+    return reject_toxic(docs, toxic_lexicon(docs, table(spark, sf_dir, "labels")), TOXIC_FROM)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines repeated across documents go; documents left without text go with them."""
-    return _with_text(drop_repeated_lines(docs), docs.columns).where("length(trim(text)) > 0")
+    """Lines repeated across documents go, and with them documents that have nothing else."""
+    rows = drop_repeated_lines(docs).where("n_dropped = 0 or length(trim(kept)) > 0")
+    cut = F.col("n_dropped") > 0
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return rows.select(*[(F.when(cut, new[c]).otherwise(F.col(f"doc.`{c}`")) if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +36,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document's text."""
+    rows = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe),
+]
+#: The lexicon, near copies on whole sets and byte-pair merges are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs, last = materialize(stage(spark, docs, sf_dir), name), docs
+        release(last)
     return docs
