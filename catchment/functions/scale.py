@@ -21,9 +21,9 @@ NEIGHBORHOOD_WORDS = (
 )
 
 
-def n_points_from_area(area_km2: Column) -> Column:
+def n_points_from_area(area_km2: Column, least: int = 50, most: int = 2000) -> Column:
     n = F.floor(F.sqrt(F.greatest(area_km2, F.lit(0.0))) * 8).cast("bigint")
-    return F.greatest(F.lit(50).cast("bigint"), F.least(F.lit(2000).cast("bigint"), n))
+    return F.greatest(F.lit(least).cast("bigint"), F.least(F.lit(most).cast("bigint"), n))
 
 
 def scale_from_location(loc: Column) -> Column:

@@ -9,6 +9,7 @@ k; reliability enters through coef (as is, or as -ln(1-r) in log space).
 from __future__ import annotations
 
 import math
+from itertools import count
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -104,7 +105,7 @@ def greedy_p(
     return steps
 
 
-def greedy_budget(pairs: DataFrame, costs: DataFrame, budget: float, keys: Sequence[str] = ("aoi_id",), max_rounds: int = 1000) -> DataFrame:
+def greedy_budget(pairs: DataFrame, costs: DataFrame, budget: float, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:
     """Best gain per cost while affordable, or the best single site if that covers more."""
     k = list(keys)
     c = costs.select(*k, "site_id", F.col("cost").alias("price"))
@@ -112,7 +113,7 @@ def greedy_budget(pairs: DataFrame, costs: DataFrame, budget: float, keys: Seque
     single = table(best_site(gains, k, extra=["price"]), "single")
     steps = None
     spent = None
-    for step in range(1, max_rounds + 1):
+    for step in count(1):  # a round spends money, so it ends
         g = pairs.groupBy(*k, "site_id").agg(_score().alias("gain")).join(c, [*k, "site_id"])
         g = g.join(spent, k, "left") if spent is not None else g.withColumn("spent", F.lit(0.0))
         used = F.coalesce("spent", F.lit(0.0))
@@ -214,7 +215,6 @@ def greedy_cover(
     pairs: DataFrame,
     keys: Sequence[str] = ("aoi_id",),
     seed: DataFrame | None = None,
-    max_rounds: int = 500,
 ) -> DataFrame:
     """Greedy set cover of every coverable demand: (keys, round, site_id)."""
     k = list(keys)
@@ -222,7 +222,7 @@ def greedy_cover(
     if seed is not None:
         out = seed.select(*k, F.lit(0).alias("round"), "site_id")
         pairs = open_sites(pairs, seed, k)
-    for r in range(1, max_rounds + 1):
+    for r in count(1):  # a round opens a site, so it ends
         win = table(local_winners(pairs, k), "winners")
         if win.isEmpty():
             break
@@ -234,7 +234,7 @@ def greedy_cover(
     return table(out, "cover")
 
 
-def drop_redundant(pairs: DataFrame, cover: DataFrame, keys: Sequence[str] = ("aoi_id",), keep: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def drop_redundant(pairs: DataFrame, cover: DataFrame, keys: Sequence[str] = ("aoi_id",), keep: DataFrame | None = None) -> DataFrame:
     """Close sites whose every demand stays covered without them.
 
     Sites that share a demand never close in the same round.
@@ -242,7 +242,7 @@ def drop_redundant(pairs: DataFrame, cover: DataFrame, keys: Sequence[str] = ("a
     k = list(keys)
     cov = cover.select(*k, "site_id")
     cur = table(pairs.join(cov, [*k, "site_id"]), "active")
-    for _ in range(max_rounds):
+    while True:  # a round closes a site, so it ends
         tot = cur.groupBy(*k, "demand_id").agg(F.sum("coef").alias("_tot"))
         spare = cur.join(tot, [*k, "demand_id"]).withColumn("_ok", (F.col("_tot") - F.col("coef") >= F.col("need") - EPS).cast("int"))
         idle = spare.groupBy(*k, "site_id").agg(F.min("_ok").alias("_ok"), F.count(F.lit(1)).alias("_n")).where("_ok = 1")
@@ -262,7 +262,7 @@ def drop_redundant(pairs: DataFrame, cover: DataFrame, keys: Sequence[str] = ("a
     return cov
 
 
-def packing_bound(pairs: DataFrame, keys: Sequence[str] = ("aoi_id",), k_cover: int = 1, max_rounds: int = 200) -> DataFrame:
+def packing_bound(pairs: DataFrame, keys: Sequence[str] = ("aoi_id",), k_cover: int = 1) -> DataFrame:
     """(keys, lower_bound): demands no two of which share a site, found in parallel.
 
     Each needs its own site(s), so their number (x k) bounds any cover from below.
@@ -272,7 +272,7 @@ def packing_bound(pairs: DataFrame, keys: Sequence[str] = ("aoi_id",), k_cover:
     deg = cur.groupBy(*k, "demand_id").agg(F.count(F.lit(1)).alias("_deg"))
     cur = table(cur.join(deg, [*k, "demand_id"]).withColumn("_r", F.struct("_deg", "demand_id")), "packing")
     found = None
-    for _ in range(max_rounds):
+    while True:  # a round takes a demand, so it ends
         low = cur.groupBy(*k, "site_id").agg(F.min("_r").alias("_low"))
         win = cur.join(low, [*k, "site_id"]).groupBy(*k, "demand_id").agg(
             F.min((F.col("_r") == F.col("_low")).cast("int")).alias("_win")
@@ -297,7 +297,7 @@ def log_coef(col: str = "reliability"):
     return -F.log1p(-F.least(F.coalesce(F.col(col), F.lit(1.0)), F.lit(1.0 - 1e-9)))
 
 
-def partial_cover(pairs: DataFrame, totals: DataFrame, fraction: float, keys: Sequence[str] = ("aoi_id",), max_rounds: int = 1000) -> DataFrame:
+def partial_cover(pairs: DataFrame, totals: DataFrame, fraction: float, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:
     """Best gain per round until the covered weight reaches the fraction.
 
     ``totals`` holds (keys, total) with the weight of all demand, coverable or not.
@@ -306,7 +306,7 @@ def partial_cover(pairs: DataFrame, totals: DataFrame, fraction: float, keys: Se
     goal = totals.select(*k, (F.col("total") * F.lit(fraction)).alias("_goal"))
     have = table(totals.select(*k, F.lit(0.0).alias("have")), "have")
     steps = None
-    for step in range(1, max_rounds + 1):
+    for step in count(1):  # a round opens a site, so it ends
         short = have.join(goal, k).where(F.round("have", 4) < F.round("_goal", 4)).select(*k)
         gains = pairs.join(short, k, "left_semi").groupBy(*k, "site_id").agg(_score().alias("gain"))
         pick = table(best_site(gains, k), "pick")
@@ -319,3 +319,24 @@ def partial_cover(pairs: DataFrame, totals: DataFrame, fraction: float, keys: Se
     if steps is None:
         return _none(pairs, k, step="int", site_id="bigint", gain="double")
     return steps
+
+
+def cover_status(demand: DataFrame, sites: DataFrame, pairs: DataFrame, chosen: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:
+    """A row for every key that has demand: (keys, status, n_sites, n_demand, n_uncovered, uncovered_weight).
+
+    ``chosen`` (keys, site_id) is what a model opened over ``pairs``.  Status: feasible
+    (all demand has what it needs), infeasible, or no candidates.
+    """
+    k = list(keys)
+    spots = demand_spots(demand, k)
+    given = pairs.join(chosen.select(*k, "site_id"), [*k, "site_id"]).groupBy(*k, "demand_id").agg(F.sum("coef").alias("_given"), F.max("need").alias("_need"))
+    met = given.where(F.col("_given") >= F.col("_need") - EPS).select(*k, "demand_id", F.lit(True).alias("_met"))
+    out = spots.join(met, [*k, "demand_id"], "left").groupBy(*k).agg(
+        F.sum("n_points").alias("n_demand"),
+        F.coalesce(F.sum(F.when(F.col("_met").isNull(), F.col("n_points"))), F.lit(0)).alias("n_uncovered"),
+        F.round(F.coalesce(F.sum(F.when(F.col("_met").isNull(), F.col("weight"))), F.lit(0.0)), GAIN_DIGITS).alias("uncovered_weight"),
+    )
+    out = out.join(sites.select(*k).distinct().withColumn("_any", F.lit(True)), k, "left")
+    out = out.join(chosen.groupBy(*k).agg(F.count(F.lit(1)).alias("n_sites")), k, "left")
+    status = F.when(F.col("_any").isNull(), "no candidates").when(F.col("n_uncovered") > 0, "infeasible").otherwise("feasible")
+    return out.select(*k, status.alias("status"), F.coalesce("n_sites", F.lit(0)).cast("bigint").alias("n_sites"), "n_demand", "n_uncovered", "uncovered_weight")

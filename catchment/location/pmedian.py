@@ -207,10 +207,10 @@ def p_median_swap(
     candidates: DataFrame,
     selected: DataFrame,
     keys: Sequence[str] = ("aoi_id",),
-    max_swaps: int = 50,
+    max_swaps: int | None = None,
     metric=geo.Haversine,
 ) -> DataFrame:
-    """(keys, site_id, cost, swaps) after exchanging sites while that lowers the cost.
+    """(keys, site_id, cost, rounds, converged) after exchanging sites while that lowers the cost.
 
     Closing r and opening the best site then is one greedy round over the open
     set without r; all r of all keys are tried in one keyed round.
@@ -219,8 +219,8 @@ def p_median_swap(
     xy = candidates.select(*k, "site_id", "lon", "lat")
     cur = table(selected.select(*k, "site_id").join(xy, [*k, "site_id"]), "open")
     cost = table(objective(demand, cur, k, metric), "cost")
-    swaps = 0
-    for _ in range(max_swaps):
+    swaps, converged = 0, False
+    while max_swaps is None or swaps < max_swaps:  # the cost falls with every swap, so it ends
         gone = cur.select(*k, F.col("site_id").alias("gone"))
         rest = gone.join(cur, k).where(F.col("gone") != F.col("site_id"))
         kk = [*k, "gone"]
@@ -231,13 +231,14 @@ def p_median_swap(
         better = best.select(*k, F.col("m.cost").alias("new_cost"), "m.gone", "m.site_id")
         better = table(better.join(cost, k).where(F.col("new_cost") < F.col("cost")), "swap")
         if better.isEmpty():
+            converged = True
             break
         swaps += 1
         kept = cur.join(better.select(*k, F.col("gone").alias("site_id")), [*k, "site_id"], "left_anti")
         cur = table(kept.unionByName(better.select(*k, "site_id").join(xy, [*k, "site_id"])), "open")
         upd = better.select(*k, "new_cost")
         cost = table(cost.join(upd, k, "left").select(*k, F.coalesce("new_cost", "cost").alias("cost")), "cost")
-    return cur.select(*k, "site_id").join(cost, k).withColumn("rounds", F.lit(swaps))
+    return cur.select(*k, "site_id").join(cost, k).withColumns({"rounds": F.lit(swaps), "converged": F.lit(converged)})
 
 
 def p_median_bound(
@@ -299,7 +300,6 @@ def assign_with_capacity(
     demand: DataFrame,
     opened: DataFrame,
     keys: Sequence[str] = ("aoi_id",),
-    max_rounds: int = 100,
     metric=geo.Haversine,
 ) -> DataFrame:
     """Single-source assignment to open sites (with ``capacity``) of all demand rows.
@@ -316,7 +316,7 @@ def assign_with_capacity(
     dist = metric.dist(F.col("lon"), F.col("lat"), F.col("_sx"), F.col("_sy"))
     options = table(d.join(o, k).select(*k, "demand_id", "weight", "site_id", "capacity", dist.alias("dist_m")), "options")
     taken: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:  # a round assigns or refuses, so it ends
         ask = options.groupBy(*k, "demand_id").agg(F.min(F.struct("dist_m", "site_id", "weight", "capacity")).alias("m"))
         ask = ask.select(*k, "demand_id", "m.dist_m", "m.site_id", "m.weight", "m.capacity")
         if taken is not None:

@@ -89,7 +89,7 @@ def pairs_within(
     left = demand.withColumn("_b", b).withColumn("_c", c)
     right = touched(sites.withColumnsRenamed({x: "site_x", y: "site_y"}), "site_x", "site_y")
     cell = [*k, "_b", "_c"]
-    # at most rows / hot_cell cells can be hot, so this side is small by construction
+    # few rows as a rule; whether it is small enough to broadcast is left to the planner
     hot = (
         left.groupBy(*cell).count().where(F.col("count") > hot_cell)
         .select(*cell, F.ceil(F.col("count") / hot_cell).alias("_parts"))
@@ -97,8 +97,8 @@ def pairs_within(
     one = F.lit(1).cast("bigint")
     # a hash, not a random number: a task that runs again must send rows the same way
     spread = F.pmod(F.xxhash64(*demand.columns), F.coalesce("_parts", one))
-    left = left.join(F.broadcast(hot), cell, "left").withColumn("_salt", spread).drop("_parts")
-    right = right.join(F.broadcast(hot), cell, "left").withColumn(
+    left = left.join(hot, cell, "left").withColumn("_salt", spread).drop("_parts")
+    right = right.join(hot, cell, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", one) - 1))
     ).drop("_parts")
     pairs = left.join(right, [*cell, "_salt"]).drop("_b", "_c", "_salt")

@@ -45,7 +45,10 @@ def convex_hull(points: DataFrame, keys: Sequence[str] = ("aoi_id",), x: str = "
     for i in range(directions):
         a, b = F.col(f"_e{i}"), F.col(f"_e{(i + 1) % directions}")
         turn = (b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"])
-        outside = outside | (turn <= 0)
+        # two directions with one extreme point have no edge between them
+        same = (a["x"] == b["x"]) & (a["y"] == b["y"])
+        corner = (F.col("x") == a["x"]) & (F.col("y") == a["y"])
+        outside = outside | corner | (~same & (turn < 0))
     rest = p.join(far, k).where(outside).select(*k, "x", "y").distinct()
     schema = rest.schema
 

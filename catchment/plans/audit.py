@@ -18,7 +18,7 @@ def analyze_facilities(
     top_n_worst: int = 10,
     nearest: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per AOI with the full audit."""
+    """One row per AOI that has demand with the full audit; without a site nothing is covered and distances are null."""
     if radius_m is None or radius_m <= 0:
         raise ValueError("radius_m must be > 0")
     if nearest is None:
@@ -57,7 +57,13 @@ def analyze_facilities(
         .select(*k, F.array_join(F.transform("wl", lambda s: s["demand_id"].cast("string")), ",").alias("worst_points"))
     )
     n_sites = sites.groupBy(*k).agg(F.count(F.lit(1)).alias("n_facilities"))
-    out = base.join(decile, k).join(worst, k).join(n_sites, k)
+    every = demand.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_w"))
+    out = every.join(base, k, "left").join(decile, k, "left").join(worst, k, "left").join(n_sites, k, "left")
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("pct_weight_covered", "pct_points_covered")}
+    out = out.withColumns(zero | {
+        "n_facilities": F.coalesce("n_facilities", F.lit(0)), "n_demand": F.coalesce("n_demand", "_n"),
+        "uncovered_weight": F.coalesce("uncovered_weight", F.round("_w", 4)), "tot_w": F.coalesce("tot_w", "_w"),
+    })
     per_km2 = F.lit(None).cast("double")
     if edges is not None:
         out = out.join(measures.polygon_area(edges, k), k, "left")

@@ -17,7 +17,6 @@ PREFERRED_SUBTYPES = {
     "city": ("locality", "localadmin", "county", "region"),
     "neighborhood": ("neighborhood", "locality", "localadmin"),
 }
-TRIES = 5
 
 
 def _position(c: Column, names) -> Column:
@@ -28,7 +27,7 @@ def _position(c: Column, names) -> Column:
 
 
 def best_division(matches: DataFrame, areas: DataFrame, keys: Sequence[str], scale: str = "city", admin_level: int | None = None) -> DataFrame:
-    """(keys, id, subtype): the best-ranked division among five that has an area.
+    """(keys, id, subtype): the best-ranked division that has an area.
 
     ``matches`` has (keys, id, name, subtype, wanted).  Exact name hits push
     substring hits out.
@@ -43,9 +42,8 @@ def best_division(matches: DataFrame, areas: DataFrame, keys: Sequence[str], sca
         order = F.abs(F.coalesce(F.element_at(level, F.col("subtype")), F.lit(8)) - admin_level)
     else:
         order = _position(F.col("subtype"), PREFERRED_SUBTYPES[scale])
-    five = best_per_key(m.withColumn("_o", order), k, [F.asc("_o"), F.asc("id")], TRIES, rank="_r")
-    usable = five.join(areas.select("id"), "id", "left_semi")
-    return best_per_key(usable, k, [F.asc("_r")], 1, rank="_u").select(*k, "id", "subtype")
+    usable = m.withColumn("_o", order).join(areas.select("id"), "id", "left_semi")
+    return best_per_key(usable, k, [F.asc("_o"), F.asc("id")], 1, rank="_r").select(*k, "id", "subtype")
 
 
 def tier_fallback(tiers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -97,17 +95,13 @@ def resolve_country(places: DataFrame, countries: DataFrame, gazetteer: DataFram
     return hit.unionByName(geo)
 
 
-MAX_LABELLED = 20
-
-
 def label_facilities(sites: DataFrame, gazetteer: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:
-    """(keys, site_id, place): nearest gazetteer label, only where a key has few sites."""
+    """(keys, site_id, place): nearest gazetteer label of every site."""
     k = list(keys)
-    n = sites.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
     s = sites.select(*k, "site_id", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
     near = nearest_site(s, gazetteer, k, point_id="site_id", site_id="place_id", id_name="place_id", dist_name="_d")
-    lab = near.join(gazetteer.select(*k, "place_id", "label"), [*k, "place_id"], "left").join(n, k)
-    return lab.select(*k, "site_id", F.when(F.col("_n") <= MAX_LABELLED, F.col("label")).alias("place"))
+    lab = near.join(gazetteer.select(*k, "place_id", "label"), [*k, "place_id"], "left")
+    return lab.select(*k, "site_id", F.col("label").alias("place"))
 
 
 def attach_points(assignments: DataFrame, demand: DataFrame, sites: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:

@@ -26,11 +26,13 @@ base as (select aoi_id, count(*) n_demand,
    round(sum(case when dist_m<=10000 then 1 else 0 end)/count(*)*100e0,6) pct_points_covered,
    round(sum(weight)-sum(case when dist_m<=10000 then weight else 0 end),4) uncovered_weight,
    round(sum(weight*dist_m)/sum(weight),3) avg_distance_m, max(dist_m) max_distance_m,
-   round(quantile_cont(dist_m,0.9),3) p90_distance_m, max(dist_m) mx from nr group by 1)
-select aoi_id, n_demand, nf as n_facilities, pct_weight_covered, pct_points_covered, uncovered_weight, avg_distance_m,
-  max_distance_m, p90_distance_m, round(greatest(0e0,least(1e0,g)),6) as gini, round(coalesce(bd, mx),3) as bottom_decile_m,
-  round(nf/a,9) as facilities_per_km2, round(nf/tw*1000e0,9) as facilities_per_1000, worst_points
-from base join tot using (aoi_id) join g using (aoi_id) left join dec using (aoi_id) join worst using (aoi_id) join ns using (aoi_id) left join area using (aoi_id)
+   round(quantile_cont(dist_m,0.9),3) p90_distance_m, max(dist_m) mx from nr group by 1),
+dm as (select aoi_id, count(*) as dn, sum(weight) as dw from demand group by 1)
+select aoi_id, coalesce(n_demand, dn) as n_demand, coalesce(nf, 0) as n_facilities, coalesce(pct_weight_covered, 0e0) as pct_weight_covered,
+  coalesce(pct_points_covered, 0e0) as pct_points_covered, coalesce(uncovered_weight, round(dw, 4)) as uncovered_weight, avg_distance_m,
+  max_distance_m, p90_distance_m, case when mx is not null then round(greatest(0e0,least(1e0,g)),6) end as gini, round(coalesce(bd, mx),3) as bottom_decile_m,
+  round(coalesce(nf,0)/a,9) as facilities_per_km2, round(coalesce(nf,0)/coalesce(tw,dw)*1000e0,9) as facilities_per_1000, worst_points
+from dm left join base using (aoi_id) left join tot using (aoi_id) left join g using (aoi_id) left join dec using (aoi_id) left join worst using (aoi_id) left join ns using (aoi_id) left join area using (aoi_id)
 """,
     ("demand", "candidates", "boundary_edges"),
 )

@@ -127,6 +127,17 @@ def lscp_greedy(v):
     return cover.drop_redundant(pairs, got)
 
 
+@query("lscp_status", "with " + _cover_cte("4000") + """, sp as (select aoi_id, lon, lat, min(demand_id) as demand_id, sum(weight) as w, count(*) as n from demand group by 1,2,3),
+ met as (select distinct c.aoi_id, c.demand_id from cov c join final f using (aoi_id, site_id))
+ select sp.aoi_id, case when sp.aoi_id not in (select aoi_id from candidates) then 'no candidates' when count(*) filter (met.demand_id is null) > 0 then 'infeasible' else 'feasible' end as status,
+  (select count(*) from final f where f.aoi_id = sp.aoi_id) as n_sites, cast(sum(n) as bigint) as n_demand, cast(coalesce(sum(n) filter (met.demand_id is null), 0) as bigint) as n_uncovered,
+  round(coalesce(sum(w) filter (met.demand_id is null), 0e0), 4) as uncovered_weight from sp left join met using (aoi_id, demand_id) group by sp.aoi_id""", DC, recursive=True)
+def lscp_status(v):
+    """Whether a cover exists in every area, and what stays open where it does not."""
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), 4000.0, ["aoi_id"], value=F.lit(1.0))
+    return cover.cover_status(v.demand(), v.candidates(), pairs, cover.drop_redundant(pairs, cover.greedy_cover(pairs)))
+
+
 @query("p_center")
 def p_center(v):
     return pcenter.p_center(v.demand(), v.candidates(), 3, probes=2)

@@ -14,7 +14,7 @@ _NM = "case c_custkey%5 when 0 then 'Lima' when 1 then 'LIMA' else 'Limache' end
 
 @query("best_division_with_polygon", f"""with m as (select c_custkey//20 as q, c_custkey as id, {_NM} as name, {_SUB} as subtype from customer where c_custkey%3<>1 or c_custkey%7=0), x as (select *, lower(name)='lima' as ex from m),
  e as (select * from x where ex = (select bool_or(ex) from x y where y.q=x.q)), r as (select *, row_number() over (partition by q order by case subtype when 'locality' then 0 when 'localadmin' then 1 when 'county' then 2 when 'region' then 3 else 4 end, id) as r from e)
- select q, arg_min(id, r) as id, arg_min(subtype, r) as subtype from r where r<=5 and id%4<>1 group by 1""")
+ select q, arg_min(id, r) as id, arg_min(subtype, r) as subtype from r where id%4<>1 group by 1""")
 def best_division_with_polygon(v):
     m = v.table("customer").selectExpr("c_custkey div 20 as q", "c_custkey as id", f"{_NM} as name", f"{_SUB} as subtype", "' lima ' as wanted").where("id % 3 <> 1 or id % 7 = 0")
     areas = v.table("customer").selectExpr("c_custkey as id").where("id % 4 <> 1")
@@ -22,9 +22,9 @@ def best_division_with_polygon(v):
 
 
 @query("rank_best_first", f"""with m as (select c_custkey//20 as q, c_custkey as id, {_SUB} as subtype from customer), r as (select *, row_number() over (partition by q order by abs(case subtype when 'country' then 2 when 'region' then 4 when 'county' then 6 when 'localadmin' then 7 when 'locality' then 8 else 10 end - 6), id) as r from m)
- select q, id, subtype from (select *, row_number() over (partition by q order by r) as u from r where r<=5 and id%3<>0) where u=1""")
+ select q, id, subtype from (select *, row_number() over (partition by q order by r) as u from r where id%3<>0) where u=1""")
 def rank_best_first(v):
-    """Candidates by admin-level gap; the first of five that can be used."""
+    """Candidates by admin-level gap; the first that can be used."""
     m = v.table("customer").selectExpr("c_custkey div 20 as q", "c_custkey as id", "'x' as name", f"{_SUB} as subtype", "'x' as wanted")
     return places.best_division(m, m.select("id").where("id % 3 <> 0"), ["q"], admin_level=6)
 
@@ -59,8 +59,8 @@ def resolve_country(v):
 _PICK = "site_id % 4 = 0"
 
 
-@query("label_facilities", f"""with s as (select * from candidates where {_PICK}), g as (select aoi_id, poi_id, lon, lat, name from poi_b), r as (select aoi_id, site_id, round(lon,5) as lon, round(lat,5) as lat, count(*) over (partition by aoi_id) as n from s)
- select r.aoi_id, r.site_id, case when n<=20 then arg_min(g.name, ({hav('r', 'g')}, g.poi_id)) end as place from r join g using (aoi_id) group by r.aoi_id, r.site_id, n""", ("candidates", "poi_b"))
+@query("label_facilities", f"""with s as (select * from candidates where {_PICK}), g as (select aoi_id, poi_id, lon, lat, name from poi_b), r as (select aoi_id, site_id, round(lon,5) as lon, round(lat,5) as lat from s)
+ select r.aoi_id, r.site_id, arg_min(g.name, ({hav('r', 'g')}, g.poi_id)) as place from r join g using (aoi_id) group by r.aoi_id, r.site_id""", ("candidates", "poi_b"))
 def label_facilities(v):
     g = v.poi_b().select("aoi_id", F.col("poi_id").alias("place_id"), "lon", "lat", F.col("name").alias("label"))
     return places.label_facilities(v.candidates().where(_PICK), g)

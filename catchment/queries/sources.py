@@ -50,7 +50,7 @@ def _places(v):
     return materialize(p, "places")
 
 
-@query("scan_places", f"select id, name, amenity from (select c_custkey as id, c_name as name, {_CAT} as amenity from customer where {_PX}+0.5e0 >= 20 and {_PX} <= 90 and {_PY}+0.5e0 >= 10 and {_PY} <= 60) where amenity in ('hospital','pharmacy') order by id limit 20000")
+@query("scan_places", f"select id, name, amenity from (select c_custkey as id, c_name as name, {_CAT} as amenity from customer where {_PX}+0.5e0 >= 20 and {_PX} <= 90 and {_PY}+0.5e0 >= 10 and {_PY} <= 60) where amenity in ('hospital','pharmacy')")
 def scan_places(v):
     return readers.scan_places(_places(v), (20.0, 10.0, 90.0, 60.0), ["hospital", "pharmacy"]).select("id", "name", "amenity")
 
@@ -68,7 +68,7 @@ def _divisions(v):
 _DBOX = f"{_PX}+0.5e0 >= 0 and {_PX} <= 100 and {_PY}+0.5e0 >= 0 and {_PY} <= 70"
 
 
-@query("search_divisions", f"select c_custkey as id, {_SUB} as subtype, c_name as name, {_CTY} as country, c_acctbal as population from customer where {_DBOX} and {_SUB} in ('locality','county','region') and contains(lower(c_name), '1') and {_CTY}='US' order by id limit 500")
+@query("search_divisions", f"select c_custkey as id, {_SUB} as subtype, c_name as name, {_CTY} as country, c_acctbal as population from customer where {_DBOX} and {_SUB} in ('locality','county','region') and contains(lower(c_name), '1') and {_CTY}='US'")
 def search_divisions(v):
     return readers.search_divisions(_divisions(v), (0.0, 0.0, 100.0, 70.0), ["locality", "county", "region"], " 1 ", "us")
 
@@ -81,7 +81,7 @@ def division_area_by_id(v):
     return readers.division_areas(a, want, (0.0, 0.0, 100.0, 70.0)).select("division_id", "area_id")
 
 
-@query("scan_places_by_label", f"select c_custkey as id, case when c_custkey%8=0 then '' else c_name end as name, {_PX} as longitude, {_PY} as latitude from customer where {_PX} between 10 and 120 and {_PY} between 5 and 70 and c_custkey%11<>0 and c_custkey%4 in (0,1) order by id limit 20000")
+@query("scan_places_by_label", f"select c_custkey as id, case when c_custkey%8=0 then '' else c_name end as name, {_PX} as longitude, {_PY} as latitude from customer where {_PX} between 10 and 120 and {_PY} between 5 and 70 and c_custkey%11<>0 and c_custkey%4 in (0,1)")
 def scan_places_by_label(v):
     p = v.table("customer").selectExpr("c_custkey as id", "case when c_custkey%8<>0 then c_name end as name", f"case when c_custkey%11<>0 then {_PX} end as longitude", f"{_PY} as latitude",
                                        "case c_custkey%4 when 0 then array('Retail', 'Health > HOSPITAL ward') when 1 then array('Medical Center') when 2 then array('Bank') else cast(array() as array<string>) end as labels")

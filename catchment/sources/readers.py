@@ -76,20 +76,20 @@ def _meets(box: tuple[float, float, float, float]) -> Column:
     return (F.col("bbox.xmax") >= x0) & (F.col("bbox.xmin") <= x1) & (F.col("bbox.ymax") >= y0) & (F.col("bbox.ymin") <= y1)
 
 
-def scan_places(places: DataFrame, box, categories: Sequence[str], limit: int | None = 20_000) -> DataFrame:
+def scan_places(places: DataFrame, box, categories: Sequence[str], limit: int | None = None) -> DataFrame:
     """Places whose box meets ``box`` and whose primary category is listed."""
     p = places.where(_meets(box) & F.col("categories.primary").isin(*categories))
     p = p.select("id", F.col("names.primary").alias("name"), F.col("categories.primary").alias("amenity"), "geometry")
     return p if limit is None else p.orderBy("id").limit(limit)
 
 
-def search_divisions(divisions: DataFrame, box, subtypes: Sequence[str], name: str, country: str | None = None, limit: int = 500) -> DataFrame:
+def search_divisions(divisions: DataFrame, box, subtypes: Sequence[str], name: str, country: str | None = None, limit: int | None = None) -> DataFrame:
     """Divisions near ``box`` whose name holds the searched text."""
     q = _meets(box) & F.col("subtype").isin(*subtypes) & F.lower("names.primary").contains(name.strip().lower())
     if country:
         q = q & (F.col("country") == country.upper())
     d = divisions.where(q).select("id", "subtype", F.col("names.primary").alias("name"), "country", "population")
-    return d.orderBy("id").limit(limit)
+    return d if limit is None else d.orderBy("id").limit(limit)
 
 
 def division_areas(areas: DataFrame, wanted: DataFrame, box) -> DataFrame:
@@ -98,12 +98,13 @@ def division_areas(areas: DataFrame, wanted: DataFrame, box) -> DataFrame:
     return a.groupBy("division_id").agg(F.min_by("geometry", "area_id").alias("geometry"), F.min("area_id").alias("area_id"))
 
 
-def scan_places_by_label(places: DataFrame, box, targets: Sequence[str], limit: int = 20_000) -> DataFrame:
+def scan_places_by_label(places: DataFrame, box, targets: Sequence[str], limit: int | None = None) -> DataFrame:
     """Places in the range with any label that holds any target, whatever the case."""
     x0, y0, x1, y1 = box
     hits = F.exists("labels", lambda s: F.lower(s).rlike("|".join(t.lower() for t in targets)))
     p = places.where(F.col("longitude").between(x0, x1) & F.col("latitude").between(y0, y1)).where(hits)
-    return p.select("id", F.coalesce("name", F.lit("")).alias("name"), "longitude", "latitude").orderBy("id").limit(limit)
+    p = p.select("id", F.coalesce("name", F.lit("")).alias("name"), "longitude", "latitude")
+    return p if limit is None else p.orderBy("id").limit(limit)
 
 
 # Map tags per category.

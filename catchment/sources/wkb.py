@@ -14,12 +14,15 @@ def _rings(b: bytes, at: int = 0) -> tuple[list[list[tuple[float, float]]], int,
     """(rings, geometry type, next offset) of a point, line, polygon or multi geometry."""
     e = "<" if b[at] == 1 else ">"
     (kind,) = struct.unpack_from(e + "I", b, at + 1)
-    at += 5
-    kind &= 0xFF
+    at += 5 + 4 * bool(kind & 0x20000000)  # a spatial reference id may follow
+    # Z and M as flag bits or as thousands of the type
+    flags, kind = kind >> 30, kind & 0x0FFFFFFF
+    axes = 2 + bool(flags & 2) + bool(flags & 1) + (0, 1, 1, 2)[kind // 1000 % 4]
+    kind %= 1000
 
     def run(n, at):
-        v = struct.unpack_from(f"{e}{2 * n}d", b, at)
-        return list(zip(v[0::2], v[1::2])), at + 16 * n
+        v = struct.unpack_from(f"{e}{axes * n}d", b, at)
+        return list(zip(v[0::axes], v[1::axes])), at + 8 * axes * n
 
     if kind == 1:
         pts, at = run(1, at)

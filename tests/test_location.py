@@ -189,8 +189,10 @@ def test_drop_one_never_improves(town):
     sw = pmedian.p_median_swap(d, s, g)
     rows = sweep.drop_one_p_median(d, s, sw, 2).collect()
     assert len(rows) == 2
+    best = exact.exact_p_median(d, s, 2).first().cost
     for r in rows:
-        assert r.dropped != r.cost and r.degradation_pct is not None
+        assert r.cost >= best and r.base_cost == sw.first().cost
+        assert abs(r.degradation_pct - 100 * (r.cost - r.base_cost) / r.base_cost) < 1e-4
 
 
 def test_genetic_search_is_repeatable_and_valid(town):
@@ -215,3 +217,23 @@ def test_exhaustive_search_refuses_large(town):
     d, s = town
     with pytest.raises(ValueError):
         exact.exact_p_median(d, s.crossJoin(s.select(F.col("site_id").alias("j"))).withColumn("site_id", F.col("site_id") * 100 + F.col("j")), 5)
+
+
+def test_cover_status_names_every_area(spark):
+    d = spark.createDataFrame([("A", 1, 10.0, 50.0, 2.0), ("A", 2, 10.0, 50.0, 3.0), ("B", 1, 10.0, 50.0, 1.0), ("B", 2, 11.0, 50.0, 4.0), ("C", 1, 10.0, 50.0, 1.0)], "aoi_id string, demand_id bigint, lon double, lat double, weight double")
+    s = spark.createDataFrame([("A", 1, 10.001, 50.0), ("B", 1, 10.001, 50.0)], "aoi_id string, site_id bigint, lon double, lat double")
+    pairs = cover.cover_pairs(d, s, 1000.0, K, value=F.lit(1.0))
+    rows = cover.cover_status(d, s, pairs, cover.greedy_cover(pairs)).collect()
+    got = {r.aoi_id: (r.status, r.n_sites, r.n_demand, r.n_uncovered, r.uncovered_weight) for r in rows}
+    assert got == {"A": ("feasible", 1, 2, 0, 0.0), "B": ("infeasible", 1, 2, 1, 4.0), "C": ("no candidates", 0, 1, 1, 1.0)}
+
+
+def test_sweep_of_two_thousand_scenarios(spark, town):
+    d, s = town
+    sc = spark.range(2000).select(F.col("id").cast("string").alias("scenario_id"), (F.col("id") * 10.0).alias("radius_m"))
+    rows = sweep.radius_sweep_mclp(d, s, sc, 1).collect()
+    assert [r.error for r in rows if r.scenario_id == "0"] == ["radius_m must be > 0"]
+    got = {int(r.scenario_id): r.covered for r in rows if r.error is None}
+    assert len(got) > 1500 and all(got[a] <= got[b] for a, b in zip(sorted(got), sorted(got)[1:]))
+    one = sweep.radius_sweep_mclp(d, s, sc.where("scenario_id = '777'"), 1).first()
+    assert one.covered == got[777]

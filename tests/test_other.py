@@ -2,14 +2,16 @@
 
 import heapq
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions import text
 from catchment.operators import dedup, hull, network, polygon
-from catchment.plans import audit, generate, messages
+from catchment.plans import audit, generate, messages, places
 from catchment.session import new_path
+from catchment.sources import readers, wkb
 from catchment.streaming import jobs
 
 EDGE = "aoi_id string, src bigint, dst bigint, length_m double"
@@ -148,3 +150,57 @@ def test_late_events_are_dropped(spark):
     total = {str(r.start)[11:16]: r.n for r in rows}
     # 00:02 came after the watermark had passed its window; 01:55 was still in time
     assert total["00:00"] == 1 and total["01:55"] == 1 and total["02:00"] == 2
+
+
+def test_audit_keeps_areas_without_sites(spark):
+    d = spark.createDataFrame([("A", 1, 0.0, 0.0, 1.0), ("B", 1, 0.0, 0.0, 2.0), ("B", 2, 0.1, 0.0, 3.0)], "aoi_id string, demand_id bigint, lon double, lat double, weight double")
+    s = spark.createDataFrame([("A", 1, 0.0, 0.0)], "aoi_id string, site_id bigint, lon double, lat double")
+    got = {r.aoi_id: r for r in audit.analyze_facilities(d, s, 100.0).collect()}
+    assert got["A"].pct_weight_covered == 100.0
+    b = got["B"]
+    assert (b.n_demand, b.n_facilities, b.pct_weight_covered, b.uncovered_weight, b.avg_distance_m) == (2, 0, 0.0, 5.0, None)
+
+
+def test_hull_drops_inner_points_before_python(spark):
+    rnd = random.Random(1)
+    pts = [("A", rnd.uniform(0, 1), rnd.uniform(0, 1)) for _ in range(3000)]
+    df = spark.createDataFrame(pts, "aoi_id string, lon double, lat double")
+    got = [(r.x, r.y) for r in hull.convex_hull(df).orderBy("seq").collect()]
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    assert all(turn(a, b, (x, y)) >= 0 for a, b in zip(got, got[1:] + got[:1]) for _, x, y in pts)
+
+
+def test_well_known_binary_with_more_axes_and_reference_ids(spark):
+    ring = [(0.0, 0.0, 5.0), (1.0, 0.0, 6.0), (1.0, 1.0, 7.0), (0.0, 0.0, 5.0)]
+    flat = [c for p in ring for c in p]
+    iso_z = struct.pack("<BIII12d", 1, 1003, 1, 4, *flat)
+    flag_z = struct.pack("<BIIII12d", 1, 3 | 0x80000000 | 0x20000000, 4326, 1, 4, *flat)
+    point = struct.pack(">BIIdd", 0, 1 | 0x20000000, 4326, 1.0, 2.0)
+    multi = struct.pack("<BII", 1, 1004, 2) + struct.pack("<BIddd", 1, 1001, 1.0, 2.0, 9.0) + struct.pack("<BIddd", 1, 1001, 3.0, 4.0, 9.0)
+    df = spark.createDataFrame([(1, bytearray(iso_z)), (2, bytearray(flag_z)), (3, bytearray(point)), (4, bytearray(multi))], "id int, g binary")
+    got = {}
+    for r in wkb.decode_edges(df, "g", ["id"]).orderBy("id", "ring_no", "seq").collect():
+        got.setdefault(r.id, []).append((r.x1, r.y1, r.x2, r.y2))
+    edges = [(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 0.0)]
+    assert got == {1: edges, 2: edges, 3: [(1.0, 2.0, 1.0, 2.0)], 4: [(1.0, 2.0, 1.0, 2.0), (3.0, 4.0, 3.0, 4.0)]}
+
+
+def test_nothing_is_cut_from_places(spark):
+    many = spark.range(30_000).selectExpr(
+        "id", "named_struct('primary', concat('Lima ', id)) as names", "named_struct('primary', 'shop') as categories", "cast(null as binary) as geometry",
+        "named_struct('xmin', 0d, 'xmax', 1d, 'ymin', 0d, 'ymax', 1d) as bbox", "'locality' as subtype", "'PE' as country", "1 as population",
+        "array('Shop') as labels", "'x' as name", "0.5d as longitude", "0.5d as latitude",
+    )
+    box = (0.0, 0.0, 1.0, 1.0)
+    assert readers.scan_places(many, box, ["shop"]).count() == 30_000
+    assert readers.search_divisions(many, box, ["locality"], "lima").count() == 30_000
+    assert readers.scan_places_by_label(many, box, ["shop"]).count() == 30_000
+    assert readers.scan_places(many, box, ["shop"], limit=7).count() == 7
+
+
+def test_the_eighth_division_is_tried_and_all_sites_are_labelled(spark):
+    m = spark.createDataFrame([("q", i, "Lima", "locality", "lima") for i in range(9)], "q string, id bigint, name string, subtype string, wanted string")
+    assert places.best_division(m, m.where("id = 8"), ["q"]).first().id == 8
+    s = spark.createDataFrame([("A", i, i / 10, 0.0) for i in range(25)], "aoi_id string, site_id bigint, lon double, lat double")
+    g = s.select("aoi_id", F.col("site_id").alias("place_id"), "lon", "lat", F.concat(F.lit("p"), "site_id").alias("label"))
+    assert {(r.site_id, r.place) for r in places.label_facilities(s, g).collect()} == {(i, f"p{i}") for i in range(25)}
