@@ -26,7 +26,7 @@ from .shingles import mix
 
 MISS = 5e-4
 WIDTH = 2.0
-BLOCK = 1024
+BLOCK = 512
 #: Vectors unrelated to a given one that share its bucket in a table, about.
 STRANGERS = 4.0
 
@@ -87,8 +87,9 @@ def _bucket(k: int, tables: int):
                 for j in range(k):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + step.reshape(len(at), tables, k)[:, :, j])
                 keys[at] = h.astype(np.int64)
+            packed = pa.array([row.tobytes() for row in keys], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns, packed, lists], [*b.schema.names, "packed", "keys"])
 
     return run
 
@@ -103,11 +104,10 @@ def _block(rows: dict[str, list], table: int, crossed: bool, cosine: float) -> t
         linked &= side[:, None] != side[None, :]
     i, j = np.nonzero(linked)
     if len(i):
-        keys = np.array(rows["keys"], np.int64)[:, :table]
-        before = np.zeros(len(i), bool)  # met in an earlier table
-        for lo in range(0, len(i), 100_000):
-            part = slice(lo, lo + 100_000)
-            before[part] = (keys[i[part]] == keys[j[part]]).any(axis=1)
+        keys = np.frombuffer(b"".join(rows["packed"]), np.int64).reshape(len(x), -1)
+        before = np.zeros(len(i), bool)
+        for t in range(table):  # met in an earlier table
+            before |= keys[i, t] == keys[j, t]
         links = np.bincount(i[~before], w[j[~before]], len(x)).astype(np.int64)
     else:
         links = np.zeros(len(x), np.int64)
@@ -125,7 +125,7 @@ def _compare(cosine: float):
     """Rows sorted by group -> (vec, links, root) of each vector of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("vec", "own", "n", "vector", "keys")
+        names = ("vec", "own", "n", "vector", "packed")
         held: dict[str, list] = {c: [] for c in names}
         group, out = None, ([], [], [])
 
@@ -180,7 +180,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     single = materialize(single.select("vec", "label", "n", "vector"), "single_vectors")
     most = single.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     k, tables = plan_tables(most, cosine)
-    hashed = materialize(single.mapInArrow(_bucket(k, tables), "vec long, label string, n long, vector binary, keys array<long>"), "bucketed")
+    hashed = materialize(single.mapInArrow(_bucket(k, tables), "vec long, label string, n long, vector binary, packed binary, keys array<long>"), "bucketed")
 
     posts = hashed.select("vec", "label", F.posexplode("keys").alias("t", "key"))
     sizes = posts.groupBy("t", "label", "key").agg(F.count("*").alias("m")).where("m > 1")
@@ -189,7 +189,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     p = p.select("vec", "t", "label", "key", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     group = ["t", "label", "key", "bi", "bj"]
-    p = p.join(hashed.select("vec", "label", "n", "vector", "keys"), ["vec", "label"]).repartition(*group).sortWithinPartitions(*group)
+    p = p.join(hashed.select("vec", "label", "n", "vector", "packed"), ["vec", "label"]).repartition(*group).sortWithinPartitions(*group)
     found = materialize(p.mapInArrow(_compare(cosine), "vec long, links long, root long"), "found")
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("vec").alias("u"), F.col("root").alias("v")))
