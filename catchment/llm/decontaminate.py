@@ -190,6 +190,7 @@ def _window_rows(widths: tuple[int, ...], bitmap: np.ndarray | None = None):
                          pa.array(at - start[text[at]]), pa.array(slots, pa.list_(pa.int64())), pa.array(total[text[at]])],
                         ["id", "width", "h", "pos", "slots", "n_windows"],
                     )
+        _WORDS.reset()  # workers are used for other jobs next
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, release
 from .graph import components
-from .shingles import shingle_set
+from .shingles import forget, shingle_set
 
 K = 64
 #: A pair at similarity 0.8 has fewer matches than this with probability 6e-6.
@@ -61,6 +61,7 @@ def _sign(width: int):
                 [b.column(0), pa.array(ns, pa.int64()), pa.array(hs, pa.binary()), pa.array(sg, pa.binary())],
                 ["doc_id", "n_shingles", "set_hash", "sig"],
             )
+        forget()
 
     return run
 
@@ -70,6 +71,7 @@ def _sets(width: int):
         for b in batches:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc", "set"])
+        forget()
 
     return run
 

@@ -26,6 +26,11 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
+def forget() -> None:
+    """Give the cache back; at the end of a task, as workers are used for other jobs next."""
+    _HASH.clear()
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
