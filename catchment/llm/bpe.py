@@ -24,11 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .pieces import PieceCache, chunks, pieces
+from .pieces import PieceTable, encode_texts, piece_of
 
 _FOREVER = 1 << 60
 #: Bytes of a word kept before what is settled leaves.
 _PENDING = 1024
+#: Longer words are encoded one by one.
+_WIDE = 64
+_PAIRS = 1 << 20
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -61,6 +64,11 @@ class Transducer:
         self._open: list[tuple[tuple[int, int], ...]] = [()]
         self._whole: list[tuple[tuple[int, int], ...]] = [()]
         self._hops: dict[int, int] = {}
+        self._size = np.array([len(t) for t in self.token], np.int32)
+        # the same machine as arrays, for many words at once
+        self._next = np.full((1024, 256), -1, np.int32)
+        self._ends = np.full((1024, 8), -1, np.int32)
+        self._pair, self._pair_fits = np.full(_PAIRS, -1, np.int64), np.zeros(_PAIRS, bool)
 
     # which tokens can stand side by side
 
@@ -149,6 +157,80 @@ class Transducer:
         self._back(last, len(last) - 1, out, len(out))
         return out
 
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has); all words advance a byte at a time together."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        wide = np.flatnonzero(size > _WIDE)
+        order = np.argsort(-np.where(size > _WIDE, 0, size), kind="stable")
+        n = size[order] * (size[order] <= _WIDE)
+        steps = int(n[0]) if len(n) else 0
+        row = np.repeat(np.arange(len(n)), n)
+        text = np.zeros((len(n), steps), np.uint8)
+        text[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = np.frombuffer(b"".join([words[i] for i in order if size[i] <= _WIDE]), np.uint8)
+        last = np.full((len(n), steps + 1), -1, np.int32)
+        state = np.zeros(len(n), np.int64)
+        for at in range(steps):
+            k = int(np.searchsorted(-n, -at, "left"))  # words longer than that
+            state[:k] = self._hop_many(state[:k], text[:k, at])
+            todo, slot = np.arange(k), 0
+            while len(todo):
+                token = self._ends[state[todo], slot]
+                before = last[todo, at + 1 - self._size[token]]
+                ok = (token >= 0) & ((before < 0) | self._fit_many(before, token))
+                last[todo[ok], at + 1] = token[ok]
+                todo, slot = todo[~ok], slot + 1
+        # from the end back to the start
+        place, found = n.copy(), []
+        while (live := np.flatnonzero(place > 0)).size:
+            token = last[live, place[live]]
+            found.append((live, token))
+            place[live] -= self._size[token]
+        count = np.zeros(len(n), np.int64)
+        for live, _ in found:
+            count[live] += 1
+        counts = np.zeros(len(words), np.int64)
+        counts[order] = count
+        alone = {int(i): self.encode(words[i]) for i in wide}
+        for i, ids in alone.items():
+            counts[i] = len(ids)
+        start = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.int32)
+        for back, (live, token) in enumerate(found, 1):
+            out[start[order[live]] + count[live] - back] = token
+        for i, ids in alone.items():
+            out[start[i] : start[i] + len(ids)] = ids
+        return out, counts
+
+    def _hop_many(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        to = self._next[state, byte]
+        new = np.flatnonzero(to < 0)
+        if len(new):
+            for s, b in {(int(s), int(b)) for s, b in zip(state[new], byte[new])}:
+                hop = self._grow(s, b)
+                while hop >= len(self._next) or s >= len(self._next):
+                    self._next = np.concatenate([self._next, np.full_like(self._next, -1)])
+                    self._ends = np.concatenate([self._ends, np.full_like(self._ends, -1)])
+                self._next[s, b] = hop
+                whole = [t for t, _ in self._whole[hop]]
+                if len(whole) > self._ends.shape[1]:
+                    self._ends = np.hstack([self._ends, np.full((len(self._ends), len(whole)), -1, np.int32)])
+                self._ends[hop, : len(whole)] = whole
+            to = self._next[state, byte]
+        return to
+
+    def _fit_many(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``fits`` of each pair where both are tokens; answers stay in a table of fixed size, one pair a slot."""
+        pair = before.astype(np.int64) << 20 | token
+        slot = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIRS.bit_length() + 1)).astype(np.int64)
+        fit = self._pair_fits[slot]
+        new = np.flatnonzero((self._pair[slot] != pair) & (before >= 0) & (token >= 0))
+        if len(new):
+            kind, at = np.unique(pair[new], return_inverse=True)
+            made = np.array([self.fits(p >> 20, p & 0xFFFFF) for p in kind.tolist()], bool)
+            fit[new] = made[at]
+            self._pair[slot[new]], self._pair_fits[slot[new]] = pair[new], fit[new]
+        return fit
+
     def _back(self, last: list[int], k: int, out: list[int], at: int) -> None:
         """Insert at ``at`` of ``out`` the tokens that lead up to place ``k``."""
         chain_ = []
@@ -175,6 +257,22 @@ class Transducer:
         return k
 
 
+class Joined:
+    """Byte strings by number, joined for whole arrays of numbers."""
+
+    def __init__(self, parts: list[bytes]):
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, numbers: np.ndarray) -> bytes:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        shift = np.repeat(self.start[numbers] - ends + size, size)
+        shift += np.arange(len(shift))
+        return self.flat[shift].tobytes()
+
+
 class Codec:
     """Whole texts to ids and back."""
 
@@ -182,34 +280,31 @@ class Codec:
         self.words = regex.compile(pattern)
         self.machine = Transducer(ranks)
         self.token = self.machine.token
-        self.known = PieceCache(self._words, 400_000)
-        self.cache = PieceCache(self._pieces, 300_000)
+        self.known = PieceTable(self._words, np.int32)
+        self.table = PieceTable(self._pieces, np.int32)
 
-    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(self.machine.encode(w.encode("utf-8", "surrogatepass"))) for w in words]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.machine.encode_many([w.encode("utf-8", "surrogatepass") for w in words])
 
-    def _pieces(self, parts: list[str]) -> list[tuple[int, ...]]:
-        words = [self.words.findall(p) for p in parts]
-        get = self.known.getter(chain.from_iterable(words))
-        return [get(w[0]) if len(w) == 1 else tuple(chain.from_iterable(map(get, w))) for w in words]
+    def _pieces(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.known.gather([self.words.findall(piece_of(k)) for k in keys])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for some in chunks(texts):
-            parts = [pieces(t or "") for t in some]
-            get = self.cache.getter(chain.from_iterable(parts))
-            for p in parts:
-                yield np.fromiter(chain.from_iterable(map(get, p)), np.int32)
+        return encode_texts(self.table, texts)
+
+    def forget(self) -> None:
+        """Give back the tables of pieces; the machine stays."""
+        self.known.forget()
+        self.table.forget()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
 
-    def decode_stream(self, chunks: Iterable[list[int]]) -> Iterator[str]:
-        """Text of each chunk of ids as far as its characters are complete; the rest comes with a later one."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for ids in chunks:
-            yield state.decode(self.decode(ids))
-        yield state.decode(b"", True)
+def decode_stream(token: Joined, chunks: Iterable[list[int]]) -> Iterator[str]:
+    """Text of each chunk of ids as far as its characters are complete; the rest comes with a later one."""
+    state = codecs.getincrementaldecoder("utf-8")("replace")
+    for ids in chunks:
+        yield state.decode(token.of(np.array(ids, np.int64)))
+    yield state.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
@@ -217,6 +312,15 @@ def _codec(content: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(content), pattern)
 
 
+@lru_cache(maxsize=2)
+def _tokens(content: bytes) -> Joined:
+    ranks = read_ranks(content)
+    parts = [b""] * (max(ranks.values()) + 1)
+    for word, rank in ranks.items():
+        parts[rank] = word
+    return Joined(parts)
+
+
 def read_vocabulary(path: str) -> bytes:
     """The vocabulary file (a megabyte or so), read where the job is written and shipped with it."""
     with open(path, "rb") as f:
@@ -245,6 +349,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: s
         for b in batches:
             ids = _lists(list(codec.encode(b.column(at).to_pylist())), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
+        codec.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -260,10 +365,10 @@ def decode_documents(rows: DataFrame, vocabulary: str, ids_col: str = "ids", tex
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped.value, "")
+        token = _tokens(shipped.value)
         for b in batches:
             texts = [
-                None if ids is None else "".join(codec.decode_stream(ids[i : i + chunk] for i in range(0, len(ids), chunk)))
+                None if ids is None else "".join(decode_stream(token, (ids[i : i + chunk] for i in range(0, len(ids), chunk))))
                 for ids in b.column(at).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
@@ -279,15 +384,15 @@ def digests(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: s
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _codec(shipped.value, "").token
-        number = [b"%d" % i for i in range(len(token))]
+        token = _tokens(shipped.value)
+        number = Joined([b"%d " % i for i in range(len(token.size))])
         for b in batches:
             n, a, d = [], [], []
             for ids in b.column(1):
-                ids = ids.values.to_pylist() if ids.is_valid else []
+                ids = ids.values.to_numpy() if ids.is_valid else np.empty(0, np.int32)
                 n.append(len(ids))
-                a.append(sha(b" ".join(map(number.__getitem__, ids))))
-                d.append(sha(b"".join(map(token.__getitem__, ids))))
+                a.append(sha(number.of(ids)[:-1]))
+                d.append(sha(token.of(ids)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
