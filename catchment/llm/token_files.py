@@ -16,10 +16,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import materialize
-from .pieces import PieceCache, chunks, pieces
+from .bytewords import ByteTable, encode_plain
+from .pieces import is_plain
 
 LENGTH = 2048
 #: Sequences in a record batch.
 ROWS = 256
-SIGNS = ".,!?;:#$%&*|)"
 
 
 def read_tokenizer(path: str) -> str:
@@ -52,28 +50,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
-        self.cache = PieceCache(self._pieces, 500_000)
-        self.cores = PieceCache(self._library, 500_000)
-        self.code = {2: "H", 4: "I"}[self.width.itemsize]
-
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Signs after a letter or digit are a word of their own, so the rest is encoded once for all of them."""
-        cores = [p.rstrip(SIGNS) for p in pieces]
-        cores = [c if c[-1:].isalnum() else p for c, p in zip(cores, pieces)]
-        ends = [p[len(c) :] for c, p in zip(cores, pieces)]
-        get = self.cores.getter(chain(cores, ends))
-        return [get(c) + get(e) for c, e in zip(cores, ends)]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian ids of ``width`` of each text."""
-        for some in chunks(texts):
-            parts = [pieces(t or "") for t in some]
-            get = self.cache.getter(chain.from_iterable(parts))
-            for p in parts:
-                yield b"".join(map(get, p))
+        self.table = ByteTable(self._pieces, self.width)
+        self.feed = self._ids("\n")
+        assert len(self.feed) == 1, "the vocabulary must hold the line feed"
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces go to the library as lines of one text, as a line feed between them is a match of its own."""
+        full = np.array([p != "\x02" for p in pieces])  # the mark of an empty text
+        fed = np.array([p[0] == "\n" for p in pieces])
+        counts = np.zeros(len(pieces), np.int64)
+        ids, counts[full] = self._lines([p[1:] if p[0] in "\x02\n" else p for p in pieces if p != "\x02"], fed[full])
+        return ids, counts
+
+    def _lines(self, lines: list[str], fed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not lines:
+            return np.empty(0, self.width), np.empty(0, np.int64)
+        flat = np.array(self._ids("\n" + "\n".join(lines)), self.width)
+        is_feed = flat == self.feed[0]
+        at = np.flatnonzero(is_feed)  # one before each line, kept where the piece has it
+        counts = np.diff(np.append(at, len(flat))) - ~fed
+        is_feed[at[fed]] = False
+        return flat[~is_feed], counts
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, of type ``width``."""
+        return encode_plain(self.table, texts, lambda t: not is_plain(t), self._whole)
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +190,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         for b in batches:
             counts = []
             for ids in enc.encode(b.column(1).to_pylist()):
-                ids += end
+                ids = ids.tobytes() + end
                 if writer is None:
                     sink = _open_sink(uri)
                     writer = Writer(sink, enc.width, length)
@@ -214,9 +221,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 def read_documents(index: DataFrame) -> DataFrame:
     """``index`` with the ids of each document, read back from its file, as little-endian 32-bit bytes."""
 
+    at = {c: i for i, c in enumerate(index.columns)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, opened = None, None
-        at = {c: i for i, c in enumerate(index.columns)}
         for b in batches:
             out = []
             for f, place, n in zip(*(b.column(at[c]).to_pylist() for c in ("file", "place", "n_tokens"))):
