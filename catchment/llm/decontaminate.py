@@ -6,6 +6,11 @@ around them.  Windows of template words are hashed and joined with the benchmark
 What stood in the placeholders is kept: along one alignment of a document with an item
 each of the item's values must always meet the same value, and no two of them the
 same one.  Windows that break this do not count.
+
+The same words are also read as they stand, placeholders filled and case folded: each
+window of these is looked for too, so that an item of few words, or of hardly any but
+numbers and names, is found by its copies.  The better of both shares counts.
+Characters are words in scripts that put no spaces between words.
 """
 
 from __future__ import annotations
@@ -23,12 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 
 WINDOW = 8
-#: Items with fewer template words are too short to tell.
-SHORTEST = 4
 #: The benchmark's windows are broadcast up to this number, a few dozen bytes each.
 BROADCAST_WINDOWS = 100_000
-#: Literal words that a window must hold.
+#: Literal words that a template window must hold; windows of the words as they stand need none.
 LITERALS = 4
+# How the words are read: as templates, as they stand.
+TEMPLATE, PLAIN = range(2)
 _CHUNK_CHARS = 2_000_000
 _WORDS_KEPT = 400_000
 _BITS_EACH, _MAX_BITS = 64, 1 << 27
@@ -49,6 +54,11 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|%|°)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+# Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han, with the marks that follow a letter; Hangul is written with spaces.
+_UNSPACED = "\u0e01-\u0e30\u0e32-\u0e33\u0e40-\u0e46\u0e81-\u0eb0\u0eb2-\u0eb3\u0ec0-\u0ec6\u0f40-\u0f6c\u1000-\u102a\u1780-\u17b3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_MARKS = "\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ece\u0f71-\u0f84\u0f90-\u0fbc\u102b-\u103e\u17b4-\u17d3\u3099\u309a"
+_LETTER = re.compile(f"[{_UNSPACED}][{_MARKS}]*")
+_PIECES = re.compile(f"[{_UNSPACED}][{_MARKS}]*|[^{_UNSPACED}]+")
 
 
 class Words:
@@ -71,7 +81,9 @@ class Words:
 
     def entries(self, raw: str) -> tuple[int, ...]:
         found = self.number.get(raw)
-        if found is None:
+        if found is None and not raw.isascii() and _LETTER.search(raw):
+            found = self.number[raw] = tuple(chain.from_iterable(self.pieces(x) for x in _PIECES.findall(raw)))
+        elif found is None:
             ends = raw[-1] == "\x1f" or raw.rstrip("\"')]}\x1f")[-1:] in (".", "!", "?", ":")
             word = _EDGE.sub("", raw)
             low = word.lower()
@@ -88,6 +100,15 @@ class Words:
             self.number[raw] = found
         return found
 
+    def pieces(self, piece: str) -> tuple[int, ...]:
+        """Entries of a part of a raw word: a letter of an unspaced script, or what stands between such."""
+        if not _LETTER.match(piece):
+            return self.entries(piece)
+        found = self.number.get(piece)
+        if found is None:
+            found = self.number[piece] = (self._entry(piece, LITERAL, False),)
+        return found
+
 
 _WORDS = Words()
 
@@ -117,18 +138,34 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return text, kind, value
 
 
-def window_hashes(text: np.ndarray, kind: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the windows that lie in one text and hold literals enough."""
+def _hashes(word: np.ndarray, width: int) -> np.ndarray:
+    """Of every ``width`` words in a row; hashes of 1, 2, 4, ... words are put together."""
+    m = len(word) - width + 1
+    h, done, part, size, factor = np.zeros(m, np.uint64), 0, word, 1, int(_FACTOR)
+    while True:
+        if width & size:
+            h = h * np.uint64(factor) + part[done : done + m]
+            done += size
+        if 2 * size > width:
+            return h
+        part = part[:-size] * np.uint64(factor) + part[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+
+
+def window_hashes(text: np.ndarray, kind: np.ndarray, value: np.ndarray, width: int, reading: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows that lie in one text and, as templates, hold literals enough."""
     m = len(value) - width + 1
     if m <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    word = np.where(kind == LITERAL, value, kind.astype(np.uint64))
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    h = np.full(m, width, np.uint64)
-    for k in range(width):
-        h = h * _FACTOR + word[k : k + m]
-    at = np.flatnonzero((text[:m] == text[width - 1 :]) & (literal[width:] - literal[:-width] >= min(LITERALS, width)))
-    h = h[at]
+    inside = text[:m] == text[width - 1 :]
+    if reading == PLAIN:
+        word = value
+    else:
+        word = np.where(kind == LITERAL, value, kind.astype(np.uint64))
+        literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+        inside &= literal[width:] - literal[:-width] >= LITERALS
+    at = np.flatnonzero(inside)
+    h = (_hashes(word, width)[at] + np.uint64(width + 2 * WINDOW * reading)) * _FACTOR
     return at, h ^ (h >> np.uint64(32))
 
 
@@ -161,8 +198,8 @@ def _held(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return at
 
 
-def _window_rows(widths: tuple[int, ...], bitmap: np.ndarray | None = None):
-    """(id, text) -> rows (id, width, h, pos, slots, n_windows).
+def _window_rows(kinds: tuple[tuple[int, int], ...], bitmap: np.ndarray | None = None):
+    """(id, text) -> rows (id, reading, width, h, pos, slots, n_windows); kinds are pairs (reading, width).
 
     Without a bitmap the texts are items: one window of its own width for a short text.
     With it they are documents, and only windows that the bitmap may hold are returned.
@@ -173,8 +210,8 @@ def _window_rows(widths: tuple[int, ...], bitmap: np.ndarray | None = None):
             text, kind, value = templates(texts)
             start = np.searchsorted(text, np.arange(len(texts) + 1))
             size, ids = np.diff(start), np.array(ids, np.int64)
-            for width in widths:
-                at, h = window_hashes(text, kind, value, width)
+            for reading, width in kinds:
+                at, h = window_hashes(text, kind, value, width, reading)
                 if bitmap is None:
                     own = np.minimum(size[text[at]], WINDOW) == width
                     at, h = at[own], h[own]
@@ -183,19 +220,19 @@ def _window_rows(widths: tuple[int, ...], bitmap: np.ndarray | None = None):
                     may = _held(h, bitmap)
                     at, h = at[may], h[may]
                 if len(at):
-                    filled = [np.flatnonzero(kind[i : i + width] != LITERAL) + i for i in at.tolist()]
-                    slots = [(value[f] >> np.uint64(1)).astype(np.int64).tolist() for f in filled]
+                    filled = [np.flatnonzero(kind[i : i + width] != LITERAL) + i if reading != PLAIN else [] for i in at.tolist()]
+                    slots = [(value[f] >> np.uint64(1)).astype(np.int64).tolist() if len(f) else [] for f in filled]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[text[at]]), pa.array(np.full(len(at), width, np.int32)), pa.array(h.astype(np.int64)),
-                         pa.array(at - start[text[at]]), pa.array(slots, pa.list_(pa.int64())), pa.array(total[text[at]])],
-                        ["id", "width", "h", "pos", "slots", "n_windows"],
+                        [pa.array(ids[text[at]]), pa.array(np.full(len(at), reading, np.int32)), pa.array(np.full(len(at), width, np.int32)),
+                         pa.array(h.astype(np.int64)), pa.array(at - start[text[at]]), pa.array(slots, pa.list_(pa.int64())), pa.array(total[text[at]])],
+                        ["id", "reading", "width", "h", "pos", "slots", "n_windows"],
                     )
         _WORDS.reset()  # workers are used for other jobs next
 
     return run
 
 
-_ROW = "id long, width int, h long, pos long, slots array<long>, n_windows long"
+_ROW = "id long, reading int, width int, h long, pos long, slots array<long>, n_windows long"
 
 
 def _bitmap(windows: DataFrame, n: int) -> np.ndarray:
@@ -239,13 +276,18 @@ def _best_alignment(hits: list[tuple[int, int, list[int], list[int]]]) -> tuple[
 
 def _check_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, same = [], []
-        for hits in b.column(3).to_pylist():
-            count, verbatim = _best_alignment([(x["pos"], x["item_pos"], x["slots"], x["item_slots"]) for x in hits])
+        n, of, same = [], [], []
+        for hits in b.column(2).to_pylist():
+            by_reading: dict[tuple[int, int], list] = defaultdict(list)
+            for x in hits:
+                by_reading[x["reading"], x["n_windows"]].append((x["pos"], x["item_pos"], x["slots"], x["item_slots"]))
+            found = [(*_best_alignment(h), windows, reading) for (reading, windows), h in by_reading.items()]
+            count, verbatim, windows, _ = max(found, key=lambda x: (x[0] / x[2], -x[3]))
             n.append(count)
+            of.append(windows)
             same.append(verbatim)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(2), pa.array(same, pa.bool_())],
+            [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(same, pa.bool_())],
             ["doc_id", "item_id", "n_matched", "n_windows", "verbatim"],
         )
 
@@ -255,30 +297,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3, id
 
     A row for each pair in which one alignment matches ``min_share`` of the item's windows
     or more with consistent placeholders; ``verbatim`` if all values are the item's own.
+    The windows are those of the templates or of the words as they stand, whichever gives the larger share.
     Whole texts are searched, every item and document takes part.
 
-    Null or empty texts hold nothing and items without ``SHORTEST`` template words are not
-    looked for; an item shorter than a window is one window.  Null ids give no row.
+    Null or empty texts, and those of signs alone, hold nothing; an item shorter than a
+    window is one window, and a single word is found wherever it stands.  Null ids give no row.
     Repeated rows count once.  Empty tables: no rows.  Other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = items.where("id is not null and text is not null").distinct()
-    windows = materialize(items.mapInArrow(_window_rows(tuple(range(SHORTEST, WINDOW + 1))), _ROW), "item_windows")
-    widths = sorted((r["width"], r["n"]) for r in windows.groupBy("width").agg(F.count("*").alias("n")).collect())  # eight at most
-    used = sum(n for _, n in widths)
+    every = tuple((r, w) for r in (TEMPLATE, PLAIN) for w in range(LITERALS if r == TEMPLATE else 1, WINDOW + 1))
+    windows = materialize(items.mapInArrow(_window_rows(every), _ROW), "item_windows")
+    kinds = sorted((r["reading"], r["width"], r["n"]) for r in windows.groupBy("reading", "width").agg(F.count("*").alias("n")).collect())  # as many as in every
+    used = sum(n for *_, n in kinds)
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(windows, max(used, 1)))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _window_rows(tuple(w for w, _ in widths), bitmap.value)(batches)
+        return _window_rows(tuple((r, w) for r, w, _ in kinds), bitmap.value)(batches)
 
-    found = d.mapInArrow(search, _ROW).select(F.col("id").alias("doc_id"), "width", "h", "pos", "slots")
-    theirs = windows.select(F.col("id").alias("item_id"), "width", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "n_windows")
-    hits = found.join(F.broadcast(theirs) if used <= BROADCAST_WINDOWS else theirs, ["width", "h"])
+    key = ["reading", "width", "h"]
+    found = d.mapInArrow(search, _ROW).select(F.col("id").alias("doc_id"), *key, "pos", "slots")
+    theirs = windows.select(F.col("id").alias("item_id"), *key, F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "n_windows")
+    hits = found.join(F.broadcast(theirs) if used <= BROADCAST_WINDOWS else theirs, key)
     # a pair's hits are bounded by the document's length
-    pairs = hits.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.collect_list(F.struct("pos", "item_pos", "slots", "item_slots")).alias("hits")
-    )
+    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("reading", "n_windows", "pos", "item_pos", "slots", "item_slots")).alias("hits"))
     pairs = pairs.mapInArrow(_check_slots, "doc_id long, item_id long, n_matched long, n_windows long, verbatim boolean")
     share = F.col("n_matched") / F.col("n_windows")
     return pairs.withColumn("share", share).where(F.col("share") >= min_share).select("doc_id", "item_id", "n_matched", "n_windows", "share", "verbatim")

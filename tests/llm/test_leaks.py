@@ -23,3 +23,16 @@ def test_finds_all_planted_items(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, i.item_id) for i in items.collect() for d in docs.collect() if plain(i.text) and plain(i.text) in plain(d.text)}
     assert want and {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()} == want
+
+
+def test_items_of_few_words_or_few_literals(spark):
+    texts = [
+        "Who wrote Hamlet in 1600?", "Compute 12 * 7 + 3 - 4 / 2", "Paris", "small item",
+        "In May 1912 Ernest Shackleton, Robert Scott and Roald Amundsen met Fridtjof Nansen in Oslo on 12 June 1913 with 40 kg.",
+        "\u5c0f\u660e\u67093\u4e2a\u82f9\u679c\uff0c\u4ed6\u53c8\u4e70\u4e865\u4e2a\uff0c\u4e00\u5171\u6709\u591a\u5c11\u4e2a\u82f9\u679c\uff1f", "\u0e41\u0e21\u0e27\u0e01\u0e34\u0e19\u0e1b\u0e25\u0e32",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(i, f"some words before {t} and after it" if t.isascii() else f"\u524d\u9762{t}\u540e\u9762") for i, t in enumerate(texts)]
+    other = [(90, "Who wrote Faust in 1808?"), (91, "\u5c0f\u7ea2\u67097\u672c\u4e66\u3002"), (92, "Compute 12 * 7 + 3 - 4 / 5")]
+    got = {(r.doc_id, r.item_id, r.share, r.verbatim) for r in find_leaks(spark.createDataFrame(docs + other, "doc_id long, text string"), items).collect()}
+    assert got == {(i, i, 1.0, True) for i in range(len(texts))}
