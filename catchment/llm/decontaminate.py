@@ -2,14 +2,17 @@
 
 Texts become templates: numbers, units after a number and capitalised words inside a
 sentence turn into typed placeholders; other words are lower-cased without the signs
-around them.  Windows of template words are hashed and joined with the benchmark's.
+around them.  A run of names or of number words is one placeholder.  A capitalised word
+that opens a sentence may be a name or not, so each text is read both ways, words of a
+fixed list apart.  Windows of template words are hashed and joined with the benchmark's.
 What stood in the placeholders is kept: along one alignment of a document with an item
 each of the item's values must always meet the same value, and no two of them the
-same one.  Windows that break this do not count.
+same one.  Windows that break this do not count.  An alignment may shift where words
+were put in or left out, as long as both texts go on in the same order.
 
 The same words are also read as they stand, placeholders filled and case folded: each
 window of these is looked for too, so that an item of few words, or of hardly any but
-numbers and names, is found by its copies.  The better of both shares counts.
+numbers and names, is found by its copies.  The best share of these readings counts.
 Characters are words in scripts that put no spaces between words.
 """
 
@@ -32,8 +35,8 @@ WINDOW = 8
 BROADCAST_WINDOWS = 100_000
 #: Literal words that a template window must hold; windows of the words as they stand need none.
 LITERALS = 4
-# How the words are read: as templates, as they stand.
-TEMPLATE, PLAIN = range(2)
+# How the words are read: as templates with opening words as literals or as names, as they stand.
+TEMPLATE, NAMED, PLAIN = range(3)
 _CHUNK_CHARS = 2_000_000
 _WORDS_KEPT = 400_000
 _BITS_EACH, _MAX_BITS = 64, 1 << 27
@@ -51,6 +54,18 @@ UNITS = frozenset(
     "day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz "
     "mhz ghz kb mb gb tb w kw volt volts watt watts joule joules newton newtons".split()
 )
+# Words that open sentences and are no names.
+OPENING_WORDS = frozenset(
+    "a an the this that these those each every all any some both no not only i you he she it we they my your his her its our their "
+    "who whom whose what which when where why how if as so then than thus hence there here and or but nor yet for from of in on at by to "
+    "with without within into onto over under between among after before during until since while because although though once "
+    "is are was were be been being am do does did has have had can could will would shall should may might must let lets "
+    "find compute calculate determine solve evaluate estimate simplify show prove explain describe write list name give state choose "
+    "select suppose assume consider given note first second third next finally also now later today however therefore after one another "
+    "el la los las un una unos unas de del en con por para que se lo su y o si al es son "
+    "der die das den dem ein eine einer und oder mit von zu im ist sind wenn wie was wer wo le les des du et ou dans sur est sont une pour".split()
+)
+_ENDS, _BREAKS, _OPENING, _NUMBER_WORD = 1, 2, 4, 8
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|%|°)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -71,12 +86,12 @@ class Words:
         self.number: dict[str, tuple[int, ...]] = {}
         self.hash: list[int] = []
         self.kind: list[int] = []
-        self.ends: list[bool] = []
+        self.flags: list[int] = []
 
-    def _entry(self, literal: str, kind: int, ends: bool) -> int:
+    def _entry(self, literal: str, kind: int, flags: int) -> int:
         self.hash.append(xxhash.xxh3_64_intdigest(literal))
         self.kind.append(kind)
-        self.ends.append(ends)
+        self.flags.append(flags)
         return len(self.hash) - 1
 
     def entries(self, raw: str) -> tuple[int, ...]:
@@ -85,18 +100,21 @@ class Words:
             found = self.number[raw] = tuple(chain.from_iterable(self.pieces(x) for x in _PIECES.findall(raw)))
         elif found is None:
             ends = raw[-1] == "\x1f" or raw.rstrip("\"')]}\x1f")[-1:] in (".", "!", "?", ":")
+            flags = _ENDS * ends | _BREAKS * (ends or raw[-1] in ",;)]}")
             word = _EDGE.sub("", raw)
             low = word.lower()
             both = _NUMBER_UNIT.fullmatch(low)
             if not word:
                 found = ()
-            elif _NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-                found = (self._entry(low, NUMBER, ends),)
+            elif _NUMBER.fullmatch(low):
+                found = (self._entry(low, NUMBER, flags),)
+            elif NUMBER_WORDS.issuperset(low.split("-")):
+                found = (self._entry(low, NUMBER, flags | _NUMBER_WORD),)
             elif both and (both[2] in UNITS or both[2] in "%°"):
-                found = (self._entry(both[1], NUMBER, False), self._entry(both[2], UNIT, ends))
+                found = (self._entry(both[1], NUMBER, 0), self._entry(both[2], UNIT, flags))
             else:
                 kind = UNIT if low in UNITS else NAME if word[0].isupper() and not word.isupper() else LITERAL
-                found = (self._entry(low, kind, ends),)
+                found = (self._entry(low, kind, flags | _OPENING * (low in OPENING_WORDS)),)
             self.number[raw] = found
         return found
 
@@ -106,15 +124,28 @@ class Words:
             return self.entries(piece)
         found = self.number.get(piece)
         if found is None:
-            found = self.number[piece] = (self._entry(piece, LITERAL, False),)
+            found = self.number[piece] = (self._entry(piece, LITERAL, 0),)
         return found
 
 
 _WORDS = Words()
 
 
-def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, kind, hash) of the template words of several texts, one after the other.
+def _collapsed(text: np.ndarray, kind: np.ndarray, value: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of names, or of a number and number words after it, as one placeholder each."""
+    joins = np.zeros(len(kind), bool)
+    joins[1:] = (text[1:] == text[:-1]) & (kind[1:] == kind[:-1]) & (flags[:-1] & _BREAKS == 0)
+    joins &= (kind == NAME) | (kind == NUMBER) & (flags & _NUMBER_WORD > 0)
+    later, start = np.flatnonzero(joins), np.flatnonzero(~joins)
+    if not len(later):
+        return text, kind, value
+    value = value.copy()
+    value[later] *= np.power(_FACTOR, (later - start[np.searchsorted(start, later) - 1]).astype(np.uint64))
+    return text[start], kind[start], np.add.reduceat(value, start)
+
+
+def templates(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each reading (text, kind, hash) of the words of several texts, one after the other.
 
     For placeholders the hash is that of the value.
     """
@@ -127,15 +158,17 @@ def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         rows.append(found)
         counts.append(len(found))
     at = np.fromiter(chain.from_iterable(rows), np.int64, sum(counts))
-    kind, ends = np.array(w.kind, np.int8)[at], np.array(w.ends, bool)[at]
+    kind, flags = np.array(w.kind, np.int8)[at], np.array(w.flags, np.int8)[at]
     value = np.array(w.hash, np.uint64)[at]
     text = np.repeat(np.arange(len(texts)), counts)
     first = np.ones(len(at), bool)  # of a sentence
-    first[1:] = (text[1:] != text[:-1]) | ends[:-1]
+    first[1:] = (text[1:] != text[:-1]) | (flags[:-1] & _ENDS > 0)
     after = np.zeros(len(at), bool)  # a number
     after[1:] = (text[1:] == text[:-1]) & (kind[:-1] == NUMBER)
-    kind = np.where((kind == NAME) & first | (kind == UNIT) & ~after, LITERAL, kind)
-    return text, kind, value
+    opening = (kind == NAME) & first
+    kind = np.where(opening | (kind == UNIT) & ~after, LITERAL, kind).astype(np.int8)
+    named = np.where(opening & (flags & _OPENING == 0), NAME, kind).astype(np.int8)
+    return [_collapsed(text, kind, value, flags), _collapsed(text, named, value, flags), (text, np.zeros_like(kind), value)]
 
 
 def _hashes(word: np.ndarray, width: int) -> np.ndarray:
@@ -207,10 +240,11 @@ def _window_rows(kinds: tuple[tuple[int, int], ...], bitmap: np.ndarray | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
-            text, kind, value = templates(texts)
-            start = np.searchsorted(text, np.arange(len(texts) + 1))
-            size, ids = np.diff(start), np.array(ids, np.int64)
+            read, ids = templates(texts), np.array(ids, np.int64)
+            starts = [np.searchsorted(text, np.arange(len(texts) + 1)) for text, _, _ in read]
             for reading, width in kinds:
+                (text, kind, value), start = read[reading], starts[reading]
+                size = np.diff(start)
                 at, h = window_hashes(text, kind, value, width, reading)
                 if bitmap is None:
                     own = np.minimum(size[text[at]], WINDOW) == width
@@ -253,13 +287,36 @@ def _bitmap(windows: DataFrame, n: int) -> np.ndarray:
     return whole
 
 
+def _chains(hits: list[tuple[int, int, list[int], list[int]]]) -> list[dict[int, tuple[list[int], list[int]]]]:
+    """Hits in rising order in both texts; from one to the next a document goes at most WINDOW words further than twice the item's way."""
+    out: list[dict] = []
+    by_shift: dict[int, int] = {}
+    last: list[tuple[int, int]] = []  # (pos, item_pos) of each chain
+    newest: dict[int, int] = {}  # last item_pos -> the newest chain that stands there
+    for pos, item_pos, slots, item_slots in sorted(hits, key=lambda x: x[:2]):
+        c = by_shift.get(pos - item_pos)
+        if c is None or last[c][0] >= pos or last[c][1] >= item_pos:
+            near = [
+                (abs(pos - item_pos - last[x][0] + i), -i, x) for i, x in newest.items()
+                if i < item_pos and last[x][1] == i and 0 < pos - last[x][0] <= 2 * (item_pos - i) + WINDOW
+            ]
+            c = min(near)[2] if near else len(out)
+            if not near:
+                out.append({})
+                last.append((pos, item_pos))
+        out[c][item_pos] = (slots, item_slots)
+        last[c] = (pos, item_pos)
+        by_shift[pos - item_pos] = newest[item_pos] = c
+    return out
+
+
 def _best_alignment(hits: list[tuple[int, int, list[int], list[int]]]) -> tuple[int, bool]:
     """Most windows that one alignment matches consistently, and whether all its values are the item's own."""
     by_shift: dict[int, dict[int, tuple[list[int], list[int]]]] = defaultdict(dict)
     for pos, item_pos, slots, item_slots in hits:
         by_shift[pos - item_pos].setdefault(item_pos, (slots, item_slots))
     best = (0, False)
-    for windows in by_shift.values():
+    for windows in chain(by_shift.values(), _chains(hits) if len(by_shift) > 1 else ()):
         votes: dict[int, Counter] = defaultdict(Counter)
         for slots, item_slots in windows.values():
             for mine, theirs in zip(slots, item_slots):
@@ -297,7 +354,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3, id
 
     A row for each pair in which one alignment matches ``min_share`` of the item's windows
     or more with consistent placeholders; ``verbatim`` if all values are the item's own.
-    The windows are those of the templates or of the words as they stand, whichever gives the larger share.
+    The windows are those of one reading, of the templates or of the words as they stand: the one with the largest share.
     Whole texts are searched, every item and document takes part.
 
     Null or empty texts, and those of signs alone, hold nothing; an item shorter than a
@@ -306,7 +363,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.3, id
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = items.where("id is not null and text is not null").distinct()
-    every = tuple((r, w) for r in (TEMPLATE, PLAIN) for w in range(LITERALS if r == TEMPLATE else 1, WINDOW + 1))
+    every = tuple((r, w) for r in (TEMPLATE, NAMED, PLAIN) for w in range(1 if r == PLAIN else LITERALS, WINDOW + 1))
     windows = materialize(items.mapInArrow(_window_rows(every), _ROW), "item_windows")
     kinds = sorted((r["reading"], r["width"], r["n"]) for r in windows.groupBy("reading", "width").agg(F.count("*").alias("n")).collect())  # as many as in every
     used = sum(n for *_, n in kinds)

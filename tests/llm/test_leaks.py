@@ -36,3 +36,19 @@ def test_items_of_few_words_or_few_literals(spark):
     other = [(90, "Who wrote Faust in 1808?"), (91, "\u5c0f\u7ea2\u67097\u672c\u4e66\u3002"), (92, "Compute 12 * 7 + 3 - 4 / 5")]
     got = {(r.doc_id, r.item_id, r.share, r.verbatim) for r in find_leaks(spark.createDataFrame(docs + other, "doc_id long, text string"), items).collect()}
     assert got == {(i, i, 1.0, True) for i in range(len(texts))}
+
+
+def test_opening_names_runs_and_shifts(spark):
+    names = "Yesterday Alice met Boris near Kiev and Carla saw Dmitri with Elena in Rome while Frank took Greta from Oslo to Milan"
+    slots = "We drove from Paris with 30 bags and then flew from Berlin with 40 boxes before we sailed from Lisbon with 50 crates to our home"
+    parts = ["a small brown dog ran past the old mill", "where grey geese slept near some tall green reeds", "until rain fell upon every roof of that quiet town"]
+    items = [(1, "Sarah bought 3 apples and sold 2 pears"), (2, slots), (3, names), (4, " ".join(parts))]
+    moved = slots.replace("Paris", "New York").replace("30", "twenty five").replace("Berlin", "Los Angeles").replace("40", "one hundred").replace("Lisbon", "Santa Cruz")
+    docs = [
+        (1, "Note. Tom bought 5 apples and sold 4 pears"), (2, moved), (3, names.lower()), (4, f"{parts[0]} again {parts[1]} and so on {parts[2]}"),
+        (5, "Tom bought 5 apples and sold 5 pears"), (6, " ".join([parts[2], "x", parts[1], "x", parts[0]])),
+    ]
+    frames = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): (r.share, r.verbatim) for r in find_leaks(*frames).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)}, got
+    assert got[1, 1] == (1.0, False) and got[2, 2] == (1.0, False) and got[3, 3] == (1.0, True)
