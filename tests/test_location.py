@@ -68,6 +68,12 @@ def test_p_center_bounds(town):
     assert got.objective <= 2 * best
 
 
+def test_p_center_searches_to_the_end(spark):
+    d, s = frame(spark, [(0, 0, 1), (10, 0, 1)], [(10 - i / 10, 0) for i in range(51)])
+    got = pcenter.p_center(d, s, 1, metric=geo.Planar).first()
+    assert got.objective == 5.0 and got.site_ids == "50"
+
+
 def test_p_center_conditional_keeps_existing(town):
     d, s = town
     have = s.where("site_id = 4")
