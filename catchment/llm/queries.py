@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import new_path
+from ..session import materialize, new_path
 from .bpe import digests, encode_documents
+from .centroids import cluster_vectors, inertia_and_digests
+from .chat_format import conversation_digests, format_conversations
 from .decontaminate import find_leaks
 from .embedding_dup import near_embeddings
+from .importance import resample
 from .language_id import identify_languages, learn_languages
 from .line_dedup import LOWER, UPPER, drop_repeated_lines
 from .near_dup import near_duplicates
@@ -170,3 +173,75 @@ links as (select a as vec_id, count(*) as n from pairs group by a)
 select r.vec_id, coalesce(any_value(l.n), 0) as n_links, min(r.c) as component_id, min(r.c) = r.vec_id as kept
 from reach r left join links l using (vec_id) group by r.vec_id
 """
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of Lloyd's algorithm over all embeddings, in whole numbers."""
+    return inertia_and_digests(cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64.0, seed=1))
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    step = """,
+a{r} as (select vec_id, cluster, d from (select x.vec_id, k.cluster, sum((x.v - k.v) * (x.v - k.v)) as d
+  from x join c{r} k using (j) group by x.vec_id, k.cluster) qualify row_number() over (partition by vec_id order by d, cluster) = 1)"""
+    move = """,
+s{r} as (select a.cluster, x.j, sum(x.v) as s, count(*) as n from a{r} a join x using (vec_id) group by a.cluster, x.j),
+c{q} as (select c{r}.cluster, c{r}.j, coalesce((s - ((s % n) + n) % n) // n, c{r}.v) as v from c{r} left join s{r} using (cluster, j))"""
+    rounds_sql = "".join(step.format(r=r) + move.format(r=r, q=r + 1) for r in range(rounds)) + step.format(r=rounds)
+    return f"""
+with good as (select vec_id, cast(embedding as double[]) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda t: t is null or not isfinite(t))) = 0),
+x as (select vec_id, unnest(generate_series(1, 64)) as j, unnest(list_transform(e, lambda t: cast(floor(64 * t) as bigint))) as v from good),
+c0 as (select f.cluster, x.j, x.v from x join (select vec_id, row_number() over (order by sha256('1:' || vec_id)) - 1 as cluster
+  from good qualify cluster < {k}) f using (vec_id)){rounds_sql},
+per as (select cluster, sum(d) as i from a{rounds} group by cluster),
+texts as (select cluster, sha256(string_agg(cast(v as bigint)::varchar, ',' order by j)) as h from c{rounds} group by cluster)
+select vec_id, cast(a.cluster as int) as cluster, cast(d as bigint) as distance, cast(i as bigint) as cluster_inertia,
+  cast((select sum(i) from per) as bigint) as inertia, h as centroid_sha256
+from a{rounds} a join per using (cluster) join texts using (cluster)
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _lloyd_sql(16, 3)
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's words and word pairs."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, width=2, buckets=10_000, seed=7)
+
+
+#: crc32 byte by byte over a table of 256 entries; every distinct feature once.
+ORACLES["op12_importance_resampling"] = f"""
+with recursive t(i, k, v) as (select i, 0, i from range(256) r(i) union all
+  select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from t where k < 8),
+crc as (select list(v order by i) as tab from t where k = 8),
+w as (select side, id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from (select 'd' as side, doc_id as id, text from documents union all select 'b', item_id, text from benchmark)),
+runs as (select side, id, unnest(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]))) as f from w),
+held as (select side, id, f, count(*) as n from runs group by side, id, f),
+bytes as (select f, hex(encode(f)) as h from (select distinct f from held)),
+bucketed as (select f, xor(list_reduce(list_transform(generate_series(1, len(h), 2), lambda i: cast('0x' || substr(h, i, 2) as bigint)),
+  lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket from bytes, crc),
+counts as (select bucket, coalesce(sum(n) filter (side = 'd'), 0) as s, coalesce(sum(n) filter (side = 'b'), 0) as t
+  from held join bucketed using (f) group by bucket),
+gains as (select bucket, cast(floor(1000 * ln(((t + 1)::double * ((select sum(s) from counts) + 10000)::double)
+  / ((s + 1)::double * ((select sum(t) from counts) + 10000)::double))) as bigint) as gain from counts),
+sums as (select id, sum(n) as n, sum(n * gain) as g from held join bucketed using (f) join gains using (bucket) where side = 'd' group by id),
+scored as (select w.id, len(ws) as words, coalesce(s.n, 0)::bigint as n, coalesce((g - ((g % s.n) + s.n) % s.n) // s.n, 0)::bigint as weight
+  from w left join sums s using (id) where side = 'd'),
+noisy as (select *, weight + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::bigint + 0.5::double) / 4294967296::double))) as bigint) as score from scored),
+drawn as (select id, row_number() over (order by score desc, id) as rank from noisy where words >= 20
+  qualify rank <= 25 * count(*) over () // 100)
+select id as doc_id, n as n_features, weight, score, rank from noisy left join drawn using (id)
+"""
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as budgeted windows, read back from them."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return conversation_digests(materialize(format_conversations(rows, _vocabulary("byte_bpe_50k.json")), "windows"))
