@@ -12,6 +12,7 @@ from .shingles import mix
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MARK = 2
+_MOST_BYTES = 48 << 20
 #: Of each byte: 1 space, line feed or mark; 2 ASCII letter or digit; 3 ASCII sign; 0 others.
 _KIND = np.array([1 if b in (32, 10, _MARK) else 2 if chr(b).isalnum() and b < 128 else 3 if 32 < b < 127 else 0 for b in range(256)], np.uint8)
 
@@ -59,11 +60,12 @@ def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class ByteTable:
-    """Ids of pieces by hash; ``make`` turns a list of pieces into (ids of all, how many of each).
+    """Ids of pieces by their bytes; ``make`` turns a list of pieces into (ids of all, how many of each).
 
-    Open addressing over a fixed number of slots; a slot also holds the piece's length and
-    first bytes, so two pieces are taken for one only if all of it agrees.  Emptied when it
-    holds ``most`` pieces.
+    Open addressing over a fixed number of slots by hash and first bytes.  The bytes of a
+    hit are compared with those of the piece that is held; a piece that only hashes like
+    another one gets a row of its own, which no slot names.  Emptied when it holds ``most``
+    pieces or ``_MOST_BYTES`` of them.
     """
 
     def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: np.dtype, most: int = 1_500_000):
@@ -78,6 +80,8 @@ class ByteTable:
         self.n = 0
         self.ids, self.used = np.zeros(1 << 16, self.kind), 0
         self.start, self.count = np.zeros(self.most + (1 << 20), np.int64), np.zeros(self.most + (1 << 20), np.int32)
+        self.place, self.size = np.zeros(self.most + (1 << 20), np.int64), np.zeros(self.most + (1 << 20), np.int64)
+        self.bytes, self.told = np.zeros(1 << 20, np.uint8), 0
 
     def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Row of each piece, -1 if it is not held."""
@@ -107,9 +111,41 @@ class ByteTable:
             slot[todo] = (slot[todo] + (self.row[slot[todo]] >= 0)) & (self.slots - 1)
         self.n += len(h)
 
+    def _hold(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Rows from ``self.n`` on for these pieces; the caller counts them or puts them into slots."""
+        data = raw.tobytes()
+        parts = [data[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        ids, counts = self.make([x.decode("utf-8", "surrogatepass") for x in parts])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.kind)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        rows = slice(self.n, self.n + len(start))
+        if rows.stop > len(self.start):
+            grow = rows.stop
+            self.start, self.place, self.size = (np.concatenate([x, np.zeros(grow, np.int64)]) for x in (self.start, self.place, self.size))
+            self.count = np.concatenate([self.count, np.zeros(grow, np.int32)])
+        self.start[rows], self.count[rows] = self.used + np.cumsum(counts) - counts, counts
+        self.used += len(ids)
+        flat, size = np.frombuffer(b"".join(parts), np.uint8), end - start
+        if self.told + len(flat) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), len(flat)), np.uint8)])
+        self.bytes[self.told : self.told + len(flat)] = flat
+        self.place[rows], self.size[rows] = self.told + np.cumsum(size) - size, size
+        self.told += len(flat)
+
+    def _others(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Which pieces are not, byte for byte, those that their rows hold."""
+        other = self.size[row] != size
+        rest = np.flatnonzero((size > 7) & ~other)  # of shorter ones hash and first bytes tell all
+        n = size[rest]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = raw[np.repeat(start[rest], n) + inside] != self.bytes[np.repeat(self.place[row[rest]], n) + inside]
+        other[rest[np.repeat(np.arange(len(rest)), n)[differ]]] = True
+        return np.flatnonzero(other)
+
     def gather(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces of a buffer, how many ids come before each text's mark, and at the end)."""
-        if self.n > self.most:
+        if self.n > self.most or self.told > _MOST_BYTES:
             self.forget()
         start, end = cut(raw)
         size = end - start
@@ -125,19 +161,14 @@ class ByteTable:
             pair["h"], pair["c"] = h[new], check[new]
             _, first = np.unique(pair, return_index=True)
             kinds = new[first]
-            data = raw.tobytes()
-            ids, counts = self.make([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[kinds].tolist(), end[kinds].tolist())])
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.kind)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            rows = slice(self.n, self.n + len(kinds))
-            if rows.stop > len(self.start):
-                grow = np.zeros(rows.stop, np.int64)
-                self.start, self.count = np.concatenate([self.start, grow]), np.concatenate([self.count, grow.astype(np.int32)])
-            self.start[rows], self.count[rows] = self.used + np.cumsum(counts) - counts, counts
-            self.used += len(ids)
+            self._hold(raw, start[kinds], end[kinds])
             self._insert(h[kinds], check[kinds])
             row[new] = self._find(h[new], check[new])
+        other = self._others(raw, start, size, row)
+        if len(other):
+            self._hold(raw, start[other], end[other])
+            row[other] = self.n + np.arange(len(other))
+            self.n += len(other)
         count = self.count[row].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(count)])
         flat = self.ids[np.repeat(self.start[row] - ends[:-1], count) + np.arange(ends[-1])]

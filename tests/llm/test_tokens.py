@@ -11,7 +11,7 @@ import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
 
-from catchment.llm import bpe, token_files
+from catchment.llm import bpe, bytewords, token_files
 from catchment.llm.pieces import keys_of, piece_of
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -102,3 +102,18 @@ def test_token_files_of_odd_rows(spark, tmp_path):
     got = sorted((r.doc_id or 0, r.start, r.n_tokens) for r in token_files.stored(token_files.write_token_files(rows, str(tmp_path / "t"), JSON)).collect())
     assert got == [(0, 0, 2), (1, 2, 2), (1, 4, 2)]
     assert token_files.stored(token_files.write_token_files(rows.where("false"), str(tmp_path / "u"), JSON)).count() == 0
+
+
+def test_words_with_equal_hashes_keep_their_own_ids():
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    pair = ["abcdefgh" + morse, "abcdefgh" + morse.translate(str.maketrans("ab", "ba"))]
+    raw = [np.frombuffer(("\x02" + t).encode(), np.uint8) for t in pair]
+    hashed = [bytewords.hashes(r, np.array([0]), np.array([len(r)]))[0] for r in raw]
+    assert hashed[0] == hashed[1]  # the hash alone cannot tell them apart
+    library = Tokenizer.from_file(JSON)
+    encoder = token_files.Encoder(open(JSON, encoding="utf-8").read())
+    for texts in (pair, pair[::-1], [f"x {pair[0]} y {pair[1]}", pair[1], pair[0] + "c"]):
+        got = [np.asarray(x).tolist() for x in encoder.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
