@@ -29,8 +29,8 @@ SWITCH = 12.0
 #: A word tells no two languages apart by more than this.
 CLIP = 6.0
 # First code points of script blocks, and what they hold.
-_STARTS = np.array([0, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2C00, 0x3040, 0x30A0, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900])
-_NAMES = ("latin", "other", "greek", "cyrillic", "other", "hebrew", "arabic", "other", "indic", "thai", "georgian", "hangul", "latin", "greek", "other", "hiragana", "katakana", "han", "other", "hangul", "other", "han")
+_STARTS = np.array([0, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2C00, 0x3040, 0x30A0, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0x10000, 0x20000])
+_NAMES = ("latin", "other", "greek", "cyrillic", "other", "hebrew", "arabic", "other", "indic", "thai", "georgian", "hangul", "latin", "greek", "other", "hiragana", "katakana", "han", "other", "hangul", "other", "han", "other", "han")
 SCRIPTS = tuple(sorted(set(_NAMES)))
 _BLOCK_SCRIPT = np.array([SCRIPTS.index(n) for n in _NAMES])
 _CHUNK_CHARS = 2_000_000
@@ -39,7 +39,7 @@ _WORDS_KEPT = 300_000
 
 @lru_cache(maxsize=1)
 def _letter_table() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0xD800)] + [False] * 0x800 + [chr(c).isalpha() for c in range(0xE000, 0x10000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,8 +51,7 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     text = " " + " ".join(words).lower() + " "
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.cumsum(code == 32) - 1
-    small = np.minimum(code, 0xFFFF).astype(np.int64)
-    is_letter = _letter_table()[small]
+    is_letter = _letter_table()[code.astype(np.int64)]
     letters = np.bincount(word[is_letter], minlength=len(words))[: len(words)]
     where = np.flatnonzero(is_letter)
     firsts = where[np.unique(word[where], return_index=True)[1]]
@@ -244,12 +243,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def learn_languages(labelled: DataFrame, most_grams: int = 60_000, min_count: int = 3) -> Model:
-    """Model from (text, lang) rows, a bounded sample; the ``most_grams`` commonest n-grams come to the driver."""
+def learn_languages(labelled: DataFrame, min_count: int = 3) -> Model:
+    """Model from (text, lang) rows, a bounded sample; its n-grams of ``min_count`` or more come to the driver.
+
+    Rows without text or language tell nothing; no rows: a model without languages.
+    """
     sample = labelled.where("text is not null and lang is not null").select("text", "lang")
     counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     by_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    rows = by_gram.where(f"gram < 0 or n >= {min_count}").orderBy(F.col("gram") >= 0, F.desc("n"), "gram").limit(most_grams + len(SCRIPTS)).collect()
+    rows = by_gram.where(f"gram < 0 or n >= {min_count}").orderBy("gram").collect()
     scripts = {-1 - r["gram"]: r["by"] for r in rows if r["gram"] < 0}
     rows = [r for r in rows if r["gram"] >= 0]
     languages = tuple(sorted({x for by in scripts.values() for x in by}))

@@ -161,3 +161,26 @@ def test_urls_learn_from_labels(spark):
     model = U.learn_urls(spark.createDataFrame(rows, "url string, label int"))
     a, b = model.score(["http://other.example.org/en/5", "http://win-9-cash-777.example.org/a/b/c/7?x=2&y=1&z=9"])
     assert a > 0.8 and b < 0.2
+
+
+def test_letters_of_all_planes(spark):
+    model = L.learn_languages(spark.createDataFrame([("the one word", "en"), ("der eine und", "de")], "text string, lang string"), min_count=1)
+    texts = ["\U00010414\U0001042f\U0001043b", "\U0001e922\U0001e923", "\U00020000\U00020001 \U0002a6d0", "😀 🂡"]
+    lang, share = L.predict_texts(texts, model)
+    assert all(x in ("en", "de") for x in lang[:3]) and min(share[:3]) > 0 and (lang[3], share[3]) == (L.UNKNOWN, 0.0)
+
+
+def test_automaton_finds_what_a_plain_search_finds():
+    import random
+
+    r = random.Random(8)
+    lex = T.Lexicon(tuple((w, float(i + 1)) for i, w in enumerate(("ab", "abc", "ba", "cab", "bb"))), ("ab ba", "cab b"))
+    for _ in range(400):
+        text = "".join(r.choices("aAbc 4ß.", k=r.randint(0, 25)))
+        t = T.fold(text)
+        starts = [i for i in range(len(t)) if not (i and t[i - 1].isalpha())]
+        safe = [(i, i + len(p)) for p in lex.exceptions for i in starts if t.startswith(p, i) and not t[i + len(p) : i + len(p) + 1].isalpha()]
+        want = sorted(
+            (i, i + len(e), w) for e, w in lex.weights for i in starts if t.startswith(e, i) and not any(a <= i and i + len(e) <= z for a, z in safe)
+        )
+        assert sorted(T.matches(text, lex)) == want
