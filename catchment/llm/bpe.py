@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .memory import tidy
 from .pieces import PieceTable, encode_texts, piece_of
 
 _FOREVER = 1 << 60
@@ -299,14 +300,20 @@ class Codec:
         self.table.forget()
 
 
-def decode_stream(token: Joined, chunks: Iterable[list[int]]) -> Iterator[str]:
+def decode_stream(token: Joined, chunks: Iterable[list[int]], errors: str = "replace") -> Iterator[str]:
     """Text of each chunk of ids as far as its characters are complete; the rest comes with a later one."""
-    state = codecs.getincrementaldecoder("utf-8")("replace")
+    state = codecs.getincrementaldecoder("utf-8")(errors)
     for ids in chunks:
-        yield state.decode(token.of(np.array(ids, np.int64)))
+        yield state.decode(token.of(np.asarray(ids, np.int64)))
     yield state.decode(b"", True)
 
 
+def decoded_bytes(token: Joined, ids: np.ndarray, chunk: int = 4096) -> Iterator[bytes]:
+    """The bytes of ``ids`` in runs of whole characters; bytes that are no UTF-8 come through as they are."""
+    for text in decode_stream(token, (ids[i : i + chunk] for i in range(0, len(ids), chunk)), "surrogateescape"):
+        yield text.encode("utf-8", "surrogateescape")
+
+
 @lru_cache(maxsize=2)
 def _codec(content: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(content), pattern)
@@ -321,6 +328,11 @@ def _tokens(content: bytes) -> Joined:
     return Joined(parts)
 
 
+def _drop_tables() -> None:
+    _codec.cache_clear()
+    _tokens.cache_clear()
+
+
 def read_vocabulary(path: str) -> bytes:
     """The vocabulary file (a megabyte or so), read where the job is written and shipped with it."""
     with open(path, "rb") as f:
@@ -332,26 +344,34 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else [], kind))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """``docs`` with the ids of each whole text as an array in ``ids_col``.
 
     ``vocabulary``: path of a file of base64 tokens and ranks; ``pattern``: how a text
     is cut into words, each encoded by itself.  No special tokens.  Null or empty text:
     no ids.  Repeated rows: each encoded.  An old column ``ids_col`` is replaced; other
-    columns stay as they are.
+    columns stay as they are.  With ``check_col`` the ids are decoded again, and the column
+    says whether that gave the text.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    docs = docs.drop(ids_col)
+    docs = docs.drop(ids_col, *([check_col] if check_col else []))
     at = docs.columns.index(text_col)
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(check_col, T.BooleanType())] if check_col else [])
 
+    @tidy("bpe", _drop_tables)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped.value, pattern)
+        token = _tokens(shipped.value) if check_col else None
         for b in batches:
-            ids = _lists(list(codec.encode(b.column(at).to_pylist())), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
+            texts = b.column(at).to_pylist()
+            ids = list(codec.encode(texts))
+            same = [b"".join(decoded_bytes(token, i)) == (t or "").encode() for i, t in zip(ids, texts)] if check_col else []
+            del texts
+            out = [*b.columns, _lists(ids, pa.int32()), *([pa.array(same, pa.bool_())] if check_col else [])]
+            yield pa.RecordBatch.from_arrays(out, [*b.schema.names, *(f.name for f in added)])
         codec.forget()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode_documents(rows: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "text", chunk: int = 4096) -> DataFrame:
@@ -377,12 +397,13 @@ def decode_documents(rows: DataFrame, vocabulary: str, ids_col: str = "ids", tex
 
 
 def digests(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows; the bytes come from the ids alone."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows; the bytes come from the ids alone, through the streaming decoder."""
     import hashlib
 
     shipped = rows.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
+    @tidy("bpe", _drop_tables)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(shipped.value)
         number = Joined([b"%d " % i for i in range(len(token.size))])
@@ -392,7 +413,10 @@ def digests(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: s
                 ids = ids.values.to_numpy() if ids.is_valid else np.empty(0, np.int32)
                 n.append(len(ids))
                 a.append(sha(number.of(ids)[:-1]))
-                d.append(sha(token.of(ids)))
+                back = hashlib.sha256()
+                for part in decoded_bytes(token, ids):
+                    back.update(part)
+                d.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, release
 from .graph import components
+from .memory import tidy
 from .shingles import forget, shingle_set
 
 K = 64
@@ -32,6 +33,8 @@ MATCHES = 36
 #: Postings up to this size are compared pair by pair, larger ones by blocks.
 SMALL = 48
 BLOCK = 512
+#: Pairs of a set that share one copy of it when they are confirmed.
+SHARED = 1024
 _COLUMNS = 2048
 
 
@@ -49,6 +52,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _sign(width: int):
+    @tidy("near_dup", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ns, hs, sg = [], [], []
@@ -67,6 +71,7 @@ def _sign(width: int):
 
 
 def _sets(width: int):
+    @tidy("near_dup", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in b.column(1)]
@@ -76,6 +81,7 @@ def _sets(width: int):
     return run
 
 
+@tidy("near_dup")
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coord = np.arange(K, dtype=np.int64) << np.int64(32)
     for b in batches:
@@ -86,6 +92,7 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc)], ["key", "doc"])
 
 
+@tidy("near_dup")
 def _enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -94,14 +101,24 @@ def _enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _confirm(percent: int):
+    """Rows (a, part, b, set) in order, where the row without b holds the set of a -> links (a, b)."""
+
+    @tidy("near_dup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("xa"), b.column("xb")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        at, own = None, np.empty(0, np.uint64)
+        for batch in batches:
+            us, vs = [], []
+            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                other = np.frombuffer(raw.as_buffer(), np.uint64)
+                if b is None:
+                    at, own = a, other.copy()
+                    continue
+                assert a == at
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    us.append(a)
+                    vs.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["a", "b"])
 
     return run
 
@@ -155,9 +172,18 @@ def _links(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int) ->
     # sets whose sizes differ by more cannot be that similar
     pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(_enough_matches, "a long, b long")
-    for c in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc").alias(c), F.col("set").alias(f"x{c}")), c)
-    return pairs.select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long").distinct()
+    # the set of a goes once to every ``SHARED`` of its pairs, not to each of them
+    pairs = materialize(pairs, "matched")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("parts"))
+    sets = sets.select("doc", "set")
+    many = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    many = many.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "set")
+    once = parts.join(sets.withColumnRenamed("doc", "a"), "a")
+    once = once.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    rows = many.unionByName(once).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    found = materialize(rows.mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
+    release(pairs)
+    return found
 
 
 def _with_component(df: DataFrame, comps: DataFrame) -> DataFrame:
@@ -209,7 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     member = cand.select("doc", F.explode("ks").alias("key"))
     least = member.groupBy("key").agg(F.min("doc").alias("a"))
     star = member.join(least, "key").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    links = materialize(_links(star, cand, sets, percent), "star_links")
+    links = _links(star, cand, sets, percent)
     comps = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # members of different components that meet in a posting

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import tidy
+
 # Letters that look like Latin ones, and signs used in their place.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
@@ -90,13 +92,13 @@ def matches(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, float]]:
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
-    """Strongest weight, log of the sum, and the sum for each hundred words (a word is a run between spaces)."""
+    """Strongest weight, log of the sum, and log of the sum for each hundred words (a word is a run between spaces)."""
     found = matches(text, lexicon)
     if not found:
         return 0.0, 0.0, 0.0
     total = sum(w for _, _, w in found)
     n = text.count(" ") + text.count("\n") + 1
-    return max(w for _, _, w in found), math.log1p(total), min(20.0, 100 * total / n)
+    return max(w for _, _, w in found), math.log1p(total), math.log1p(100 * total / n)
 
 
 def score_texts(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
@@ -105,6 +107,7 @@ def score_texts(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+@tidy("toxicity", _automaton.cache_clear)
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document counts of every stem, summed over the task's part of the sample."""
     bad, good, seen = Counter(), Counter(), set()
@@ -148,9 +151,10 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def learn_lexicon(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, min_docs: int = 6, min_precision: float = 0.9, most: int = 4000) -> Lexicon:
-    """Lexicon from (text, label) rows, a bounded sample; ``most`` candidate stems come to the driver.
+def learn_lexicon(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, min_docs: int = 6, min_precision: float = 0.9) -> Lexicon:
+    """Lexicon from (text, label) rows, a bounded sample; its candidate stems come to the driver.
 
+    Null texts tell nothing; copies of a text in a task count once.  No rows: an empty lexicon.
     A candidate stands in ``min_docs`` different toxic texts or more, and in toxic ones only,
     up to a share of 1 - ``min_precision``.
     """
@@ -161,7 +165,7 @@ def learn_lexicon(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS,
     sums = counts.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = max(n_bad, 1) / max(n_bad + n_good, 1)
     precise = sums.where((F.col("bad") >= min_docs) & (F.col("bad") >= max(min_precision, share) * (F.col("bad") + F.col("good"))))
-    rows = precise.orderBy(F.desc("bad"), "good", "stem").limit(most).collect()
+    rows = precise.orderBy("stem").collect()
     lexicon = Lexicon(_pick([tuple(r) for r in rows], n_bad, n_good), exceptions)
     scored = sample.mapInArrow(_feature_rows(lexicon), "a double, b double, c double, label int").collect()
     sample.unpersist()
@@ -185,6 +189,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     each.  Empty table: no rows.  Other columns are ignored.
     """
 
+    @tidy("toxicity", _automaton.cache_clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts(b.column(1).to_pylist(), lexicon))], ["doc_id", "score"])
@@ -197,6 +202,7 @@ def reject_toxic(docs: DataFrame, lexicon: Lexicon, score_from: float, text_col:
     """``docs`` without the rows that score ``score_from`` or more; all columns stay as they are."""
     at = docs.columns.index(text_col)
 
+    @tidy("toxicity", _automaton.cache_clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(score_texts(b.column(at).to_pylist(), lexicon) < score_from))

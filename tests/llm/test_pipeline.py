@@ -25,7 +25,9 @@ def test_pipeline_matches_plain_stages(spark):
     docs = [d for d in docs if d[0] not in leaks]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = {r.doc_id: r.ids for r in C.run(spark, SF).collect()}
+    done = C.run(spark, SF).collect()
+    assert all(r.intact and r.n_tokens == len(r.ids) for r in done)
+    got = {r.doc_id: r.ids for r in done}
     assert 0 < len(got) < source.count() and got == {i: own.encode_ordinary(t or "") for i, t in docs}
 
 
@@ -39,3 +41,12 @@ def test_stages_on_odd_rows(spark):
             assert kept.columns == docs.columns, name
         assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
         assert C.STAGES[-1][1](spark, kept, SF).count() == docs.count()
+
+
+def test_documents_left_with_blanks_go(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    line = "a line that stands in many documents"
+    rest = ["\t", "\n\n", " \x0b\f\r", "own", ""]
+    rows = [(i, f"{line}\n{r}", "en", "s", 0) for i, r in enumerate(rest)] + [(9, line, "en", "s", 0), (10, "\t", "en", "s", 1), (11, None, "en", "s", 0)]
+    kept = {r.doc_id: r.text for r in C.line_dedup(spark, spark.createDataFrame(rows, names), SF).collect()}
+    assert kept == {3: "own", 9: line, 10: "\t", 11: None}
