@@ -62,6 +62,30 @@ BOUNDARY = [
 ]
 RING = [(0.05, 0.05), (0.75, 0.05), (0.75, 0.55), (0.40, 0.30), (0.05, 0.55)]
 
+#: Levels of the road quadtree: cells of 1/64 of an AOI's side at the finest.
+ROAD_LEVELS = 6
+_BESIDE = ((1, 0), (-1, 0), (0, 1), (0, -1))
+
+
+def _side(z: str) -> str:
+    return f"cast(power(2, {z}) as bigint)"
+
+
+def _cell(v: str, origin: str, span: float) -> str:
+    return f"cast(greatest(0, least({_side('z')} - 1, floor(({v} - {origin}) / {span}e0 * {_side('z')}))) as bigint)"
+
+
+def _node(z: str, i: str, j: str) -> str:
+    return f"cast(cast({z} as bigint) * 1000000 + ({i}) * 1000 + ({j}) as bigint)"
+
+
+ROAD_NODE = [
+    "aoi_id", f"{_node('z', 'i', 'j')} as node_id", f"ox + (i + 0.5e0) / {_side('z')} * 0.8e0 as lon",
+    f"oy + (j + 0.5e0) / {_side('z')} * 0.6e0 as lat", "cast(z as int) as z", "i", "j",
+]
+#: Whole metres, so that sums along a path are exact: about the side of the finer cell.
+ROAD_LENGTH = "cast(floor(80000e0 / power(2, z)) + (src * 31 + dst * 17) % 997 as double)"
+
 _SOURCES = {
     "demand": (DEMAND, "customer join nation on c_nationkey = n_nationkey"),
     "candidates": (CANDIDATES, "supplier join nation on s_nationkey = n_nationkey"),
@@ -129,31 +153,21 @@ class Views:
         )
 
     def road_nodes(self) -> DataFrame:
-        """A lattice of junctions spread over every AOI (12 x 12 each)."""
-        g = F.explode(F.sequence(F.lit(0), F.lit(143)))
-        n = self.boundaries().select("aoi_id", "ox", "oy", g.alias("n"))
-        return n.select(
-            "aoi_id",
-            F.col("n").cast("bigint").alias("node_id"),
-            (F.col("ox") + F.floor(F.col("n") / 12) * 0.07).alias("lon"),
-            (F.col("oy") + (F.col("n") % 12) * 0.05).alias("lat"),
-        )
+        """Junctions: the cells of a quadtree over every AOI that hold a demand point, at all levels."""
+        at = self.demand().select("aoi_id", "lon", "lat").join(self.boundaries().select("aoi_id", "ox", "oy"), "aoi_id")
+        at = at.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(ROAD_LEVELS))))
+        return at.selectExpr("aoi_id", "ox", "oy", "z", f"{_cell('lon', 'ox', 0.8)} as i", f"{_cell('lat', 'oy', 0.6)} as j").distinct().selectExpr(*ROAD_NODE)
 
     def road_edges(self) -> DataFrame:
-        """Four-neighbour roads; some one-way, some missing."""
-        step = F.array(
-            *[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]
-        )
-        n = self.road_nodes().select("aoi_id", F.col("node_id").alias("src"), F.explode(step).alias("s"))
-        n = n.withColumn("i", F.floor(F.col("src") / 12) + F.col("s.di")).withColumn(
-            "j", F.col("src") % 12 + F.col("s.dj")
-        )
-        n = n.where("i between 0 and 11 and j between 0 and 11").withColumn(
-            "dst", F.col("i") * 12 + F.col("j")
-        )
-        n = n.where((F.col("src") * 7 + F.col("dst") * 3) % 11 != 0)
-        length = 5000 + (F.col("src") * 31 + F.col("dst") * 17) % 1000
-        return n.select("aoi_id", "src", "dst", length.cast("double").alias("length_m"))
+        """Roads to the cells beside, some one-way or missing, and to the cell above."""
+        n = self.road_nodes().withColumnRenamed("node_id", "src")
+        beside = n.selectExpr("*", "explode(array(" + ", ".join(f"struct({a} as di, {b} as dj)" for a, b in _BESIDE) + ")) as s")
+        beside = beside.selectExpr("aoi_id", "src", "z", f"{_node('z', 'i + s.di', 'j + s.dj')} as dst", f"i + s.di between 0 and {_side('z')} - 1 and j + s.dj between 0 and {_side('z')} - 1 as inside")
+        beside = beside.where("inside and (src * 7 + dst * 3) % 11 <> 0").join(n.selectExpr("aoi_id", "src as dst"), ["aoi_id", "dst"])
+        up = n.where("z > 0").selectExpr("aoi_id", "z", "src as low", f"{_node('z - 1', 'floor(i / 2)', 'floor(j / 2)')} as high")
+        up = up.selectExpr("aoi_id", "z", "explode(array(struct(low as src, high as dst), struct(high as src, low as dst))) as e")
+        both = beside.select("aoi_id", "z", "src", "dst").unionByName(up.select("aoi_id", "z", "e.src", "e.dst"))
+        return both.selectExpr("aoi_id", "src", "dst", f"{ROAD_LENGTH} as length_m")
 
 
 _EXTRA_SQL = {
@@ -164,18 +178,21 @@ _EXTRA_SQL = {
         + ") t(column0, column1, column2, column3, column4)"
     ),
     "road_nodes": (
-        "select aoi_id, n as node_id, ox + floor(n/12)*0.07e0 as lon, oy + (n%12)*0.05e0 as lat"
-        " from boundaries, (select unnest(range(144)) as n)"
+        f"select {', '.join(ROAD_NODE)} from (select distinct aoi_id, ox, oy, z, {_cell('lon', 'ox', 0.8)} as i, {_cell('lat', 'oy', 0.6)} as j"
+        f" from demand join boundaries using (aoi_id), (select unnest(range({ROAD_LEVELS} + 1)) as z))"
     ),
     "road_edges": (
-        "select aoi_id, src, dst, cast(5000+(31*src+17*dst)%1000 as double) as length_m from ("
-        "select aoi_id, n as src, (n//12+di)*12 + n%12+dj as dst, n//12+di as i, n%12+dj as j"
-        " from boundaries, (select unnest(range(144)) as n), (values (1,0),(-1,0),(0,1),(0,-1)) t(di,dj))"
-        " where i between 0 and 11 and j between 0 and 11 and (7*src+3*dst)%11 <> 0"
+        f"select aoi_id, src, dst, {ROAD_LENGTH} as length_m from ("
+        f"select b.aoi_id, b.z, b.src, b.dst from (select aoi_id, z, node_id as src, {_node('z', 'i + di', 'j + dj')} as dst from road_nodes, (values "
+        + ", ".join(f"({a}, {b})" for a, b in _BESIDE)
+        + f") t(di, dj) where i + di between 0 and {_side('z')} - 1 and j + dj between 0 and {_side('z')} - 1) b"
+        " join road_nodes n on n.aoi_id = b.aoi_id and n.node_id = b.dst where (b.src * 7 + b.dst * 3) % 11 <> 0"
+        f" union all select aoi_id, z, node_id, {_node('z - 1', 'floor(i / 2)', 'floor(j / 2)')} from road_nodes where z > 0"
+        f" union all select aoi_id, z, {_node('z - 1', 'floor(i / 2)', 'floor(j / 2)')}, node_id from road_nodes where z > 0)"
     ),
 }
-_NEEDS["road_nodes"] = ["boundaries"]
-_NEEDS["road_edges"] = ["boundaries"]
+_NEEDS["road_nodes"] = ["demand", "boundaries"]
+_NEEDS["road_edges"] = ["road_nodes"]
 
 
 def oracle(body: str, *views: str, recursive: bool = False) -> str:

@@ -1,16 +1,15 @@
 """Queries over the nearest-site relation."""
 
 from ..plans import audit
-from .registry import NEAREST_SQL, query
+from .joins import ROAD_PATHS, SNAP
+from .registry import NEAREST_SQL, hav, query
 
 RADIUS_M = 10000.0
 
 NEAR = "with nr as (" + NEAREST_SQL + ")"
 
 
-@query(
-    "analyze_facilities",
-    NEAR + """,
+AUDIT_SQL = """,
 tot as (select aoi_id, sum(weight) tw, sum(weight*dist_m) twd, count(*) n from nr group by 1),
 cum as (select nr.*, sum(weight) over (partition by aoi_id order by dist_m desc, demand_id) cw,
    sum(weight*dist_m) over (partition by aoi_id order by dist_m, demand_id) cwd,
@@ -33,8 +32,26 @@ select aoi_id, coalesce(n_demand, dn) as n_demand, coalesce(nf, 0) as n_faciliti
   max_distance_m, p90_distance_m, case when mx is not null then round(greatest(0e0,least(1e0,g)),6) end as gini, round(coalesce(bd, mx),3) as bottom_decile_m,
   round(coalesce(nf,0)/a,9) as facilities_per_km2, round(coalesce(nf,0)/coalesce(tw,dw)*1000e0,9) as facilities_per_1000, worst_points
 from dm left join base using (aoi_id) left join tot using (aoi_id) left join g using (aoi_id) left join dec using (aoi_id) left join worst using (aoi_id) left join ns using (aoi_id) left join area using (aoi_id)
-""",
-    ("demand", "candidates", "boundary_edges"),
-)
+"""
+
+
+@query("analyze_facilities", NEAR + AUDIT_SQL, ("demand", "candidates", "boundary_edges"))
 def analyze_facilities(v):
     return audit.analyze_facilities(v.demand(), v.candidates(), RADIUS_M, v.boundary_edges())
+
+
+#: Nearest candidate by road within 50 km; else by straight line.
+NEAR_ROAD = f"""with sn as ({SNAP.format(id="site_id", t="candidates", o="s_node", h=hav("p", "n"))}),
+dn as ({SNAP.format(id="demand_id", t="demand", o="d_node", h=hav("p", "n"))}), {ROAD_PATHS},
+reached as (select dn.aoi_id, dn.demand_id, min(p.dist) as dist_m, arg_min(s.site_id, (p.dist, s.site_id)) as site_id from dn
+  join path p on p.aoi_id=dn.aoi_id and p.node=dn.d_node join sn s on s.aoi_id=p.aoi_id and s.s_node=p.source where p.dist <= 50000 group by 1, 2),
+lines as ({NEAREST_SQL}),
+nr as (select l.aoi_id, l.demand_id, l.lon, l.lat, l.weight, coalesce(r.dist_m, l.dist_m) as dist_m, coalesce(r.site_id, l.site_id) as site_id,
+  r.dist_m is null as off from lines l left join reached r using (aoi_id, demand_id))"""
+
+
+@query("analyze_facilities_network", NEAR_ROAD + ", audit as (" + AUDIT_SQL.strip().replace("tot as", "with tot as", 1).lstrip(",\n") + """)
+select audit.*, (select count(*) from nr where nr.aoi_id = audit.aoi_id and off) as n_off_road from audit""",
+       ("demand", "candidates", "boundary_edges", "road_nodes", "road_edges"), recursive=True)
+def analyze_facilities_network(v):
+    return audit.analyze_facilities_network(v.demand(), v.candidates(), RADIUS_M, v.road_nodes(), v.road_edges(), v.boundary_edges())

@@ -68,17 +68,17 @@ def od_manhattan_geo(v):
     return _city_block(flat(d), flat(c), digits=2)
 
 
-_ROAD = """path(aoi_id, source, node, dist) using key (aoi_id, source, node) as (
+ROAD_PATHS = """path(aoi_id, source, node, dist) using key (aoi_id, source, node) as (
  select distinct aoi_id, s_node, s_node, 0e0 from sn
  union
  select p.aoi_id, p.source, e.dst, min(p.dist+e.length_m) from path p join road_edges e on e.aoi_id=p.aoi_id and e.src=p.node
   left join recurring.path r on r.aoi_id=p.aoi_id and r.source=p.source and r.node=e.dst
   where r.dist is null or p.dist+e.length_m < r.dist group by 1, 2, 3)"""
-_SNAP = "select p.aoi_id, p.{id}, p.lon, p.lat, arg_min(n.node_id, ({h}, n.node_id)) as {o} from {t} p join road_nodes n using (aoi_id) group by all"
+SNAP = "select p.aoi_id, p.{id}, p.lon, p.lat, arg_min(n.node_id, ({h}, n.node_id)) as {o} from {t} p join road_nodes n using (aoi_id) group by all"
 
 
-@query("od_network", "with sn as (" + _SNAP.format(id="site_id", t="candidates", o="s_node", h=hav("p", "n")) + "), dn as ("
-       + _SNAP.format(id="demand_id", t="demand", o="d_node", h=hav("p", "n")) + "), " + _ROAD
+@query("od_network", "with sn as (" + SNAP.format(id="site_id", t="candidates", o="s_node", h=hav("p", "n")) + "), dn as ("
+       + SNAP.format(id="demand_id", t="demand", o="d_node", h=hav("p", "n")) + "), " + ROAD_PATHS
        + f""" select q.aoi_id, demand_id, site_id, coalesce(dist, g) as dist_m, dist is not null as on_road from
  (select d.aoi_id, demand_id, site_id, d_node, s_node, {hav('d', 's')} as g from dn d join sn s on d.aoi_id=s.aoi_id) q
  left join path p on p.aoi_id=q.aoi_id and p.source=q.s_node and p.node=q.d_node where g <= 10000""",
