@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import release
 from .common import GAIN_DIGITS, best_site, coverage, demand_spots, table
 
 EPS = 1e-9
@@ -51,11 +52,6 @@ def _score():
     return F.round(F.sum(_gain()), GAIN_DIGITS)
 
 
-def _multi_score(k: float):
-    """Full value on the last missing cover, a k-th of it before that."""
-    return F.round(F.sum(F.when(F.col("need") <= 1 + EPS, F.col("value")).otherwise(F.col("value") / k)), GAIN_DIGITS)
-
-
 def open_sites(pairs: DataFrame, picks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs that still matter after opening ``picks``."""
     k = list(keys)
@@ -66,40 +62,91 @@ def open_sites(pairs: DataFrame, picks: DataFrame, keys: Sequence[str]) -> DataF
     return table(rest.where(F.col("need") > EPS), "pairs")
 
 
+def pairs_of_relation(pairs: DataFrame, keys: Sequence[str], need: float = 1.0, coef=None, value=None) -> DataFrame:
+    """The shared relation from given covered pairs (keys, demand_id, site_id, weight), such as road distances within a radius."""
+    k = list(keys)
+    c, v = F.lit(1.0) if coef is None else coef, F.col("weight") if value is None else value
+    return table(pairs.select(*k, "demand_id", "site_id", v.alias("value"), c.alias("coef"), F.lit(float(need)).alias("need")), "pairs")
+
+
+class Gains:
+    """What every closed site would gain, corrected by differences as sites open.
+
+    The pairs stay as they were written.  Opening sites lowers the need of the demand they
+    reach; only pairs of that demand are read again, and only the change of their gain is
+    added to the table of gains.
+    """
+
+    def __init__(self, pairs: DataFrame, keys: Sequence[str], gain=None):
+        self.keys, self.pairs = list(keys), pairs
+        self.gain = gain or classic_gain
+        self.needs = table(pairs.groupBy(*self.keys, "demand_id").agg(F.max("need").alias("need")), "needs")
+        self.table = table(pairs.groupBy(*self.keys, "site_id").agg(F.sum(self._of("need")).alias("gain")), "gains")
+
+    def _of(self, need: str):
+        n = F.col(need)
+        return F.when(n > EPS, self.gain(F.col("value"), n, F.col("coef"))).otherwise(F.lit(0.0))
+
+    def scores(self) -> DataFrame:
+        """(keys, site_id, gain) of sites that gain anything."""
+        scores = self.table.select(*self.keys, "site_id", F.round("gain", GAIN_DIGITS).alias("score")).where("score > 0")
+        return scores.withColumnRenamed("score", "gain")
+
+    def open(self, picks: DataFrame) -> None:
+        k = self.keys
+        picks = picks.select(*k, "site_id").distinct()
+        given = self.pairs.join(picks, [*k, "site_id"], "left_semi").groupBy(*k, "demand_id").agg(F.sum("coef").alias("_given"))
+        hit = table(given.join(self.needs.where(F.col("need") > EPS), [*k, "demand_id"]).withColumn("_left", F.col("need") - F.col("_given")).drop("_given"), "hit")
+        change = self.pairs.drop("need").join(hit, [*k, "demand_id"]).groupBy(*k, "site_id").agg(F.sum(self._of("_left") - self._of("need")).alias("_d"))
+        gains = self.table.join(picks, [*k, "site_id"], "left_anti").join(change, [*k, "site_id"], "left")
+        needs = self.needs.join(hit.select(*k, "demand_id", "_left"), [*k, "demand_id"], "left")
+        old = self.table, self.needs
+        self.table = table(gains.select(*k, "site_id", (F.col("gain") + F.coalesce("_d", F.lit(0.0))).alias("gain")), "gains")
+        self.needs = table(needs.select(*k, "demand_id", F.coalesce("_left", "need").alias("need")), "needs")
+        release(hit, *old)
+
+
+def classic_gain(value, need, coef):
+    return value * F.least(need, coef)
+
+
+def multi_gain(k: float):
+    """Full value on the last missing cover, a k-th of it before that."""
+    return lambda value, need, coef: F.when(need <= 1 + EPS, value).otherwise(value / k)
+
+
 def greedy_p(
     pairs: DataFrame,
     p: int,
     keys: Sequence[str] = ("aoi_id",),
     must_open: DataFrame | None = None,
     must_close: DataFrame | None = None,
-    score=None,
+    gain=None,
 ) -> DataFrame:
     """p rounds of the best gain per key: (keys, step, site_id, gain)."""
     k = list(keys)
-    s = _score() if score is None else score
-    steps = None
-    first = 1
     if must_close is not None:
         pairs = pairs.join(must_close.select(*k, "site_id"), [*k, "site_id"], "left_anti")
-    quota = None
+    st = Gains(pairs, k, gain)
+    steps = quota = None
     if must_open is not None:
-        gains = pairs.groupBy(*k, "site_id").agg(s.alias("gain"))
-        steps = must_open.select(*k, F.lit(0).alias("step"), "site_id").join(gains, [*k, "site_id"], "left").select(
+        steps = must_open.select(*k, F.lit(0).alias("step"), "site_id").join(st.scores(), [*k, "site_id"], "left").select(
             *k, "step", "site_id", F.coalesce("gain", F.lit(0.0)).alias("gain")
         )
-        pairs = open_sites(pairs, must_open, k)
+        steps = table(steps, "given")
+        st.open(must_open)
         quota = must_open.groupBy(*k).agg((F.lit(p) - F.count(F.lit(1))).alias("_q"))
-    for step in range(first, p + 1):
-        pool = pairs
+    for step in range(1, p + 1):
+        pool = st.scores()
         if quota is not None:
             pool = pool.join(quota, k, "left").where(F.coalesce("_q", F.lit(p)) >= step)
-        pick = table(best_site(pool.groupBy(*k, "site_id").agg(s.alias("gain")), k), "pick")
+        pick = table(best_site(pool, k), "pick")
         if pick.isEmpty():
             break
         row = pick.select(*k, F.lit(step).alias("step"), "site_id", "gain")
         steps = row if steps is None else steps.unionByName(row)
         if step < p:
-            pairs = open_sites(pairs, pick, k)
+            st.open(pick)
     if steps is None:
         return _none(pairs, k, step="int", site_id="bigint", gain="double")
     return steps
@@ -109,12 +156,13 @@ def greedy_budget(pairs: DataFrame, costs: DataFrame, budget: float, keys: Seque
     """Best gain per cost while affordable, or the best single site if that covers more."""
     k = list(keys)
     c = costs.select(*k, "site_id", F.col("cost").alias("price"))
-    gains = pairs.groupBy(*k, "site_id").agg(_score().alias("gain")).join(c, [*k, "site_id"]).where(F.col("price") <= budget)
+    st = Gains(pairs, k)
+    gains = st.scores().join(c, [*k, "site_id"]).where(F.col("price") <= budget)
     single = table(best_site(gains, k, extra=["price"]), "single")
     steps = None
     spent = None
     for step in count(1):  # a round spends money, so it ends
-        g = pairs.groupBy(*k, "site_id").agg(_score().alias("gain")).join(c, [*k, "site_id"])
+        g = st.scores().join(c, [*k, "site_id"])
         g = g.join(spent, k, "left") if spent is not None else g.withColumn("spent", F.lit(0.0))
         used = F.coalesce("spent", F.lit(0.0))
         g = g.where((used + F.col("price") <= budget) & (F.col("gain") > 0)).withColumn("ratio", F.round(F.col("gain") / F.col("price"), 6))
@@ -126,7 +174,7 @@ def greedy_budget(pairs: DataFrame, costs: DataFrame, budget: float, keys: Seque
         spent = pick.select(*k, "spent") if spent is None else table(
             spent.unionByName(pick.select(*k, "spent")).groupBy(*k).agg(F.max("spent").alias("spent")), "spent"
         )
-        pairs = open_sites(pairs, pick, k)
+        st.open(pick)
     if steps is None:
         return _none(pairs, k, step="int", site_id="bigint", gain="double", spent="double")
     tot = steps.groupBy(*k).agg(F.sum("gain").alias("_sum"))
@@ -305,17 +353,17 @@ def partial_cover(pairs: DataFrame, totals: DataFrame, fraction: float, keys: Se
     k = list(keys)
     goal = totals.select(*k, (F.col("total") * F.lit(fraction)).alias("_goal"))
     have = table(totals.select(*k, F.lit(0.0).alias("have")), "have")
+    st = Gains(pairs, k)
     steps = None
     for step in count(1):  # a round opens a site, so it ends
         short = have.join(goal, k).where(F.round("have", 4) < F.round("_goal", 4)).select(*k)
-        gains = pairs.join(short, k, "left_semi").groupBy(*k, "site_id").agg(_score().alias("gain"))
-        pick = table(best_site(gains, k), "pick")
+        pick = table(best_site(st.scores().join(short, k, "left_semi"), k), "pick")
         if pick.isEmpty():
             break
         row = pick.select(*k, F.lit(step).alias("step"), "site_id", "gain")
         steps = row if steps is None else steps.unionByName(row)
         have = table(have.join(pick.select(*k, "gain"), k, "left").select(*k, (F.col("have") + F.coalesce("gain", F.lit(0.0))).alias("have")), "have")
-        pairs = open_sites(pairs, pick, k)
+        st.open(pick)
     if steps is None:
         return _none(pairs, k, step="int", site_id="bigint", gain="double")
     return steps

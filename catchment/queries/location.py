@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..location import cover, genetic, pcenter, pmedian, sweep
+from ..location import cover, genetic, pcenter, pmedian, relation, sweep
+from ..operators import network
 from ..operators.nearest import nearest_site
+from .joins import ROAD_PATHS, SNAP
 from .registry import hav, query
 
 DC = ("demand", "candidates")
@@ -233,7 +235,7 @@ def mclp_capacitated(v):
 @query("mclp_multi", _cover_sql(4, need="2e0", gain="case when need <= 1e0+1e-9 then weight else weight/2e0 end", radius="15000"), DC)
 def mclp_multi(v):
     pairs = cover.cover_pairs(v.demand(), v.candidates(), 15000.0, ["aoi_id"], need=2.0)
-    return cover.greedy_p(pairs, 4, score=cover._multi_score(2.0))
+    return cover.greedy_p(pairs, 4, gain=cover.multi_gain(2.0))
 
 
 @query("mclp_bound", _cover_sql(3).rsplit(" select aoi_id, 1 as step", 1)[0] + """, g4 as (select aoi_id, site_id, sum(weight*least(need, 1e0)) as gain from cov join n3 using (aoi_id, demand_id) where need > 1e-9 and (aoi_id, site_id) not in (select aoi_id, site_id from p1 union all select aoi_id, site_id from p2 union all select aoi_id, site_id from p3) group by 1,2),
@@ -364,7 +366,7 @@ def evaluate_solution(v):
 def mclp_backup(v):
     """Backup cover is the k-cover model with k = 2 by default."""
     pairs = cover.cover_pairs(v.demand(), v.candidates(), 20000.0, ["aoi_id"], need=2.0)
-    return cover.greedy_p(pairs, 3, score=cover._multi_score(2.0))
+    return cover.greedy_p(pairs, 3, gain=cover.multi_gain(2.0))
 
 
 def _batch_sql() -> str:
@@ -380,3 +382,51 @@ def batch_aoi(v):
     halves = d.select("aoi_id", "half").distinct()
     pairs = cover.cover_pairs(d, v.candidates().join(halves, "aoi_id"), R, ["aoi_id", "half"])
     return cover.greedy_p(pairs, 2, ["aoi_id", "half"])
+
+
+#: Road distances of the pairs within 20 km of each other that have a path; the rest is out of reach.
+_REACH = 20000.0
+ROAD_OD = f"""sn as ({SNAP.format(id="site_id", t="candidates", o="s_node", h=hav("p", "n"))}),
+dn as ({SNAP.format(id="demand_id", t="demand", o="d_node", h=hav("p", "n"))}), {ROAD_PATHS},
+od as materialized (select d.aoi_id, d.demand_id, s.site_id, m.weight, p.dist from dn d join sn s on s.aoi_id=d.aoi_id join demand m on m.aoi_id=d.aoi_id and m.demand_id=d.demand_id
+ join path p on p.aoi_id=d.aoi_id and p.source=s.s_node and p.node=d.d_node where {hav('d', 's')} <= {_REACH})"""
+ROADS = ("demand", "candidates", "road_nodes", "road_edges")
+
+
+def _road_pairs(v):
+    got = network.network_pairs(v.demand(), v.candidates(), v.road_nodes(), v.road_edges(), _REACH)
+    return got.where("on_road").select("aoi_id", "demand_id", "site_id", "dist_m")
+
+
+def _sparse_greedy_sql(p: int) -> str:
+    """As the unrolled greedy rounds, with demand out of a site's reach left as it was."""
+    parts = ["b0 as materialized (select aoi_id, demand_id, weight, 3e7 as d1 from demand)"]
+    for i in range(1, p + 1):
+        done = " union all ".join(f"select aoi_id, site_id from p{j}" for j in range(1, i)) or "select '' as aoi_id, -1 as site_id"
+        parts += [
+            f"t{i} as (select aoi_id, sum(weight*d1) as total from b{i-1} group by 1)",
+            f"c{i} as materialized (select od.aoi_id, site_id, round(any_value(total) - sum(od.weight*(b.d1 - least(b.d1, od.dist))), 0) as cost from od join b{i-1} b using (aoi_id, demand_id) join t{i} on t{i}.aoi_id = od.aoi_id"
+            f" where (od.aoi_id, site_id) not in ({done}) group by 1, 2)",
+            f"p{i} as materialized (select aoi_id, arg_min(site_id, (cost, site_id)) as site_id, min(cost) as cost from c{i} group by 1)",
+            f"b{i} as materialized (select b.aoi_id, b.demand_id, b.weight, least(b.d1, coalesce(od.dist, b.d1)) as d1 from b{i-1} b left join p{i} q using (aoi_id)"
+            f" left join od on od.aoi_id=b.aoi_id and od.demand_id=b.demand_id and od.site_id=q.site_id)",
+        ]
+    return ", ".join(parts) + " " + " union all ".join(f"select aoi_id, {i} as step, site_id, cost from p{i}" for i in range(1, p + 1))
+
+
+@query("p_median_network", f"with {ROAD_OD}, {_sparse_greedy_sql(3)}", ROADS, recursive=True)
+def p_median_network(v):
+    """p-median on road distances."""
+    return relation.p_median_on_pairs(_road_pairs(v), v.demand(), 3)[0]
+
+
+def _cover_network_sql() -> str:
+    sql = _cover_sql(3)
+    return f"with {ROAD_OD}" + sql[len("with ") + len(OD):].replace("dist <= 10000", "dist <= 15000")
+
+
+@query("mclp_network", _cover_network_sql(), ROADS, recursive=True)
+def mclp_network(v):
+    """Most demand within 15 km by road of three sites."""
+    near = _road_pairs(v).where("dist_m <= 15000").join(v.demand().select("aoi_id", "demand_id", "weight"), ["aoi_id", "demand_id"])
+    return cover.greedy_p(cover.pairs_of_relation(near, ["aoi_id"]), 3)

@@ -21,11 +21,11 @@ def _roads(seed, n, roads, key="A"):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(network, "BLOCK_EDGES", 60)
+    monkeypatch.setattr(network, "BLOCK_EDGES", 90)
     monkeypatch.setattr(network, "SOURCES", 2)
 
 
-@pytest.mark.parametrize("with_places, step", [(True, 250.0), (False, None)])
+@pytest.mark.parametrize("with_places, step", [(True, 400.0), (False, None)])
 def test_blocks_settle_what_dijkstra_settles(spark, small_blocks, with_places, step):
     at, edges = _roads(1, 70, 180)
     df = spark.createDataFrame([("A", *e) for e in edges] + [("B", 0, 1, 5.0), ("A", 3, None, 1.0), ("A", 3, 4, None)], EDGE)
@@ -54,7 +54,7 @@ def test_one_label_a_junction(spark, small_blocks):
         want = {n: min((d[n], s) for s, d in far.items() if n in d) for n in range(80) if any(n in d for d in far.values())}
         got = network.nearest_sources(df, src, direction=direction, nodes=nodes).collect()
         assert {r.node: (r.dist_m, r.source) for r in got} == want and len(got) == len(want)
-        near = network.nearest_sources(df, src, cutoff_m=200.0, direction=direction, nodes=nodes, step_m=150.0).collect()
+        near = network.nearest_sources(df, src, cutoff_m=200.0, direction=direction, nodes=nodes, step_m=None).collect()
         assert {r.node: (r.dist_m, r.source) for r in near} == {n: v for n, v in want.items() if v[0] <= 200.0}
     assert network.nearest_sources(df, src.where("false"), nodes=nodes).count() == 0
 
