@@ -377,6 +377,9 @@ def p_median_budget(
         spent = table(spent.join(upd, k, "left").select(*k, F.coalesce("_s", "spent").alias("spent"), "_n"), "spent")
         if step < p:
             st.add(pick)
+    if steps is None:  # nothing is affordable
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("step", "int"), ("site_id", "bigint"), ("cost", "double"), ("spent", "double"))]
+        return demand.select(*k, *none).limit(0)
     return steps
 
 

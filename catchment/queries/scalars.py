@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, scale, text, units
+from ..functions import geo, scale, sql, text, units
 from .registry import hav, query
 
 CENTRE = ("demand", "boundaries")
@@ -215,3 +215,15 @@ def expected_reliability(v):
         F.round(F.sum(-F.log1p(-F.least(r, F.lit(1.0 - 1e-9)))), 6).alias("log_need"),
         F.round(F.least(F.lit(1.0), F.sum(r)), 9).alias("surrogate"),
     )
+
+
+@query("sql_functions", f"select aoi_id, demand_id, {hav('d', 'b')} as dist_m, floor(weight * 1609.344e0 * 1000e0 + 0.5e0) / 1000e0 as metres, demand_id % 3 <> 0 as similar from demand d join "
+       "(select aoi_id, ox+0.4e0 as lon, oy+0.3e0 as lat from boundaries) b using (aoi_id)", CENTRE)
+def sql_functions(v):
+    """Distances, units and names from SQL text."""
+    sql.register(v.spark)
+    return v.spark.sql(
+        "select aoi_id, demand_id, floor(haversine_m(lon, lat, clon, clat) * 1000 + 0.5) / 1000D as dist_m, floor(to_metres(weight, ' Miles') * 1000 + 0.5) / 1000D as metres,"
+        " name_similar(concat('Site ', demand_id), case when demand_id % 3 = 0 then 'Other Place' else concat('site-', demand_id) end) as similar from {d}",
+        d=_with_centre(v),
+    )

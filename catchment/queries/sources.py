@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..session import materialize, new_path
 from ..sources import datasource, readers, wkb
 from .registry import query
@@ -39,6 +40,16 @@ def decode_wkb(v):
     return wkb.decode_edges(pts.unionByName(ring), "wkb", ["aoi_id", "demand_id"])
 
 
+@query("wkb_to_edges", "select aoi_id, 0 as ring_no, seq, x1, y1, x2, y2 from boundary_edges union all select concat(aoi_id, ':', demand_id), 0, 0, lon, lat, lon, lat from demand", ("demand", "boundary_edges"))
+def wkb_to_edges(v):
+    """Edges of geometries by a lateral join in SQL text."""
+    sql.register(v.spark)
+    ring = v.boundary_edges().groupBy("aoi_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("p")))).alias("r"))
+    ring = ring.select("aoi_id", F.transform("r", lambda s: s["p"]).alias("r")).select("aoi_id", wkb.ring_wkb(F.concat("r", F.slice("r", 1, 1))).alias("wkb"))
+    pts = v.demand().select(F.concat_ws(":", "aoi_id", F.col("demand_id").cast("string")).alias("aoi_id"), wkb.point_wkb("lon", "lat").alias("wkb"))
+    return v.spark.sql("select g.aoi_id, e.* from {g} g, lateral wkb_to_edges(g.wkb) e", g=materialize(ring.unionByName(pts), "geometries"))
+
+
 _PX, _PY = "cast(c_custkey%160 as double)", "cast(c_custkey%80 as double)"
 _CAT = "case c_custkey%5 when 0 then 'hospital' when 1 then 'pharmacy' when 2 then 'school' when 3 then 'bank' else 'dentist' end"
 

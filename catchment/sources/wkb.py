@@ -44,6 +44,13 @@ def _rings(b: bytes, at: int = 0) -> tuple[list[list[tuple[float, float]]], int,
     return rings, kind, at
 
 
+def geometry_edges(wkb: bytes) -> Iterator[tuple[int, int, float, float, float, float]]:
+    """(ring_no, seq, x1, y1, x2, y2) of one geometry; a point gives one edge to itself."""
+    for r, ring in enumerate(_rings(bytes(wkb))[0]):
+        for i, (a, b) in enumerate(zip(ring, ring[1:]) if len(ring) > 1 else [(ring[0], ring[0])]):
+            yield r, i, *a, *b
+
+
 def decode_edges(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Boundary edges (keys, ring_no, seq, x1, y1, x2, y2); a point gives one edge to itself."""
     k = list(keys)
@@ -57,9 +64,7 @@ def decode_edges(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
                 vals, wkb = rec[:-1], rec[-1]
                 if wkb is None:
                     continue
-                for r, ring in enumerate(_rings(bytes(wkb))[0]):
-                    pairs = zip(ring, ring[1:]) if len(ring) > 1 else [(ring[0], ring[0])]
-                    rows += [(*vals, r, i, *a, *b) for i, (a, b) in enumerate(pairs)]
+                rows += [(*vals, *edge) for edge in geometry_edges(wkb)]
             yield pd.DataFrame(rows, columns=[*k, "ring_no", "seq", "x1", "y1", "x2", "y2"])
 
     return base.mapInPandas(run, schema + ", ring_no int, seq int, x1 double, y1 double, x2 double, y2 double")
