@@ -108,6 +108,34 @@ def pairs_within(
     return pairs.withColumn("dist_m", d).where(F.col("dist_m") <= radius_m)
 
 
+def pairs_within_own(
+    demand: DataFrame,
+    sites: DataFrame,
+    reach: str,
+    keys: Sequence[str] = ("aoi_id",),
+    metric=geo.Haversine,
+) -> DataFrame:
+    """Pairs of one key no further apart than the demand row's own column ``reach``.
+
+    Demand is sorted into levels whose reach differs by at most a factor of two,
+    and each level gets a grid of its own size, so a wide reach never coarsens
+    the grid of a narrow one.  Rows without a positive reach have no pairs; reaches
+    below a metre share one level.
+    """
+    half_way_round = math.pi * geo.EARTH_RADIUS_M
+    level = F.greatest(F.lit(0.0), F.ceil(F.log2(reach))).cast("int")
+    d = demand.where(F.col(reach) > 0).withColumn("_level", level)
+    out = None
+    for (n,) in sorted(map(tuple, d.select("_level").distinct().collect())):  # one row a power of two
+        wide = 2.0**n if metric is not geo.Haversine else min(2.0**n, half_way_round)
+        part = pairs_within(d.where(F.col("_level") == n).drop("_level"), sites, wide, keys, metric)
+        part = part.where(F.col("dist_m") <= F.col(reach))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = pairs_within(d.drop("_level"), sites, 1.0, keys, metric)
+    return out
+
+
 def coverage_pairs(demand: DataFrame, sites: DataFrame, radius_m: float, keys=("aoi_id",), metric=geo.Haversine) -> DataFrame:
     """Sparse coverage relation: absent rows are the zeros of the matrix."""
     d = demand.select(*keys, "demand_id", "lon", "lat")

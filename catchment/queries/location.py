@@ -202,6 +202,16 @@ def p_center_conditional(v):
     return pcenter.p_center_greedy(v.demand(), v.candidates(), 2, existing=_first_site(v))[1]
 
 
+@query("p_center_weighted_search")
+def p_center_weighted_search(v):
+    return pcenter.p_center(v.demand(), v.candidates(), 3, weighted=True)
+
+
+@query("p_center_conditional_search")
+def p_center_conditional_search(v):
+    return pcenter.p_center(v.demand(), v.candidates(), 2, existing=_first_site(v))
+
+
 def _step_cte(name: str, carry: str, start: str, gate: str, order: str, grow: str, filt: str = "true") -> str:
     """Recursive rounds over uncovered demand, one site per area and step."""
     return f"""{name}(aoi_id, step, chosen, {carry}, site_id, gain) as (select aoi_id, 0, cast([] as bigint[]), {start}, cast(-1 as bigint), 0e0 from candidates group by 1
