@@ -29,10 +29,19 @@ def synthetic_candidates(v):
     """Points in the hull of the demand, latitudes uniform by area."""
     h = hull_edges(hull.convex_hull(v.demand()))
     n = v.candidates().groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"))
-    p = generate.points_in_areas(n, h, tries=30, sphere=True)
+    p = generate.points_in_areas(n, h, sphere=True)
     return p.select("aoi_id", F.col("point_no").alias("site_id"), "lon", "lat", F.lit(True).alias("is_synthetic"))
 
 
+@query("synthetic_status", """select aoi_id, n, case when a > 0 then 'ok' else 'no extent' end as status from (select aoi_id, count(*) as n from demand group by 1)
+ join (select aoi_id, abs(sum(x1*y2 - x2*y1)) as a from boundary_edges group by 1) using (aoi_id) union all select 'none', 1, 'no boundary'""", ("demand", "boundary_edges"))
+def synthetic_status(v):
+    """Which areas points can be drawn in, one of them unknown."""
+    n = v.demand().groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"))
+    none = n.select(F.lit("none").alias("aoi_id"), F.lit(1).cast("bigint").alias("n")).limit(1)
+    return generate.draw_status(n.unionByName(none), v.boundary_edges())
+
+
 def hull_edges(h):
     """Closed ring edges from ordered hull corners."""
     h = materialize(h, "hull")
