@@ -335,10 +335,63 @@ def assign_with_capacity(
         left = options.join(got.select(*k, "demand_id"), [*k, "demand_id"], "left_anti")
         refused = run.where("not fits").select(*k, "demand_id", "site_id")
         options = table(left.join(refused, [*k, "demand_id", "site_id"], "left_anti"), "options")
+    if taken is None:  # there was nothing to choose from
+        taken = options
     out = taken.select(*k, "demand_id", "site_id", "dist_m")
     return demand.select(*k, "demand_id", "weight").join(out, [*k, "demand_id"], "left")
 
 
+def _with_fillers(pool: DataFrame, k: list[str], value: str, places: int, order) -> DataFrame:
+    """``pool`` with ``_rest``: the sum of ``value`` over the first ``places`` - 1 other sites of the key."""
+    from ..operators.measures import top_n
+
+    fill = top_n(pool, k, [order(value), F.asc("site_id")], places, rank="_r").select(*k, F.col("site_id").alias("_fs"), F.col(value).alias("_fv"), "_r")
+    need = pool.join(fill, k, "left").groupBy(*k, "site_id", "lon", "lat", value).agg(
+        F.sum(F.when((F.col("_fs") != F.col("site_id")), F.col("_fv"))).alias("_all"),
+        F.max(F.when(F.col("_fs") == F.col("site_id"), 1)).alias("_in"),
+        F.max(F.when(F.col("_r") == places, F.col("_fv"))).alias("_last"),
+    )
+    rest = F.coalesce("_all", F.lit(0.0)) - F.when(F.col("_in").isNull(), F.coalesce("_last", F.lit(0.0))).otherwise(F.lit(0.0))
+    return need.withColumn("_rest", rest)
+
+
+def p_median_capacitated(
+    demand: DataFrame, candidates: DataFrame, p: int, keys: Sequence[str] = ("aoi_id",), metric=geo.Haversine
+) -> tuple[DataFrame, DataFrame]:
+    """p-median whose sites (with ``capacity``) can hold all demand, and its assignment.
+
+    A site is only opened while it and the largest sites for the places left still hold
+    the key's demand, so a near site too small to leave a feasible rest is passed over.
+    Returns ((keys, step, site_id, capacity), (keys, demand_id, weight, site_id, dist_m, status)).
+    Status is 'assigned'; 'no room' for a row that fits no opened site whole; 'over capacity'
+    for all rows of a key whose p largest sites cannot hold them.
+    """
+    k = list(keys)
+    st = GreedyState(demand, candidates, k, metric)
+    cap = candidates.select(*k, "site_id", F.col("capacity").cast("double").alias("capacity"))
+    held = table(demand.groupBy(*k).agg(F.sum("weight").alias("total"), F.lit(0.0).alias("held")), "held")
+    steps = None
+    for step in range(1, p + 1):
+        pool = st.remaining().join(cap, [*k, "site_id"])
+        ok = _with_fillers(pool, k, "capacity", p - step + 1, F.desc).join(held, k)
+        ok = ok.where(F.round(F.col("held") + F.col("capacity") + F.col("_rest"), 6) >= F.round("total", 6))
+        pick = st.best(table(ok.select(*k, "site_id", "lon", "lat"), "roomy")).join(cap, [*k, "site_id"])
+        pick = table(pick.select(*k, F.lit(step).alias("step"), "site_id", "cost", "capacity", "lon", "lat"), "pick")
+        if pick.isEmpty():
+            break
+        steps = pick if steps is None else steps.unionByName(pick)
+        held = table(held.join(pick.select(*k, F.col("capacity").alias("_c")), k, "left").select(*k, "total", (F.col("held") + F.coalesce("_c", F.lit(0.0))).alias("held")), "held")
+        if step < p:
+            st.add(pick)
+    if steps is None:
+        steps = candidates.select(*k, F.lit(0).alias("step"), "site_id", F.col("capacity").cast("double").alias("capacity"), "lon", "lat").limit(0)
+    fits = steps.select(*k).distinct().withColumn("_fits", F.lit(True))
+    a = assign_with_capacity(demand.join(fits, k, "left_semi"), steps, k, metric)
+    out = demand.select(*k, "demand_id", "weight").join(a.drop("weight"), [*k, "demand_id"], "left").join(fits, k, "left")
+    status = F.when(F.col("_fits").isNull(), "over capacity").when(F.col("site_id").isNull(), "no room").otherwise("assigned")
+    return steps.select(*k, "step", "site_id", "capacity"), out.withColumn("status", status).drop("_fits")
+
+
 def p_median_budget(
     demand: DataFrame, candidates: DataFrame, p: int, budget: float, keys: Sequence[str] = ("aoi_id",), metric=geo.Haversine
 ) -> DataFrame:
@@ -348,8 +401,6 @@ def p_median_budget(
     places still fits the budget, so p sites are reached whenever they can be.
     (keys, step, site_id, cost, spent)
     """
-    from ..operators.measures import top_n
-
     k = list(keys)
     st = GreedyState(demand, candidates, k, metric)
     price = candidates.select(*k, "site_id", F.col("cost").alias("price"))
@@ -358,14 +409,7 @@ def p_median_budget(
     for step in range(1, p + 1):
         pool = st.remaining().join(price, [*k, "site_id"])
         # the cheapest fillers for the places still open after this one
-        fill = top_n(pool, k, [F.asc("price"), F.asc("site_id")], p - step + 1, rank="_r").select(*k, F.col("site_id").alias("_fs"), F.col("price").alias("_fp"), "_r")
-        need = pool.join(fill, k, "left").groupBy(*k, "site_id", "lon", "lat", "price").agg(
-            F.sum(F.when((F.col("_fs") != F.col("site_id")), F.col("_fp"))).alias("_all"),
-            F.max(F.when(F.col("_fs") == F.col("site_id"), 1)).alias("_in"),
-            F.max(F.when(F.col("_r") == p - step + 1, F.col("_fp"))).alias("_last"),
-        )
-        rest = F.coalesce("_all", F.lit(0.0)) - F.when(F.col("_in").isNull(), F.coalesce("_last", F.lit(0.0))).otherwise(F.lit(0.0))
-        ok = need.withColumn("_rest", rest).join(spent, k).where(F.col("spent") + F.col("price") + F.col("_rest") <= budget)
+        ok = _with_fillers(pool, k, "price", p - step + 1, F.asc).join(spent, k).where(F.col("spent") + F.col("price") + F.col("_rest") <= budget)
         ok = table(ok.select(*k, "site_id", "lon", "lat"), "affordable")
         pick = st.best(ok).join(price, [*k, "site_id"]).join(spent, k)
         pick = table(pick.select(*k, F.lit(step).alias("step"), "site_id", "cost", (F.col("spent") + F.col("price")).alias("spent"), "lon", "lat"), "pick")

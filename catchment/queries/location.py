@@ -160,17 +160,19 @@ def p_median_bound(v):
     return up.join(lb, "aoi_id").select("aoi_id", "cost", F.round("lower_bound", 0).alias("lower_bound"), F.round(gap, 6).alias("gap"))
 
 
-def _roomy(v, p):
-    """The sites of a greedy solution with 1.1 times the average load as capacity."""
-    g = pmedian.p_median_greedy(v.demand(), v.candidates(), p)
-    cap = v.demand().groupBy("aoi_id").agg((F.sum("weight") / p * 1.1).alias("capacity"))
-    return g.select("aoi_id", "site_id").join(v.candidates().drop("capacity"), ["aoi_id", "site_id"]).join(cap, "aoi_id")
+def _capacities(v, p, room):
+    """Candidates whose capacities keep their ratios and sum, over p average sites, to ``room`` times the demand."""
+    tot = v.demand().groupBy("aoi_id").agg(F.sum("weight").alias("_w"))
+    avg = v.candidates().groupBy("aoi_id").agg(F.avg("capacity").alias("_avg"))
+    c = v.candidates().join(tot, "aoi_id").join(avg, "aoi_id")
+    return c.withColumn("capacity", F.round(F.col("capacity") * F.col("_w") * room / (F.col("_avg") * p), 6)).drop("_w", "_avg")
 
 
 @query("p_median_capacitated")
 def p_median_capacitated(v):
-    a = pmedian.assign_with_capacity(v.demand(), _roomy(v, 3))
-    return a.groupBy("aoi_id", "site_id").agg(F.count(F.lit(1)).alias("n_demand"), F.round(F.sum("weight"), 2).alias("weight"), F.max("dist_m").alias("max_m"))
+    """Sites of unequal capacity, chosen so that they hold all demand; rows without a site come as one group."""
+    a = pmedian.p_median_capacitated(v.demand(), _capacities(v, 3, 1.1), 3)[1]
+    return a.groupBy("aoi_id", "site_id", "status").agg(F.count(F.lit(1)).alias("n_demand"), F.round(F.sum("weight"), 2).alias("weight"), F.max("dist_m").alias("max_m"))
 
 
 @query("p_median_budget")
@@ -238,7 +240,7 @@ def mclp_budget(v):
 
 @query("mclp_capacitated")
 def mclp_capacitated(v):
-    a = cover.greedy_capacity(v.demand(), v.candidates(), R, 3, capacity=False)
+    a = cover.greedy_capacity(v.demand(), _capacities(v, 3, 1.0), R, 3)
     return a.groupBy("aoi_id", "step", "site_id").agg(F.count(F.lit(1)).alias("n_demand"), F.round(F.sum("weight"), 2).alias("served"))
 
 

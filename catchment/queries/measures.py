@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scale
 from ..functions.units import degradation_pct
+from ..location import pmedian
 from ..operators import coverage, measures, running
 from ..operators.nearest import nearest_site
 from ..session import materialize
+from .location import OD, _greedy_parts
 from .registry import NEAREST_SQL, hav, query
 
 DC = ("demand", "candidates")
@@ -326,11 +328,12 @@ def newly_uncovered(v):
     return lost.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n_lost"), F.round(F.sum("weight"), 4).alias("lost_weight"))
 
 
-@query("drop_one_candidates", f"select aoi_id, s.site_id as dropped, c.site_id from (select aoi_id, min(site_id) as site_id from candidates where {_OPEN} group by 1 union select aoi_id, max(site_id) from candidates where {_OPEN} group by 1) s join candidates c using (aoi_id) where c.site_id <> s.site_id", ("candidates",))
+@query("drop_one_candidates", "with " + ", ".join([OD] + _greedy_parts(3)) + """, s as (select aoi_id, site_id from p1 union all select aoi_id, site_id from p2 union all select aoi_id, site_id from p3)
+ select aoi_id, s.site_id as dropped, c.site_id from s join candidates c using (aoi_id) where c.site_id <> s.site_id""", DC)
 def drop_one_candidates(v):
+    """What is left to choose from once each site of a solution is taken away in turn."""
     c = v.candidates()
-    o = c.where(_OPEN).groupBy("aoi_id")
-    sel = o.agg(F.min("site_id").alias("dropped")).union(o.agg(F.max("site_id").alias("dropped"))).distinct()
+    sel = pmedian.p_median_greedy(v.demand(), c, 3).select("aoi_id", F.col("site_id").alias("dropped"))
     return c.select("aoi_id", "site_id").join(sel, "aoi_id").where("site_id <> dropped").select("aoi_id", "dropped", "site_id")
 
 

@@ -55,10 +55,10 @@ def last_n_events(v):
 
 
 @query("try_outcome_match", """select t.session_id, t.stage, t.event_id as try_id, arg_min(o.event_id, (o.ts, o.event_id)) as out_id, arg_min(o.status, (o.ts, o.event_id)) as status, (epoch_us(min(o.ts)) - epoch_us(any_value(t.ts)))/1000e0 as elapsed_ms
- from (select * from activity where status='try') t join (select * from activity where status<>'try') o on o.session_id=t.session_id and o.stage=t.stage and o.ts > t.ts and o.ts <= t.ts + interval 24 hour group by 1,2,3""", ACT)
+ from (select * from activity where status='try') t left join (select * from activity where status<>'try') o on o.session_id=t.session_id and o.stage=t.stage and o.ts > t.ts and o.ts <= t.ts + interval 24 hour group by 1,2,3""", ACT)
 def try_outcome_match(v):
     m = jobs.run_append(jobs.try_outcomes(_stream(v)), "outcomes")
-    return jobs.first_outcomes(m).where("out_id is not null")
+    return jobs.settle_tries(v.activity(), m)
 
 
 @query("stream_coverage", "select aoi_id, demand_id, site_id, dist_m, dist_m <= 10000 as covered from (" + NEAREST_SQL + ")", ("demand", "candidates"))

@@ -149,6 +149,13 @@ def first_outcomes(matches: DataFrame) -> DataFrame:
     return f.select("session_id", "stage", "try_id", F.col("m.out_id").alias("out_id"), F.col("m.status").alias("status"), ms.alias("elapsed_ms"))
 
 
+def settle_tries(events: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every try of a table of events with its first outcome; nulls where none came."""
+    tries = events.where("status = 'try'").select("session_id", "stage", F.col("event_id").alias("try_id"))
+    found = first_outcomes(matches.where("out_id is not null"))
+    return tries.join(found, ["session_id", "stage", "try_id"], "left")
+
+
 def stream_coverage(points: DataFrame, sites: DataFrame, radius_m: float, keys=("aoi_id",)) -> DataFrame:
     """New demand scored against a fixed site set: the tree is built once, used per batch."""
     tree = SiteTree(sites, list(keys))
