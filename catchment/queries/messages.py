@@ -29,7 +29,7 @@ def _has(phrases):
 _RU = "case " + " ".join(f"when regexp_extract(t, '{p}', 1)<>'' then struct_pack(v := regexp_extract(t, '{p}', 1), u := regexp_replace(regexp_extract(t, '{p}', 2), '\\s+', '', 'g'))" for p in messages.RADIUS_PATTERNS) + " end"
 _FAC = ("case when r.u in ('km','kilometer','kilometers') then 1000e0 when r.u in ('mi','mile','miles') then 1609.344e0 when r.u in ('ft','feet','foot') then 0.3048e0 when r.u in ('yd','yard','yards') then 0.9144e0 "
         "when r.u in ('nm','nmi','nauticalmile','nauticalmiles') then 1852e0 else 1e0 end")
-_BARE = _first([lead + r"(\d+(?:\.\d*)?)(?:\s*$|\s*[^a-z0-9.\s])" for lead in messages.BARE_RADIUS_LEADS])
+_BARE = _first([p.replace(messages.BARE, r"(\d+(?:\.\d*)?)(?:\s*$|\s*[^a-z0-9.\s])") for p in messages.BARE_RADIUS_PATTERNS])
 _VAR = "case " + " ".join(f"when {_has(ph)} then '{n}'" for n, ph in messages.VARIANT_PHRASES) + " end"
 _RNG = r"weights?\s+(?:are\s+)?(?:from\s+)?([\d.]+)\s+to\s+([\d.]+)"
 
@@ -59,14 +59,14 @@ def is_affirmative(v):
     return _messages(v).select("conv_id", "turn", messages.is_affirmative(F.col("text")).alias("yes"))
 
 
-_TERM = "case conv_id%6 when 0 then 'Coverage' when 1 then 'ambulance' when 2 then 'minimum' when 3 then 'Equity' when 4 then 'warehouse' else 'rocket' end"
+_MODEL_TEXTS = ", ".join("('%s', '%s')" % (s, " ".join((n, d, *w, *u)).lower()) for s, n, _, d, w, u in messages.MODELS)
 
 
-@query("search_problems", f"""with m(s, t) as (values {', '.join("('%s', '%s')" % (s, ' '.join((n, d, *w, *u)).lower()) for s, n, _, d, w, u in messages.MODELS)})
- select conv_id, turn, coalesce((select string_agg(s, ',' order by s) from m where contains(t, lower({_TERM}))), '') as models from conversations""")
+@query("search_problems", f"""with m(s, t) as (values {_MODEL_TEXTS}), w as (select conv_id, turn, list_distinct(regexp_extract_all(lower({_MSG}), '{messages.TERM}')) as w from conversations),
+ h as (select conv_id, turn, s, count(*) as n from (select conv_id, turn, unnest(w) as one from w) join m on contains(t, one) group by all)
+ select conv_id, turn, cast(len(w) as bigint) as terms, coalesce((select string_agg(concat(s, ':', n), ',' order by n desc, s) from h where h.conv_id=w.conv_id and h.turn=w.turn), '') as models from w""")
 def search_problems(v):
-    hits = messages.search_models(F.expr(_TERM))
-    return v.table("conversations").select("conv_id", "turn", F.array_join(F.array_sort(hits), ",").alias("models"))
+    return messages.models_of_messages(_messages(v))
 
 
 _TOOL = "case (conv_id+turn)%5 when 1 then 'confirm_optimization' when 2 then 'run_sensitivity_analysis' when 4 then 'fetch' end"
