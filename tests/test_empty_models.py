@@ -1,6 +1,7 @@
 """Models without sites, money or room to choose."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from catchment.functions import sql
 from catchment.location import genetic, pcenter, pmedian
@@ -26,14 +27,27 @@ def test_center_without_sites(small):
     assert none.columns == ["aoi_id", "objective", "lower_bound", "site_ids"] and none.count() == 0
 
 
-@pytest.mark.parametrize("p", [4, 5, 6])
+@pytest.mark.parametrize("p", [4, 5, 6, 9])
 def test_search_sets_hold_exactly_p_sites(small, p):
     d, s = small
     ranked = genetic._ranked_sites(s, ["aoi_id"])
-    kind = "aoi_id string, ind int, site_id bigint"
-    genes = d.sparkSession.createDataFrame([("A", i, i % 6 if i % 2 else -1) for i in range(25)] + [("A", 3, 2), ("A", 3, 1)], kind)
-    got = genetic._fill(genes, ranked, ["aoi_id"], p, 1, 0).groupBy("ind").count().collect()
-    assert len(got) == 25 and {r["count"] for r in got} == {p}
+    sets = genetic.first_sets(ranked, ["aoi_id"], p, 25, 1)
+    whole = lambda kids: all(len({x.site_id for x in k}) == len(k) == min(p, 6) for k in kids)
+    row = sets.first()
+    assert len(row.kids) == 25 and whole(row.kids)
+    pool = F.transform("kids", lambda x: F.struct(F.lit(1.0).alias("score"), F.lit(0).alias("born"), x.alias("sites")))
+    state = sets.select("aoi_id", "n", pool.alias("pool"), F.lit(1.0).alias("best"), F.lit(0).alias("idle"), F.lit(0).alias("gen"))
+    born = genetic.next_sets(state, ranked, ["aoi_id"], p, 25, 1).first()
+    assert len(born.kids) == 22 and len(born.elite) == 3 and whole(born.kids) and born.gen == 1
+
+
+def test_search_without_sites_or_sense(small):
+    d, s = small
+    none = genetic.evolve(d, s.where("false"), "mclp", 2, 500.0)
+    assert none.columns == ["aoi_id", "objective", "n_uncovered", "generation", "last_generation", "n_sites", "site_ids"] and none.count() == 0
+    for model, p, r in (("p-median", None, None), ("p-median", 0, None), ("lscp", 3, 10.0), ("mclp", 2, None), ("mclp", 2, -1.0), ("other", 2, 1.0)):
+        with pytest.raises(ValueError):
+            genetic.evolve(d, s, model, p, r)
 
 
 def test_functions_from_sql_text(spark):

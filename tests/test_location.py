@@ -211,6 +211,39 @@ def test_genetic_search_is_repeatable_and_valid(town):
     assert len(set(ids)) == 2 and abs(cost_of(d, s, ids) - a.best_cost) <= 1 and a.best_cost >= best - 1
 
 
+@pytest.mark.parametrize("model, p, r", [("p-median", 2, None), ("p-center", 2, 8000.0), ("mclp", 2, 6000.0), ("lscp", None, 14000.0)])
+def test_genetic_search_of_four_models_against_all_subsets(town, model, p, r, monkeypatch):
+    """All sets are tried by hand.  With p the search must find the best; set cover lies between greedy and the best."""
+    monkeypatch.setattr(genetic, "BROADCAST_BYTES", 0 if model == "mclp" else 1 << 26)
+    d, s = town
+    near = d.crossJoin(s.select("site_id", F.col("lon").alias("sx"), F.col("lat").alias("sy"))).select(
+        "demand_id", "site_id", "weight", geo.Haversine.dist(F.col("lon"), F.col("lat"), F.col("sx"), F.col("sy")).alias("m")
+    ).collect()
+    dist, weight = {(x.demand_id, x.site_id): x.m for x in near}, {x.demand_id: x.weight for x in near}
+    sites = sorted({x.site_id for x in near})
+
+    def score(ids):
+        least = {i: min(dist[i, j] for j in ids) for i in weight}
+        if model == "p-median":
+            return round(sum(weight[i] * m for i, m in least.items()))
+        if model == "p-center":
+            return max(least.values())
+        if model == "mclp":
+            return -sum(weight[i] for i, m in least.items() if m <= r)
+        return len(ids) + max(10, len(sites)) * sum(m > r for m in least.values())
+
+    greedy = None if p else cover.greedy_cover(cover.cover_pairs(d, s, r, K))
+    got = genetic.evolve(d, s, model, p, r, population=40, generations=30, stagnation=6, initial=greedy).first()
+    ids = [int(x) for x in got.site_ids.split(",")]
+    best = min(score(c) for n in ([p] if p else range(1, 7)) for c in itertools.combinations(sites, n))
+    assert len(set(ids)) == got.n_sites and score(ids) >= best - 1e-3
+    most = best if p else score([x.site_id for x in greedy.collect()])
+    assert score(ids) <= most + 1e-3
+    if r:
+        assert got.n_uncovered == sum(min(dist[i, j] for j in ids) > r for i in weight)
+    assert got.generation <= got.last_generation <= 30
+
+
 def test_copies_on_one_spot_are_one_weight(spark):
     d, s = frame(spark, [(10.0, 50.0, 1)] * 50 + [(10.1, 50.0, 1)] * 20, [(10.0, 50.0), (10.1, 50.0)])
     pairs = cover.cover_pairs(d, s, 1000.0, K)
