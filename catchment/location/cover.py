@@ -310,6 +310,28 @@ def drop_redundant(pairs: DataFrame, cover: DataFrame, keys: Sequence[str] = ("a
     return cov
 
 
+def set_cover(
+    pairs: DataFrame, keys: Sequence[str] = ("aoi_id",), must_open: DataFrame | None = None, must_close: DataFrame | None = None
+) -> DataFrame:
+    """Fewest sites found that cover all coverable demand: (keys, site_id, forced).
+
+    Sites of ``must_open`` (keys, site_id) are open whatever they cover and are never
+    closed as spare; sites of ``must_close`` stay shut.  A site in both is open.  Demand that
+    only shut sites reach stays uncovered: pass the result to ``cover_status``.
+    """
+    k = list(keys)
+    opened = None if must_open is None else table(must_open.select(*k, "site_id").distinct(), "given")
+    if must_close is not None:
+        shut = must_close.select(*k, "site_id")
+        shut = shut if opened is None else shut.join(opened, [*k, "site_id"], "left_anti")
+        pairs = table(pairs.join(shut, [*k, "site_id"], "left_anti"), "pairs")
+    lean = drop_redundant(pairs, greedy_cover(pairs, k, seed=opened), k, keep=opened)
+    if opened is None:
+        return lean.withColumn("forced", F.lit(False))
+    mark = opened.withColumn("forced", F.lit(True))
+    return lean.join(mark, [*k, "site_id"], "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
+
+
 def packing_bound(pairs: DataFrame, keys: Sequence[str] = ("aoi_id",), k_cover: int = 1) -> DataFrame:
     """(keys, lower_bound): demands no two of which share a site, found in parallel.
 

@@ -214,6 +214,27 @@ def p_center_conditional_search(v):
     return pcenter.p_center(v.demand(), v.candidates(), 2, existing=_first_site(v))
 
 
+_SHUT = "(aoi_id, site_id) not in (select aoi_id, max(site_id) from candidates group by 1 having max(site_id) <> min(site_id))"
+
+
+def _last_site(v):
+    last = v.candidates().groupBy("aoi_id").agg(F.max("site_id").alias("site_id"), F.min("site_id").alias("lo"))
+    return last.where("site_id <> lo").select("aoi_id", "site_id")
+
+
+@query("lscp_forced", "with " + _cover_cte(f"10000 and {_SHUT}", seed="min(site_id)") + " select aoi_id, site_id, (aoi_id, site_id) in (select aoi_id, min(site_id) from candidates group by 1) as forced from final", DC, recursive=True)
+def lscp_forced(v):
+    """Cover with an area's first site open and its last one shut."""
+    pairs = cover.cover_pairs(v.demand(), v.candidates(), R, ["aoi_id"], value=F.lit(1.0))
+    return cover.set_cover(pairs, ["aoi_id"], must_open=_first_site(v), must_close=_last_site(v))
+
+
+@query("p_center_forced")
+def p_center_forced(v):
+    """Three sites, an area's first one among them and its last one not."""
+    return pcenter.p_center(v.demand(), v.candidates(), 3, must_open=_first_site(v), must_close=_last_site(v))
+
+
 def _step_cte(name: str, carry: str, start: str, gate: str, order: str, grow: str, filt: str = "true") -> str:
     """Recursive rounds over uncovered demand, one site per area and step."""
     return f"""{name}(aoi_id, step, chosen, {carry}, site_id, gain) as (select aoi_id, 0, cast([] as bigint[]), {start}, cast(-1 as bigint), 0e0 from candidates group by 1

@@ -105,6 +105,11 @@ def test_lscp_grid(spark):
     assert cover.packing_bound(wide).first().lower_bound == 1
     seeded = cover.greedy_cover(wide, seed=s.where("site_id = 0"))
     assert 0 in [r.site_id for r in seeded.collect()]
+    given, shut = s.where("site_id in (0, 2)"), s.where("site_id in (2, 4)")
+    forced = {r.site_id: r.forced for r in cover.set_cover(wide, must_open=given, must_close=shut).collect()}
+    assert forced[0] and forced[2] and 4 not in forced
+    met = wide.where(F.col("site_id").isin(*forced)).select("demand_id").distinct().count()
+    assert met == 9 and all(not f for i, f in forced.items() if i not in (0, 2))
     two = planar_pairs(d, s, 1.5, need=2.0)
     back = cover.drop_redundant(two, cover.greedy_cover(two))
     count = two.join(back, ["aoi_id", "site_id"]).groupBy("demand_id").count().agg(F.min("count"), F.count(F.lit(1))).first()

@@ -45,6 +45,26 @@ def test_search_against_enumeration(spark, weighted, given):
     assert best - 0.05 <= got.objective <= best * 1.25
 
 
+def test_forced_sites_against_enumeration(spark):
+    """Area A: one site forced, one shut, one both (so open); B: as many forced as p; C: none forced."""
+    d, s, dem, sit = area(spark, 9, 30, 9)
+    name = lambda df, a: df.withColumn("aoi_id", F.lit(a))
+    d3, s3 = (name(x, "A").unionByName(name(x, "B")).unionByName(name(x, "C")) for x in (d, s))
+    ids = "aoi_id string, site_id bigint"
+    opened = spark.createDataFrame([("A", 2), ("A", 5), ("B", 0), ("B", 1), ("B", 3)], ids)
+    shut = spark.createDataFrame([("A", 5), ("A", 7), ("B", 8), ("C", 0)], ids)
+    rows = {r.aoi_id: r for r in pcenter.p_center(d3, s3, 3, metric=geo.Planar, must_open=opened, must_close=shut).collect()}
+    force, close = {"A": {2, 5}, "B": {0, 1, 3}, "C": set()}, {"A": {7}, "B": {8}, "C": {0}}
+    assert sorted(rows) == ["A", "B", "C"]
+    for a, r in rows.items():
+        got = {int(x) for x in r.site_ids.split(",")}
+        assert force[a] <= got and not got & close[a] and len(got) <= 3
+        sets = [c for c in itertools.combinations([x for x in sit if x[1] not in close[a]], 3) if force[a] <= {x[1] for x in c}]
+        best = min(worst(dem, c, False) for c in sets)
+        assert r.objective == pytest.approx(worst(dem, [sit[i] for i in got], False), abs=0.05)
+        assert r.lower_bound <= best + 0.05 and best - 0.05 <= r.objective <= best * 1.25
+
+
 def test_own_reach_of_every_row(spark):
     rnd = random.Random(2)
     dem = [("A", i, 10 + rnd.uniform(0, 2), 50 + rnd.uniform(0, 2), rnd.choice([0.0, 0.5, 700.0, 9000.0, 150000.0])) for i in range(80)]
