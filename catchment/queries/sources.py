@@ -147,11 +147,21 @@ def latest_release(v):
     return readers.latest_release(p, ["p_brand"], ["href", "title"], None, "2026-04-15.0")
 
 
-@query("source_registry", "select s_suppkey, s_nationkey, s_acctbal from supplier")
+_PROVIDERS = datasource.Registry(
+    datasource.Provider("customers", "Customers on a grid of places", ("demand", "points"),
+                        {"place_id": "c_custkey", "name": "c_name", "lon": "cast(c_custkey % 360 as double) - 180", "lat": "cast(c_nationkey as double) * 3 - 40", "weight": "c_acctbal"}),
+    datasource.Provider("suppliers", "Suppliers by balance and nation", ("facilities", "points"),
+                        {"place_id": "s_suppkey", "name": "s_name", "lon": "s_acctbal / 100", "lat": "cast(s_nationkey as double) * 3 - 40"}),
+)
+
+
+@query("source_registry", """with p as (select 'customers' as provider, c_custkey as place_id, c_name as name, cast(c_custkey % 360 as double) - 180 as lon, cast(c_nationkey as double) * 3 - 40 as lat, cast(c_acctbal as double) as weight from customer
+ union all select 'suppliers', s_suppkey, s_name, cast(s_acctbal / 100 as double), cast(s_nationkey as double) * 3 - 40, null from supplier)
+ select provider, place_id, name, round(lon, 6) as lon, lat, weight from p where lon between -90 and 90 and lat between -30 and 30""")
 def source_registry(v):
-    datasource.register(v.spark, datasource.ParquetProvider)
-    reader = v.spark.read.format("catchment_provider").option("columns", "s_suppkey bigint, s_nationkey int, s_acctbal double")
-    return reader.load(f"{v.dir}/supplier.parquet")
+    """Places of two providers in a box, in one layout."""
+    got = _PROVIDERS.fetch_all(v.spark, {"customers": f"{v.dir}/customer.parquet", "suppliers": f"{v.dir}/supplier.parquet"}, (-90.0, -30.0, 90.0, 30.0))
+    return got.withColumn("lon", F.round("lon", 6))
 
 
 @query("road_edges", """select e.aoi_id, e.src, e.dst, e.length_m from road_edges e join road_nodes a on a.aoi_id=e.aoi_id and a.node_id=e.src join road_nodes b on b.aoi_id=e.aoi_id and b.node_id=e.dst
