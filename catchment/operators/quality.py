@@ -148,6 +148,58 @@ def scenario_findings(scenarios: DataFrame) -> DataFrame:
     return scenarios.select("scenario_id", F.explode(hit).alias("r")).select("scenario_id", F.col("r.need").alias("parameter"), F.col("r.action").alias("action"))
 
 
+# The variants of each model, and what a parameter may hold where it is read:
+# model, variants (all where empty), parameter, whether it must be given, test of its number x, what is asked.
+VARIANTS = {
+    "p-median": ("base", "capacitated", "budget", "max_distance"),
+    "p-center": ("vertex", "base", "weighted", "conditional"),
+    "mclp": ("classical", "base", "budget", "capacitated", "probabilistic", "multi_coverage", "backup"),
+    "lscp": ("base", "backup", "conditional", "probabilistic", "partial"),
+}
+VALUE_RULES = (
+    ("p-median", (), "n_facilities", True, "x >= 1 and x = floor(x)", "a whole number from 1"),
+    ("p-center", (), "n_facilities", True, "x >= 1 and x = floor(x)", "a whole number from 1"),
+    ("mclp", ("classical", "base", "probabilistic", "multi_coverage", "backup"), "n_facilities", True, "x >= 1 and x = floor(x)", "a whole number from 1"),
+    ("mclp", (), "service_radius", True, "x > 0", "more than 0"),
+    ("lscp", (), "service_radius", True, "x > 0", "more than 0"),
+    ("mclp", ("budget",), "budget", True, "x > 0", "more than 0"),
+    ("p-median", ("budget",), "budget", False, "x > 0", "more than 0"),
+    ("mclp", ("multi_coverage", "backup"), "k_coverage", False, "x >= 1 and x = floor(x)", "a whole number from 1"),
+    ("lscp", ("backup",), "k_coverage", False, "x >= 1 and x = floor(x)", "a whole number from 1"),
+    ("lscp", ("probabilistic",), "coverage_reliability", False, "x > 0 and x < 1", "between 0 and 1"),
+    ("lscp", ("partial",), "coverage_fraction", False, "x > 0 and x <= 1", "more than 0, at most 1"),
+)
+
+
+def scenario_value_faults(scenarios: DataFrame) -> DataFrame:
+    """(scenario_id, parameter, fault): a row for every unknown model or variant and every bad value.
+
+    ``scenarios`` has (scenario_id, problem, variant) and any of the parameters, as text or
+    number; a parameter it lacks is null.  A null variant is the model's first.  Faults:
+    missing, not a number, or what the value must be.  NaN and infinities are not numbers.
+    """
+    known = F.create_map(*[x for m, v in VARIANTS.items() for x in (F.lit(m), F.array(*map(F.lit, v)))])
+    allowed = F.try_element_at(known, F.col("problem"))
+    variant = F.coalesce("variant", F.get(allowed, 0))
+    found = [
+        F.when(F.col("problem").isNull() | allowed.isNull(), F.struct(F.lit("problem").alias("parameter"), F.lit("unknown").alias("fault"))),
+        F.when(allowed.isNotNull() & ~F.array_contains(allowed, variant), F.struct(F.lit("variant").alias("parameter"), F.lit("unknown").alias("fault"))),
+    ]
+    for model, variants, name, required, test, asked in VALUE_RULES:
+        read = (F.col("problem") == model) & (variant.isin(*variants) if variants else F.lit(True))
+        raw = F.trim(F.col(name).cast("string")) if name in scenarios.columns else F.lit(None).cast("string")
+        x = raw.try_cast("double")
+        ok = F.expr(f"transform(array(try_cast(trim(cast(`{name}` as string)) as double)), x -> {test})[0]") if name in scenarios.columns else F.lit(None).cast("boolean")
+        whole = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+        fault = F.when(raw.isNull(), F.lit("missing") if required else F.lit(None)).when(~whole, F.lit("not a number")).when(~ok, F.lit(f"must be {asked}"))
+        found.append(F.when(read & fault.isNotNull(), F.struct(F.lit(name).alias("parameter"), fault.alias("fault"))))
+    either = [F.col(c).isNull() if c in scenarios.columns else F.lit(True) for c in ("n_facilities", "budget")]
+    none = (F.col("problem") == "mclp") & (variant == "capacitated") & either[0] & either[1]
+    found.append(F.when(none, F.struct(F.lit("n_facilities").alias("parameter"), F.lit("missing, and no budget").alias("fault"))))
+    rows = scenarios.select("scenario_id", F.explode(F.filter(F.array(*found), lambda r: r.isNotNull())).alias("r"))
+    return rows.select("scenario_id", "r.parameter", "r.fault")
+
+
 def scenario_normalise(s: DataFrame) -> DataFrame:
     """Synonyms folded, variant tidied and dropped when its parameter is missing."""
     v = F.regexp_replace(F.lower(F.trim("variant")), "-", "_")

@@ -221,6 +221,33 @@ def scenario_validation(v):
     return quality.scenario_findings(n)
 
 
+_VALUES = ["o_orderkey as scenario_id", "case o_orderkey%5 when 0 then 'p-median' when 1 then 'p-center' when 2 then 'mclp' when 3 then 'lscp' when 4 then 'mclp' end as problem",
+           "case o_custkey%9 when 0 then 'budget' when 1 then 'capacitated' when 2 then 'backup' when 3 then 'partial' when 4 then 'probabilistic' when 5 then 'conditional' when 6 then 'absolute' when 7 then 'multi_coverage' end as variant",
+           "case o_custkey%4 when 0 then '3' when 1 then '2.5' when 2 then 'many' end as n_facilities", "case o_custkey%3 when 0 then o_totalprice when 1 then 0e0 end as service_radius",
+           "case o_custkey%2 when 0 then o_totalprice-100000e0 end as budget", "case o_custkey%6 when 0 then 2 when 1 then 0 end as k_coverage",
+           "case o_custkey%5 when 0 then 0.9e0 when 1 then 1e0 end as coverage_reliability", "case o_custkey%7 when 0 then 1e0 when 1 then 1.5e0 end as coverage_fraction"]
+
+
+def _value_sql() -> str:
+    """One branch a rule, over the scenarios with their variant filled in."""
+    firsts = " ".join(f"when '{m}' then '{v[0]}'" for m, v in quality.VARIANTS.items())
+    kinds = " or ".join(f"(problem='{m}' and v in {v})" for m, v in quality.VARIANTS.items())
+    parts = [f"select scenario_id, 'variant' as parameter, 'unknown' as fault from s where not ({kinds})",
+             "select scenario_id, 'n_facilities', 'missing, and no budget' from s where problem='mclp' and v='capacitated' and n_facilities is null and budget is null"]
+    for model, variants, name, required, test, asked in quality.VALUE_RULES:
+        read = f"problem='{model}'" + (f" and v in ({', '.join(repr(x) for x in variants)})" if variants else "")
+        x = f"(select scenario_id, {name} as raw, try_cast({name} as double) as x from s where {read})"
+        missing = "true" if required else "false"
+        parts.append(f"select scenario_id, '{name}', case when raw is null then 'missing' when x is null then 'not a number' else 'must be {asked}' end from {x} where (raw is null and {missing}) or (raw is not null and (x is null or not ({test})))")
+    return f"with t as (select {', '.join(_VALUES)} from orders), s as (select *, coalesce(variant, case problem {firsts} end) as v from t) " + " union all ".join(parts)
+
+
+@query("scenario_values", _value_sql())
+def scenario_values(v):
+    """Every bad value of the scenarios, whichever model reads it."""
+    return quality.scenario_value_faults(v.table("orders").selectExpr(*_VALUES))
+
+
 @query("scenario_normalise", f"""with s as (select {', '.join(_SCN)} from orders), n as (select scenario_id, problem, coalesce(service_radius, service_distance, distance_threshold) as service_radius, coalesce(k_coverage, k) as k_coverage, coalesce(facility_reliability, reliability) as facility_reliability, budget, replace(lower(trim(variant)),'-','_') as v from s)
  select scenario_id, problem, service_radius, k_coverage, facility_reliability, budget, case when v is null or (v='budget' and budget is null) or (v in ('multi_coverage','backup') and k_coverage is null) then case when problem='mclp' then 'classical' else 'base' end else v end as variant from n""")
 def scenario_normalise(v):
