@@ -58,3 +58,45 @@ def test_p_median_screening_keeps_the_best_and_little_else(area, monkeypatch):
             for p in mine:
                 d1[k, p[1]] = min(d1[k, p[1]], _hav(p[2:4], (at[k].lon, at[k].lat)))
         st.add(pick)
+
+
+def _recorded(monkeypatch, module):
+    """(label, table) of everything the module stores."""
+    seen, store = [], module.table
+    monkeypatch.setattr(module, "table", lambda df, label: seen.append((label, store(df, label))) or seen[-1][1])
+    return seen
+
+
+def test_probe_stores_no_pair_once_a_radius(spark, monkeypatch):
+    from catchment.location import pcenter
+
+    r = random.Random(5)
+    at = [(r.random(), r.random()) for _ in range(90)]
+    score = {(d, s): round(1000 * math.dist(at[d], at[60 + s]), 3) for d in range(60) for s in range(30)}
+    radii = [float(x) for x in range(460, 1100, 9)]  # more than one part of bits
+    pairs = spark.createDataFrame([("a", d, s, v, float("inf")) for (d, s), v in score.items()], "aoi_id string, demand_id bigint, site_id bigint, score double, own double")
+    seen = _recorded(monkeypatch, pcenter)
+    got = pcenter.p_center_probe(pairs, spark.createDataFrame([("a", x) for x in radii], "aoi_id string, r double"), 3).collect()
+    want = set()
+    for x in radii:
+        left, picks = set(range(60)), []
+        while left and len(picks) < 4:
+            gain = {s: sum(score[d, s] <= x for d in left) for s in range(30)}
+            best = min(gain, key=lambda s: (-gain[s], s))
+            picks.append(best)
+            left -= {d for d in left if score[d, best] <= x}
+        if not left and len(picks) <= 3:
+            want |= {(x, s) for s in picks}
+    assert want and {(g.r, g.site_id) for g in got} == want
+    assert max(t.count() for _, t in seen) <= len(score)
+
+
+def test_sets_are_judged_in_several_tasks(area, monkeypatch):
+    from catchment.location import genetic
+
+    _, _, d, s = area
+    seen = _recorded(monkeypatch, genetic)
+    monkeypatch.setattr(genetic, "release", lambda *t: None)
+    genetic.evolve(d, s, "mclp", 3, 10000.0, population=6, generations=1)
+    (spots,) = [t for label, t in seen if label == "spots"]
+    assert spots.rdd.getNumPartitions() > 1
