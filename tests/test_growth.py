@@ -30,9 +30,10 @@ def area(spark):
     return demand, sites, d, s
 
 
-def test_max_distance_screens_with_open_sites(area):
+def test_max_distance_screens_with_open_sites(area, monkeypatch):
     """More free sites than are costed outright, next to sites that the limit opens."""
-    demand, _, d, s = area
+    monkeypatch.setattr(pmedian, "EXACT_PAIRS", 0, raising=False)
+    _, _, d, s = area
     got = pmedian.p_median_max_distance(d, s, 8, 30000.0).collect()
     assert {r.status for r in got} == {"feasible"}
     assert all(sum(r.aoi_id == k for r in got) == 8 for k in ("a", "b"))
@@ -42,6 +43,7 @@ def test_p_median_screening_keeps_the_best_and_little_else(area, monkeypatch):
     demand, sites, d, s = area
     monkeypatch.setattr(pmedian, "LAST_SIDE", pmedian.FIRST_SIDE)
     monkeypatch.setattr(pmedian, "FEW", 4)
+    monkeypatch.setattr(pmedian, "EXACT_PAIRS", 0, raising=False)
     st = pmedian.GreedyState(d, s, ["aoi_id"])
     d1 = {(p[0], p[1]): pmedian.FAR_M for p in demand}
     for _ in range(2):
@@ -91,6 +93,12 @@ def test_probe_stores_no_pair_once_a_radius(spark, monkeypatch):
     assert max(t.count() for _, t in seen) <= len(score)
 
 
+def test_small_work_is_costed_outright(area):
+    _, _, d, s = area
+    st = pmedian.GreedyState(d, s, ["aoi_id"])
+    assert st.survivors(st.remaining()).count() == 600
+
+
 def test_sets_are_judged_in_several_tasks(area, monkeypatch):
     from catchment.location import genetic
 
