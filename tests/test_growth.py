@@ -93,6 +93,16 @@ def test_probe_stores_no_pair_once_a_radius(spark, monkeypatch):
     assert max(t.count() for _, t in seen) <= len(score)
 
 
+def test_p_center_without_a_radius_to_probe(spark):
+    """Farthest-first meets the bound, so no score lies between."""
+    from catchment.location import pcenter
+
+    d = spark.createDataFrame([("a", i, float(i), 0.0, 1.0) for i in range(2)], "aoi_id string, demand_id bigint, lon double, lat double, weight double")
+    s = spark.createDataFrame([("a", i, float(i), 0.0) for i in range(2)], "aoi_id string, site_id bigint, lon double, lat double")
+    (row,) = pcenter.p_center(d, s, 2).collect()
+    assert (row.objective, row.lower_bound, row.site_ids) == (0.0, 0.0, "0,1")
+
+
 def test_small_work_is_costed_outright(area):
     _, _, d, s = area
     st = pmedian.GreedyState(d, s, ["aoi_id"])
