@@ -43,5 +43,6 @@ def register(spark: SparkSession) -> None:
     """Make all functions known to the session, in place of earlier ones of these names."""
     for name, (params, kind, body) in FUNCTIONS.items():
         spark.sql(f"create or replace temporary function {name}({params}) returns {kind} return {body}")
-    edges = F.udtf(WkbToEdges, returnType="ring_no int, seq int, x1 double, y1 double, x2 double, y2 double", useArrow=True)
+    # a lateral join calls it once a row, and an Arrow batch for each row costs far more than the row
+    edges = F.udtf(WkbToEdges, returnType="ring_no int, seq int, x1 double, y1 double, x2 double, y2 double", useArrow=False)
     spark.udtf.register("wkb_to_edges", edges)

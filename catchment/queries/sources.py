@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import sql
+from ..location.common import spread
 from ..session import materialize, new_path
 from ..sources import datasource, readers, wkb
 from .registry import query
@@ -47,7 +48,7 @@ def wkb_to_edges(v):
     ring = v.boundary_edges().groupBy("aoi_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("p")))).alias("r"))
     ring = ring.select("aoi_id", F.transform("r", lambda s: s["p"]).alias("r")).select("aoi_id", wkb.ring_wkb(F.concat("r", F.slice("r", 1, 1))).alias("wkb"))
     pts = v.demand().select(F.concat_ws(":", "aoi_id", F.col("demand_id").cast("string")).alias("aoi_id"), wkb.point_wkb("lon", "lat").alias("wkb"))
-    return v.spark.sql("select g.aoi_id, e.* from {g} g, lateral wkb_to_edges(g.wkb) e", g=materialize(ring.unionByName(pts), "geometries"))
+    return v.spark.sql("select g.aoi_id, e.* from {g} g, lateral wkb_to_edges(g.wkb) e", g=spread(ring.unionByName(pts), "aoi_id"))
 
 
 _PX, _PY = "cast(c_custkey%160 as double)", "cast(c_custkey%80 as double)"
