@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.coverage import beside, pairs_within, peaks, rows_in_reach
+from ..operators.coverage import beside, pairs_within, peaks, rim_cells, rows_in_reach
 from ..session import release
 from .common import GAIN_DIGITS, best_site, coverage, demand_spots, table
 from .reach import EPS, Reach, ReachGains
@@ -224,6 +224,52 @@ def greedy_budget(pairs: Relation, costs: DataFrame, budget: float, keys: Sequen
     return steps.join(use_single.select(*k), k, "left_anti").unionByName(solo)
 
 
+def _held(left: DataFrame, sites: DataFrame, radius_m: float, k: list[str]) -> DataFrame:
+    """(keys, site_id, demand_id, weight): what each site serves, its closest demand while it fits."""
+    from ..operators.running import running_totals
+
+    pairs = pairs_within(left, sites, radius_m, k).select(*k, "demand_id", "site_id", "weight", "capacity", "dist_m")
+    run = running_totals(table(pairs, "reached"), [*k, "site_id"], "dist_m", ["weight"], tie=["demand_id"])
+    return run.where(F.round("cum_weight", 6) <= F.round("capacity", 6)).select(*k, "site_id", "demand_id", "weight")
+
+
+def _best_held(left: DataFrame, sites: DataFrame, radius_m: float, k: list[str], fine: int) -> DataFrame:
+    """(keys, site_id) of the site that serves most within its capacity.
+
+    A site that holds all it reaches serves just that; one that does not fills up to less
+    than one demand.  Only of the latter kind, and where they may still be the best, are
+    pairs looked at one by one, ``PAIRS_AT_ONCE`` or about as many at a time.
+    """
+    at = sites.select(*k, "site_id", "lon", "lat", F.lit(float(radius_m)).alias("reach"))
+    points = left.select(*k, "lon", "lat", "weight", F.lit(1).cast("bigint").alias("n"))
+    reached = rows_in_reach(points, at, "reach", radius_m, k, [], ["weight", "n"], fine)
+    reached = reached.groupBy(*k, "site_id").agg(F.sum("weight").alias("w"), F.sum("n").alias("n"))
+    room = sites.groupBy(*k, "site_id").agg(F.min("capacity").alias("lo"), F.max("capacity").alias("hi"))
+    odd = F.count(F.when(F.col("weight").isNull() | (F.col("weight") < 0), 1))
+    most = left.groupBy(*k).agg(F.max("weight").alias("most"), odd.alias("odd"))
+    b = reached.join(room.where("lo is not null"), [*k, "site_id"]).join(most, k)
+    # sums of doubles differ in their last bits
+    slack = F.abs("w") * 1e-9 + 1e-3
+    sure = (F.col("odd") == 0) & (F.col("lo") == F.col("hi"))
+    whole = sure & (F.col("w") + slack <= F.col("lo"))
+    most_of = F.when(whole, F.round("w", GAIN_DIGITS)).when(sure, F.least("w", "lo") + slack).otherwise(F.lit(float("inf")))
+    least_of = F.when(whole, F.round("w", GAIN_DIGITS)).when(sure, F.col("lo") - F.col("most") - slack).otherwise(F.lit(float("-inf")))
+    b = table(b.select(*k, "site_id", "n", F.coalesce(whole, F.lit(False)).alias("whole"), least_of.alias("least"), most_of.alias("upmost")), "bounds")
+    cut = b.groupBy(*k).agg(F.max("least").alias("cut"))
+    may = table(b.join(cut, k).where(F.col("upmost") >= F.col("cut")), "may")
+    gains = may.where("whole").select(*k, "site_id", F.col("least").alias("gain"))
+    n = may.where("not whole").agg(F.sum("n")).first()[0] or 0
+    parts = -(-n // PAIRS_AT_ONCE)
+    for i in range(parts):
+        best = gains.groupBy(*k).agg(F.max("gain").alias("_best"))
+        todo = may.where(~F.col("whole") & (F.pmod(F.xxhash64("site_id"), F.lit(parts)) == i)).join(best, k, "left")
+        todo = table(todo.where(F.col("_best").isNull() | (F.col("upmost") >= F.col("_best"))).select(*k, "site_id"), "todo")
+        held = _held(left, sites.join(todo, [*k, "site_id"], "left_semi"), radius_m, k)
+        judged = held.groupBy(*k, "site_id").agg(F.round(F.sum("weight"), GAIN_DIGITS).alias("gain"))
+        gains = table(gains.unionByName(judged), "gains")
+    return table(best_site(gains, k).select(*k, "site_id"), "pick")
+
+
 def greedy_capacity(
     demand: DataFrame, sites: DataFrame, radius_m: float, p: int, keys: Sequence[str] = ("aoi_id",), capacity: bool = True
 ) -> DataFrame:
@@ -232,37 +278,29 @@ def greedy_capacity(
     Returns assignments (keys, step, site_id, demand_id, weight).  Without a
     capacity column every site gets total weight / p.
     """
-    from ..operators.coverage import pairs_within
-    from ..operators.running import running_totals
-
     k = list(keys)
     s = sites
     if not capacity:
         avg = demand.groupBy(*k).agg((F.sum("weight") / F.lit(float(max(p, 1)))).alias("capacity"))
         s = sites.drop("capacity").join(avg, k)
-    pairs = pairs_within(
-        demand.select(*k, "demand_id", "lon", "lat", "weight"), s.select(*k, "site_id", "lon", "lat", "capacity"), radius_m, k
-    ).select(*k, "demand_id", "site_id", "weight", "capacity", "dist_m")
-    pairs = table(pairs, "pairs")
+    left = table(demand.select(*k, "demand_id", "lon", "lat", "weight"), "left")
+    s = table(s.select(*k, "site_id", "lon", "lat", "capacity"), "sites")
+    fine = rim_cells(left, radius_m, k)
     out = None
     for step in range(1, p + 1):
-        run = running_totals(pairs, [*k, "site_id"], "dist_m", ["weight"], tie=["demand_id"])
-        fits = table(run.where(F.round("cum_weight", 6) <= F.round("capacity", 6)), "fits")
-        gains = fits.groupBy(*k, "site_id").agg(F.round(F.sum("weight"), GAIN_DIGITS).alias("gain"))
-        pick = table(best_site(gains, k), "pick")
+        pick = _best_held(left, s, radius_m, k, fine)
         if pick.isEmpty():
             break
-        got = table(
-            fits.join(pick.select(*k, "site_id"), [*k, "site_id"]).select(*k, F.lit(step).alias("step"), "site_id", "demand_id", "weight"), "served"
-        )
+        held = _held(left, s.join(pick, [*k, "site_id"], "left_semi"), radius_m, k)
+        got = table(held.select(*k, F.lit(step).alias("step"), "site_id", "demand_id", "weight"), "served")
         out = got if out is None else out.unionByName(got)
         if step < p:
-            pairs = table(
-                pairs.join(got.select(*k, "demand_id"), [*k, "demand_id"], "left_anti").join(pick.select(*k, "site_id"), [*k, "site_id"], "left_anti"),
-                "pairs",
-            )
+            rest = table(left.join(got.select(*k, "demand_id"), [*k, "demand_id"], "left_anti"), "left")
+            more = table(s.join(pick, [*k, "site_id"], "left_anti"), "sites")
+            release(left, s)
+            left, s = rest, more
     if out is None:
-        return _none(pairs, k, step="int", site_id="bigint", demand_id="bigint", weight="double")
+        return _none(s, k, step="int", site_id="bigint", demand_id="bigint", weight="double")
     return out
 
 
