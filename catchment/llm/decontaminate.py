@@ -19,6 +19,7 @@ Characters are words in scripts that put no spaces between words.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -69,6 +70,8 @@ _ENDS, _BREAKS, _OPENING, _NUMBER_WORD = 1, 2, 4, 8
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|%|°)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+# what _EDGE takes off a word of ASCII
+_SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 # Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han, with the marks that follow a letter; Hangul is written with spaces.
 _UNSPACED = "\u0e01-\u0e30\u0e32-\u0e33\u0e40-\u0e46\u0e81-\u0eb0\u0eb2-\u0eb3\u0ec0-\u0ec6\u0f40-\u0f6c\u1000-\u102a\u1780-\u17b3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _MARKS = "\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ece\u0f71-\u0f84\u0f90-\u0fbc\u102b-\u103e\u17b4-\u17d3\u3099\u309a"
@@ -76,6 +79,17 @@ _LETTER = re.compile(f"[{_UNSPACED}][{_MARKS}]*")
 _PIECES = re.compile(f"[{_UNSPACED}][{_MARKS}]*|[^{_UNSPACED}]+")
 
 
+class _Made(dict):
+    """Entries by raw word, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        return self.make(raw)
+
+
 class Words:
     """Raw words -> numbers of entries; an entry is a template word with its value."""
 
@@ -83,10 +97,8 @@ class Words:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, tuple[int, ...]] = {}
-        self.hash: list[int] = []
-        self.kind: list[int] = []
-        self.flags: list[int] = []
+        self.number = _Made(self.entries)
+        self.hash, self.kind, self.flags = array("Q"), array("b"), array("b")
 
     def _entry(self, literal: str, kind: int, flags: int) -> int:
         self.hash.append(xxhash.xxh3_64_intdigest(literal))
@@ -95,33 +107,39 @@ class Words:
         return len(self.hash) - 1
 
     def entries(self, raw: str) -> tuple[int, ...]:
-        found = self.number.get(raw)
-        if found is None and not raw.isascii() and _LETTER.search(raw):
+        """Numbers of the entries of a raw word not seen before."""
+        plain = raw.isascii()
+        if not plain and _LETTER.search(raw):
             found = self.number[raw] = tuple(chain.from_iterable(self.pieces(x) for x in _PIECES.findall(raw)))
-        elif found is None:
+            return found
+        if raw.isalpha():
+            flags, word = 0, raw
+        else:
             ends = raw[-1] == "\x1f" or raw.rstrip("\"')]}\x1f")[-1:] in (".", "!", "?", ":")
             flags = _ENDS * ends | _BREAKS * (ends or raw[-1] in ",;)]}")
-            word = _EDGE.sub("", raw)
-            low = word.lower()
-            both = _NUMBER_UNIT.fullmatch(low)
-            if not word:
-                found = ()
-            elif _NUMBER.fullmatch(low):
-                found = (self._entry(low, NUMBER, flags),)
-            elif NUMBER_WORDS.issuperset(low.split("-")):
-                found = (self._entry(low, NUMBER, flags | _NUMBER_WORD),)
-            elif both and (both[2] in UNITS or both[2] in "%°"):
-                found = (self._entry(both[1], NUMBER, 0), self._entry(both[2], UNIT, flags))
-            else:
-                kind = UNIT if low in UNITS else NAME if word[0].isupper() and not word.isupper() else LITERAL
-                found = (self._entry(low, kind, flags | _OPENING * (low in OPENING_WORDS)),)
-            self.number[raw] = found
+            word = raw.strip(_SIGNS) if plain else _EDGE.sub("", raw)
+        low = word.lower()
+        # a number begins with a digit, as signs are gone
+        digit = low[:1].isdecimal()
+        both = digit and _NUMBER_UNIT.fullmatch(low)
+        if not word:
+            found = ()
+        elif digit and _NUMBER.fullmatch(low):
+            found = (self._entry(low, NUMBER, flags),)
+        elif low in NUMBER_WORDS or "-" in low and NUMBER_WORDS.issuperset(low.split("-")):
+            found = (self._entry(low, NUMBER, flags | _NUMBER_WORD),)
+        elif both and (both[2] in UNITS or both[2] in "%°"):
+            found = (self._entry(both[1], NUMBER, 0), self._entry(both[2], UNIT, flags))
+        else:
+            kind = UNIT if low in UNITS else NAME if word[0].isupper() and not word.isupper() else LITERAL
+            found = (self._entry(low, kind, flags | _OPENING if low in OPENING_WORDS else flags),)
+        self.number[raw] = found
         return found
 
     def pieces(self, piece: str) -> tuple[int, ...]:
         """Entries of a part of a raw word: a letter of an unspaced script, or what stands between such."""
         if not _LETTER.match(piece):
-            return self.entries(piece)
+            return self.number[piece]
         found = self.number.get(piece)
         if found is None:
             found = self.number[piece] = (self._entry(piece, LITERAL, 0),)
@@ -152,14 +170,22 @@ def templates(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.
     w = _WORDS
     if len(w.number) > _WORDS_KEPT:
         w.reset()
-    rows, counts, get, make = [], [], w.number.get, w.entries
-    for t in texts:
-        found = list(chain.from_iterable(get(r) or make(r) for r in (t or "").replace("\n", "\x1f\n").split()))
-        rows.append(found)
-        counts.append(len(found))
-    at = np.fromiter(chain.from_iterable(rows), np.int64, sum(counts))
-    kind, flags = np.array(w.kind, np.int8)[at], np.array(w.flags, np.int8)[at]
-    value = np.array(w.hash, np.uint64)[at]
+    rows = [(t or "").replace("\n", "\x1f\n").split() for t in texts]
+    raw = pa.array(list(chain.from_iterable(rows)), pa.large_string()).dictionary_encode()
+    # each kind of raw word is looked up once; a word may have no entry or several
+    found = list(map(w.number.__getitem__, raw.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    entry = np.fromiter(chain.from_iterable(found), np.int64, size.sum())
+    word = raw.indices.to_numpy()
+    each, begin = size[word], (np.cumsum(size) - size)[word]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    at = entry[np.repeat(begin - upto[:-1], each) + np.arange(upto[-1])]
+    counts = np.diff(upto[np.cumsum([0, *map(len, rows)])])
+    if not len(at):  # an array of no entries has no buffer
+        none = at, at.astype(np.int8), at.astype(np.uint64)
+        return [none, none, none]
+    kind, flags = np.frombuffer(w.kind, np.int8)[at], np.frombuffer(w.flags, np.int8)[at]
+    value = np.frombuffer(w.hash, np.uint64)[at]
     text = np.repeat(np.arange(len(texts)), counts)
     first = np.ones(len(at), bool)  # of a sentence
     first[1:] = (text[1:] != text[:-1]) | (flags[:-1] & _ENDS > 0)

@@ -1,5 +1,6 @@
 import re
 
+from catchment.llm import decontaminate as D
 from catchment.llm.decontaminate import find_leaks
 
 SF = "/root/testdata/sf0.01"
@@ -52,3 +53,41 @@ def test_opening_names_runs_and_shifts(spark):
     got = {(r.doc_id, r.item_id): (r.share, r.verbatim) for r in find_leaks(*frames).collect()}
     assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)}, got
     assert got[1, 1] == (1.0, False) and got[2, 2] == (1.0, False) and got[3, 3] == (1.0, True)
+
+
+def _plain_entry(raw):
+    """(word, kind, ends, breaks) of a raw word as plain expressions say it; none for signs alone."""
+    word = D._EDGE.sub("", raw)
+    low, ends = word.lower(), raw.rstrip("\"')]}")[-1:] in (".", "!", "?", ":")
+    both = D._NUMBER_UNIT.fullmatch(low)
+    if not word:
+        return []
+    if D._NUMBER.fullmatch(low) or D.NUMBER_WORDS.issuperset(low.split("-")):
+        return [(low, D.NUMBER)], ends, ends or raw[-1] in ",;)]}"
+    if both and (both[2] in D.UNITS or both[2] in "%°"):
+        return [(both[1], D.NUMBER), (both[2], D.UNIT)], ends, ends or raw[-1] in ",;)]}"
+    kind = D.UNIT if low in D.UNITS else D.NAME if word[0].isupper() and not word.isupper() else D.LITERAL
+    return [(low, kind)], ends, ends or raw[-1] in ",;)]}"
+
+
+def test_raw_words_are_read_once_and_as_the_expressions_say(monkeypatch):
+    import random
+
+    import xxhash
+
+    r = random.Random(4)
+    raw = ["".join(r.choice("abKm.,-'_(%\"9²5é°ÅΔ!") for _ in range(r.randint(1, 6))) for _ in range(4000)] + ["Twenty-one", "KM.", "5km,", "-3%", "--", "...", "half;"]
+    words, made, entries = D.Words(), [], D.Words.entries
+    monkeypatch.setattr(D, "_WORDS", words)
+    monkeypatch.setattr(D.Words, "entries", lambda self, w: made.append(w) or entries(self, w))
+    words.reset()
+    text, _, value = D.templates([" ".join(raw), None, "-- ... " * 50 + " ".join(raw)])[D.PLAIN]
+    assert sorted(made) == sorted(set(raw))
+    want = []
+    for w in raw:
+        plain, got = _plain_entry(w), words.number[w]
+        assert [words.kind[i] for i in got] == [k for _, k in (plain[0] if plain else [])], w
+        want += [xxhash.xxh3_64_intdigest(low) for low, _ in (plain[0] if plain else [])]
+        if plain:
+            assert (bool(words.flags[got[-1]] & D._ENDS), bool(words.flags[got[-1]] & D._BREAKS)) == plain[1:], w
+    assert value[text == 0].tolist() == value[text == 2].tolist() == want and not (text == 1).any()
