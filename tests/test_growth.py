@@ -69,6 +69,22 @@ def _recorded(monkeypatch, module):
     return seen
 
 
+def test_p_median_shapes_cells_once_a_side_and_measures_a_pair_once(area, monkeypatch):
+    """Cells keep centre and moments from round to round; both ends of a cost share one distance."""
+    _, _, d, s = area
+    monkeypatch.setattr(pmedian, "LAST_SIDE", pmedian.FIRST_SIDE)
+    monkeypatch.setattr(pmedian, "FEW", 4)
+    monkeypatch.setattr(pmedian, "EXACT_PAIRS", 0)
+    want = pmedian.p_median_greedy(d, s, 3).orderBy("aoi_id", "step").collect()
+    seen, plans = _recorded(monkeypatch, pmedian), []
+    inner = pmedian.table
+    monkeypatch.setattr(pmedian, "table", lambda df, label: (label == "ends" and plans.append(df._jdf.queryExecution().optimizedPlan().toString())) or inner(df, label))
+    assert pmedian.p_median_greedy(d, s, 3).orderBy("aoi_id", "step").collect() == want
+    labels = [n for n, _ in seen]
+    assert labels.count("ends") == 3 and labels.count("cells") == 1 and labels.count("sites") == 1
+    assert plans and all(p.count("ASIN(") == 1 for p in plans)
+
+
 def test_probe_stores_no_pair_once_a_radius(spark, monkeypatch):
     from catchment.location import pcenter
 
