@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.coverage import beside, pairs_within, peaks, rim_cells, rows_in_reach
 from ..session import release
-from .common import GAIN_DIGITS, best_site, coverage, demand_spots, table
+from .common import GAIN_DIGITS, best_site, coverage, demand_spots, sorted_in, table
 from .reach import EPS, Reach, ReachGains
 
 #: Pairs that still matter are written once there are no more of them than this.
@@ -98,7 +98,7 @@ def open_sites(pairs: DataFrame, picks: DataFrame, keys: Sequence[str]) -> DataF
     k = list(keys)
     chosen = picks.select(*k, "site_id")
     given = pairs.join(chosen, [*k, "site_id"]).groupBy(*k, "demand_id").agg(F.sum("coef").alias("_given"))
-    rest = pairs.join(chosen, [*k, "site_id"], "left_anti").join(given, [*k, "demand_id"], "left")
+    rest = pairs.join(chosen, [*k, "site_id"], "left_anti").join(sorted_in(given), [*k, "demand_id"], "left")
     rest = rest.withColumn("need", F.col("need") - F.coalesce("_given", F.lit(0.0))).drop("_given")
     return table(rest.where(F.col("need") > EPS), "pairs")
 
@@ -137,10 +137,10 @@ class Gains:
         k = self.keys
         picks = picks.select(*k, "site_id").distinct()
         given = self.pairs.join(picks, [*k, "site_id"], "left_semi").groupBy(*k, "demand_id").agg(F.sum("coef").alias("_given"))
-        hit = table(given.join(self.needs.where(F.col("need") > EPS), [*k, "demand_id"]).withColumn("_left", F.col("need") - F.col("_given")).drop("_given"), "hit")
-        change = self.pairs.drop("need").join(hit, [*k, "demand_id"]).groupBy(*k, "site_id").agg(F.sum(self._of("_left") - self._of("need")).alias("_d"))
+        hit = table(given.join(sorted_in(self.needs.where(F.col("need") > EPS)), [*k, "demand_id"]).withColumn("_left", F.col("need") - F.col("_given")).drop("_given"), "hit")
+        change = self.pairs.drop("need").join(sorted_in(hit), [*k, "demand_id"]).groupBy(*k, "site_id").agg(F.sum(self._of("_left") - self._of("need")).alias("_d"))
         gains = self.table.join(picks, [*k, "site_id"], "left_anti").join(change, [*k, "site_id"], "left")
-        needs = self.needs.join(hit.select(*k, "demand_id", "_left"), [*k, "demand_id"], "left")
+        needs = self.needs.join(sorted_in(hit.select(*k, "demand_id", "_left")), [*k, "demand_id"], "left")
         old = self.table, self.needs
         self.table = table(gains.select(*k, "site_id", (F.col("gain") + F.coalesce("_d", F.lit(0.0))).alias("gain")), "gains")
         self.needs = table(needs.select(*k, "demand_id", F.coalesce("_left", "need").alias("need")), "needs")
@@ -295,7 +295,7 @@ def greedy_capacity(
         got = table(held.select(*k, F.lit(step).alias("step"), "site_id", "demand_id", "weight"), "served")
         out = got if out is None else out.unionByName(got)
         if step < p:
-            rest = table(left.join(got.select(*k, "demand_id"), [*k, "demand_id"], "left_anti"), "left")
+            rest = table(left.join(sorted_in(got.select(*k, "demand_id")), [*k, "demand_id"], "left_anti"), "left")
             more = table(s.join(pick, [*k, "site_id"], "left_anti"), "sites")
             release(left, s)
             left, s = rest, more
@@ -333,9 +333,9 @@ def local_winners(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     k = list(keys)
     score = pairs.groupBy(*k, "site_id").agg(_score().alias("gain"))
     rank = F.struct("gain", (-F.col("site_id")).alias("i"))
-    scored = pairs.select(*k, "demand_id", "site_id").join(score, [*k, "site_id"]).withColumn("_r", rank)
+    scored = pairs.select(*k, "demand_id", "site_id").join(sorted_in(score), [*k, "site_id"]).withColumn("_r", rank)
     top = scored.groupBy(*k, "demand_id").agg(F.max("_r").alias("_top"))
-    judged = scored.join(top, [*k, "demand_id"]).groupBy(*k, "site_id").agg(
+    judged = scored.join(sorted_in(top), [*k, "demand_id"]).groupBy(*k, "site_id").agg(
         F.min((F.col("_r") == F.col("_top")).cast("int")).alias("_win"), F.max("gain").alias("gain")
     )
     return judged.where("_win = 1").drop("_win")
@@ -390,14 +390,14 @@ def drop_redundant(pairs: Relation, cover: DataFrame, keys: Sequence[str] = ("ao
     cur = table(_of_sites(pairs, cov, k), "active")
     while True:  # a round closes a site, so it ends
         tot = cur.groupBy(*k, "demand_id").agg(F.sum("coef").alias("_tot"))
-        spare = cur.join(tot, [*k, "demand_id"]).withColumn("_ok", (F.col("_tot") - F.col("coef") >= F.col("need") - EPS).cast("int"))
+        spare = cur.join(sorted_in(tot), [*k, "demand_id"]).withColumn("_ok", (F.col("_tot") - F.col("coef") >= F.col("need") - EPS).cast("int"))
         idle = spare.groupBy(*k, "site_id").agg(F.min("_ok").alias("_ok"), F.count(F.lit(1)).alias("_n")).where("_ok = 1")
         if keep is not None:
             idle = idle.join(keep.select(*k, "site_id"), [*k, "site_id"], "left_anti")
         r = F.struct((-F.col("_n")).alias("a"), F.col("site_id").alias("b"))
-        ranked = cur.select(*k, "demand_id", "site_id").join(idle, [*k, "site_id"]).withColumn("_r", r)
+        ranked = cur.select(*k, "demand_id", "site_id").join(sorted_in(idle), [*k, "site_id"]).withColumn("_r", r)
         top = ranked.groupBy(*k, "demand_id").agg(F.max("_r").alias("_top"))
-        gone = ranked.join(top, [*k, "demand_id"]).groupBy(*k, "site_id").agg(
+        gone = ranked.join(sorted_in(top), [*k, "demand_id"]).groupBy(*k, "site_id").agg(
             F.min((F.col("_r") == F.col("_top")).cast("int")).alias("_win")
         ).where("_win = 1").select(*k, "site_id")
         gone = table(gone, "gone")
@@ -441,7 +441,7 @@ def _pack_near(reach: Reach, k: Sequence[str]) -> tuple[DataFrame | None, DataFr
     spots = reach.spots.select(*name, "lon", "lat", F.lit(reach.widest).alias("reach"))
     rows = rows_in_reach(copies, spots, "reach", reach.widest, k, [], ["count"], reach.fine)
     deg = rows.groupBy(*name).agg(F.sum("count").alias("_deg"))
-    cur = table(spots.drop("reach").join(deg, name), "packing")
+    cur = table(spots.drop("reach").join(sorted_in(deg), name), "packing")
     while (cur.agg(F.sum("_deg")).first()[0] or 0) > PAIRS_AT_ONCE:  # the first of all is taken, so it ends
         ranked = cur.withColumn("_rank", F.struct((-F.col("_deg")).alias("a"), (-F.col("demand_id")).alias("b")))
         win = table(peaks(ranked, 2 * reach.widest + 0.01, k, "demand_id", "_rank"), "packed")
@@ -450,7 +450,7 @@ def _pack_near(reach: Reach, k: Sequence[str]) -> tuple[DataFrame | None, DataFr
         taken = table(pairs_within(sites, at, reach.widest, k).select(*k, "site_id", "lon", "lat").distinct(), "taken")
         near = beside(cur, at, 2 * reach.widest + 0.01, k).withColumn("reach", F.lit(reach.widest))
         hit = rows_in_reach(taken.withColumn("count", F.lit(1)), near, "reach", reach.widest, k, [], ["count"], reach.fine).select(*name).distinct()
-        cur, old = table(cur.join(hit, name, "left_anti"), "packing"), cur
+        cur, old = table(cur.join(sorted_in(hit), name, "left_anti"), "packing"), cur
         release(old, taken)
     pairs = pairs_within(cur, sites, reach.widest, k)
     return found, pairs.select(*name, "site_id", "_deg")
@@ -470,11 +470,11 @@ def packing_bound(pairs: Relation, keys: Sequence[str] = ("aoi_id",), k_cover: i
         cur = pairs
     else:
         deg = cur.groupBy(*k, "demand_id").agg(F.count(F.lit(1)).alias("_deg"))
-        cur = cur.join(deg, [*k, "demand_id"])
+        cur = cur.join(sorted_in(deg), [*k, "demand_id"])
     cur = table(cur.withColumn("_r", F.struct("_deg", "demand_id")), "packing")
     while True:  # a round takes a demand, so it ends
         low = cur.groupBy(*k, "site_id").agg(F.min("_r").alias("_low"))
-        win = cur.join(low, [*k, "site_id"]).groupBy(*k, "demand_id").agg(
+        win = cur.join(sorted_in(low), [*k, "site_id"]).groupBy(*k, "demand_id").agg(
             F.min((F.col("_r") == F.col("_low")).cast("int")).alias("_win")
         ).where("_win = 1").select(*k, "demand_id")
         win = table(win, "packed")
@@ -483,7 +483,7 @@ def packing_bound(pairs: Relation, keys: Sequence[str] = ("aoi_id",), k_cover: i
         found = win if found is None else found.unionByName(win)
         taken = cur.join(win, [*k, "demand_id"], "left_semi").select(*k, "site_id").distinct()
         hit = cur.join(taken, [*k, "site_id"]).select(*k, "demand_id").distinct()
-        cur = table(cur.join(hit, [*k, "demand_id"], "left_anti"), "packing")
+        cur = table(cur.join(sorted_in(hit), [*k, "demand_id"], "left_anti"), "packing")
     if found is None:
         return _none(pairs, k, lower_bound="bigint")
     return found.groupBy(*k).agg((F.count(F.lit(1)) * k_cover).alias("lower_bound"))
@@ -531,7 +531,7 @@ def cover_status(demand: DataFrame, sites: DataFrame, pairs: Relation, chosen: D
     spots = demand_spots(demand, k)
     given = _of_sites(pairs, chosen, k).groupBy(*k, "demand_id").agg(F.sum("coef").alias("_given"), F.max("need").alias("_need"))
     met = given.where(F.col("_given") >= F.col("_need") - EPS).select(*k, "demand_id", F.lit(True).alias("_met"))
-    out = spots.join(met, [*k, "demand_id"], "left").groupBy(*k).agg(
+    out = spots.join(sorted_in(met), [*k, "demand_id"], "left").groupBy(*k).agg(
         F.sum("n_points").alias("n_demand"),
         F.coalesce(F.sum(F.when(F.col("_met").isNull(), F.col("n_points"))), F.lit(0)).alias("n_uncovered"),
         F.round(F.coalesce(F.sum(F.when(F.col("_met").isNull(), F.col("weight"))), F.lit(0.0)), GAIN_DIGITS).alias("uncovered_weight"),

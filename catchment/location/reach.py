@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.coverage import beside, pairs_within, peaks, rim_cells, rows_in_reach
 from ..session import release
-from .common import GAIN_DIGITS, table
+from .common import GAIN_DIGITS, sorted_in, table
 
 EPS = 1e-9
 
@@ -44,7 +44,7 @@ class Reach:
         """What still matters after opening ``picks``: less need, fewer sites."""
         k = self.keys
         given = self.only(picks).pairs().groupBy(*k, "demand_id").agg(F.sum("coef").alias("_given"))
-        left = self.spots.join(given, [*k, "demand_id"], "left").withColumn("need", F.col("need") - F.coalesce("_given", F.lit(0.0))).drop("_given")
+        left = self.spots.join(sorted_in(given), [*k, "demand_id"], "left").withColumn("need", F.col("need") - F.coalesce("_given", F.lit(0.0))).drop("_given")
         return self.like(table(left.where(F.col("need") > EPS), "spots"), table(self.without(picks).sites, "sites"))
 
 
@@ -78,16 +78,16 @@ class ReachGains:
         picks = picks.select(*k, "site_id").distinct()
         at = r.sites.join(picks, [*k, "site_id"])
         given = r.like(sites=at).pairs().groupBy(*k, "demand_id").agg(F.sum("coef").alias("_given"))
-        hit = table(r.spots.join(given, [*k, "demand_id"]).withColumn("_left", F.col("need") - F.col("_given")).drop("_given"), "hit")
+        hit = table(r.spots.join(sorted_in(given), [*k, "demand_id"]).withColumn("_left", F.col("need") - F.col("_given")).drop("_given"), "hit")
         sites = beside(r.sites, at, 2 * r.widest + 0.01, k)
         rows = self._near(hit.withColumn("count", F.lit(1).cast("bigint")), sites, ["need", "_left"])
         change = rows.groupBy(*k, "site_id").agg(
             F.sum(self._of("_left") - self._of("need")).alias("_d"), F.sum(self._open("_left") - self._open("need")).alias("_m")
         )
-        gains = self.table.join(picks, [*k, "site_id"], "left_anti").join(change, [*k, "site_id"], "left")
+        gains = self.table.join(picks, [*k, "site_id"], "left_anti").join(sorted_in(change), [*k, "site_id"], "left")
         gains = gains.select(*k, "site_id", (F.col("gain") + F.coalesce("_d", F.lit(0.0))).alias("gain"), (F.col("n") + F.coalesce("_m", F.lit(0))).alias("n"))
         seen = hit.select(*k, "demand_id", F.col("_left")).groupBy(*k, "demand_id").agg(F.min("_left").alias("_left"))
-        spots = r.spots.join(seen, [*k, "demand_id"], "left").withColumn("need", F.coalesce("_left", "need")).drop("_left").where(F.col("need") > EPS)
+        spots = r.spots.join(sorted_in(seen), [*k, "demand_id"], "left").withColumn("need", F.coalesce("_left", "need")).drop("_left").where(F.col("need") > EPS)
         old = self.table, self.old
         self.table, self.old = table(gains, "gains"), table(spots, "spots")
         self.reach = r.like(spots=self.old)
